@@ -1,0 +1,342 @@
+"""Each operator against a brute-force version, with nulls, empty and long texts, ties, repeats, empty tables and odd columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from plexus.llm import chat, decontam, exact_dedup, langid, line_dedup, pii, piece, quality, sharding, simhash
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """The smallest table, with awkward rows."""
+    base = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    odd = [
+        (1000, None, None, None, None),
+        (1001, "", "en", "s", 0),
+        (1002, " \n\t ", "en", "s", 4),
+        (1003, "ÉCOLE École école ▁x  y \x00z", "fr", "s", 3),
+        (1004, "1234 5678 !!!", "de", "s", 3),
+        (1005, base[0][1], "fr", "s", 5),
+        (1005, base[0][1], "fr", "s", 5),
+        (None, "no id here", None, None, 1),
+        (None, None, None, None, None),
+        (1006, "word " * 30_000, "en", "s", 150_000),
+        (1007, "mail a.b@c.de, or x@y@z.org; 1.2.3.4 1.2.3.999 1.2.3.4.5 4111 1111 1111 1111 +49 (30) 123-45678 +1-2", "en", "s", 1),
+        (1008, "12.12.12.12.12.12.12.12.12 4111111111111111.4111-1111-1111-1111 ++49301234567+49301234567", "en", "s", 1),
+    ]
+    return spark.createDataFrame(base + odd, SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def rows(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def base_spans(t):
+    out = []
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    for kind, pattern, ok in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ):
+        out += [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, t or "") if ok(m[0])]
+    return out
+
+
+def test_pii_base_spans(docs, none):
+    want = sorted(((r["doc_id"], sha(",".join(base_spans(r["text"])))) for r in docs.collect()), key=repr)
+    assert rows(pii.detect(docs), "doc_id", "base_sha256") == want
+    assert pii.detect(none).count() == 0
+
+
+def test_pii_against_patterns_on_random_strings():
+    rng, anchors = random.Random(7), pii.automaton()
+    for _ in range(4000):
+        t = "".join(rng.choice("12.4+@a- (é9") for _ in range(rng.randrange(60)))
+        assert [s for s in pii.listed(pii.find(t, anchors), pii.BASE).split(",") if s] == base_spans(t), t
+
+
+def test_pii_other_kinds():
+    found = lambda t: [s for s in pii.listed(pii.find(t, pii.automaton()), pii.KINDS[4:]).split(",") if s]
+    assert found("pay DE89 3704 0044 0532 0130 00 now") == ["account:4:31"]
+    assert found("pay DE88 3704 0044 0532 0130 00 now") == []
+    assert found("Account no: 12345678.") == ["account:12:20"]
+    assert found("at 221b Baker Street, or Hauptstraße 12, or rue de Rivoli 7") == ["address:3:20", "address:25:39", "address:44:59"]
+    assert found("https://bob:secret@host.org") == ["login:8:18"]
+    assert found("The Street was long") == []
+
+
+def tokens(t):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+
+
+def contaminated(docs, items, window=13):
+    index = {}
+    for i, t in items:
+        w = tokens(t)
+        for s in range(max(1, len(w) - window + 1)) if w else ():
+            index.setdefault(tuple(w[s : s + window]), set()).add(i)
+    out = []
+    for i, t in docs:
+        w, hit, found = tokens(t), set(), set()
+        for n in {len(k) for k in index}:
+            for s in range(len(w) - n + 1):
+                if (k := tuple(w[s : s + n])) in index:
+                    hit |= set(range(s, s + n))
+                    found |= index[k]
+        ids = sorted(str(x) for x in found if x is not None)
+        out.append((i, len(w), len(hit), len(ids), sha(",".join(ids)), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+def test_decontamination(spark, docs, none):
+    bench = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    some = next(r["text"] for r in docs.collect() if r["doc_id"] == 3).split()
+    bench += [(900, None), (901, ""), (902, "the"), (903, "The, of!"), (904, " ".join(some[2:20])), (904, " ".join(some[2:20])), (905, " ".join(some[2:20])), (None, " ".join(some[5:30])), (906, "École")]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = rows(decontam.contamination(docs, items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == contaminated([(r["doc_id"], r["text"]) for r in docs.collect()], bench)
+    assert decontam.contamination(none, items).count() == 0
+    assert decontam.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "a x b y c"), (2, "a x x x b c"), (3, "c b a"), (4, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([("abc", ["a", "b", "c"]), ("z", ["a", "zz"]), ("a", ["a"])], "query_id string, words array<string>")
+    index = decontam.build_index(docs, queries.selectExpr("explode(words) AS word"))
+    keys = {r["k"]: r["doc_id"] for r in docs.select("doc_id", decontam.doc_key(docs.doc_id, docs.text).alias("k")).collect()}
+    got = sorted({(r["query_id"], keys[r["doc_key"]]) for r in decontam.proximity_matches(index, queries, 2).collect()})
+    assert ("abc", 3) in got and ("abc", 2) not in got and not any(q == "z" for q, _ in got)
+    assert [d for q, d in got if q == "a"] == [1, 2, 3]
+
+
+def test_exact_dedup(docs, none):
+    have = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    groups = {}
+    for i, t in have:
+        groups.setdefault(t, []).append(i)
+    want = []
+    for i, t in have:
+        ids = [x for x in groups[t] if x is not None]
+        k = max(ids, default=None)
+        want.append((i, k, len(groups[t]), i == k, sha(t)))
+    for memory in (48_000_000, 2_000):  # the small bound makes spill files
+        assert rows(exact_dedup.exact_dedup(docs, memory=memory), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
+    assert exact_dedup.exact_dedup(none).count() == 0
+
+
+def test_grace_spills_to_the_last_level():
+    same = [(5, f"t{i % 7}", i, 1) for i in range(100)]  # one hash for all texts: no level parts them
+    tables = list(exact_dedup.grace(iter(same), memory=1))
+    assert sorted(x for t in tables for x in zip(t.texts, t.counts, strict=True)) == sorted((f"t{i}", len(range(i, 100, 7))) for i in range(7))
+
+
+def test_sharding(docs, none):
+    for shards in (3, 40):
+        got = sharding.shard(docs, shards=shards).collect()
+        slots = {}
+        for r in got:
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        n = [len(slots.get(s, [])) for s in range(shards)]
+        assert max(n) - min(n) <= 1 and sum(n) == docs.count()
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+        have = [(r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs.collect()]
+        assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=repr) == sorted(have, key=repr)
+        assert {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
+    assert sharding.shard(none).count() == 0
+
+
+def test_slack_limits_movement(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'x' AS text")
+    at = lambda n: {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=n, slack=0.25).collect()}
+    a, b = at(10), at(11)
+    assert sum(a[i] != b[i] for i in a) < 0.35 * len(a)
+    assert max(list(a.values()).count(s) for s in range(10)) <= 2501
+
+
+def components(fps):
+    ids = list(range(len(fps)))
+    top = lambda i: i if ids[i] == i else top(ids[i])
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2 and top(i) != top(j):
+                ids[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(fps))]
+
+
+def test_simhash(docs, none):
+    import xxhash
+
+    def plain(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        s = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+    have = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] != 1006]
+    fps = [plain(t) for _, t in have]
+    top = components(fps)
+    least = {}
+    for (i, _), k in zip(have, top, strict=True):
+        if i is not None:
+            least[k] = min(i, least.get(k, i))
+    want = sorted(((i, f"{f:016x}", least.get(k)) for (i, _), f, k in zip(have, fps, top, strict=True)), key=repr)
+    got = rows(simhash.near_duplicates(docs.where("doc_id <> 1006 or doc_id is null")), "doc_id", "fingerprint", "component_id")
+    assert got == want
+    assert simhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [4096, 5])
+def test_fingerprint_links_connect_as_all_pairs_do(spark, crowd):
+    rng = random.Random(3)
+    fps = set()
+    for _ in range(60):  # clusters around centres, within and across blocks
+        f = rng.getrandbits(64)
+        for _ in range(20):
+            fps.add(f)
+            for _ in range(rng.randrange(1, 4)):
+                f ^= 1 << rng.randrange(64)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), crowd=crowd).collect()
+    at = {f: i for i, f in enumerate(signed)}
+    ids = list(range(len(fps)))
+    top = lambda i: i if ids[i] == i else top(ids[i])
+    for r in links:
+        a, b = top(at[r["a"]]), top(at[r["b"]])
+        assert bin(fps[at[r["a"]]] ^ fps[at[r["b"]]]).count("1") <= 2
+        ids[max(a, b)] = min(a, b)
+    assert [top(i) for i in range(len(fps))] == components(fps)
+
+
+def test_language_id(spark, docs, none):
+    all_rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(all_rows, keep=("lang",)).where("held_out").selectExpr("avg(cast(lang = lang_pred AS int)) AS a", "count(*) AS n", "min(score) AS lo", "max(score) AS hi").first()
+    assert got["n"] > 150 and got["a"] > 0.95 and got["lo"] >= 0 and got["hi"] <= 1
+    odd = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).where("doc_id >= 1000").collect()}
+    assert odd[1000] == odd[1001] == odd[1002] == odd[1004] == "und" and odd[1003] != "und"
+    assert langid.identify(none).count() == 0
+    stay = langid.keep_known(docs)
+    assert stay.columns == docs.columns and stay.where("doc_id in (1000, 1001, 1002, 1004)").count() == 0
+    assert stay.where("doc_id < 1000").count() == docs.where("doc_id < 1000").count()
+
+
+def test_quality_probabilities_sum_to_one(spark):
+    import numpy as np
+
+    texts = spark.createDataFrame([("the cat sat on the mat",), ("a dog sat on a log",)], "text string")
+    model, p2 = quality.train(texts, 4)
+    tables = {k: (np.array(sorted(r["key"] for r in model.where(f"kind = {k}").collect())), None) for k in (1, 2, 3, 4)}
+    tables = {k: (v, np.array([dict((r["key"], r["value"]) for r in model.where(f"kind = {k}").collect())[x] for x in v.tolist()])) for k, (v, _) in tables.items()}
+    for context in (b"the", b" sa", b"zzz", b"\0\0\0"):
+        x = np.frombuffer(bytes(b for last in range(256) for b in (*context[::-1], 0)), dtype=np.uint8)
+        g = np.array([int.from_bytes(context + bytes([last]), "big") for last in range(256)], dtype=np.uint32)
+        assert len(x) and abs(np.exp(quality.log_probabilities(g, tables, p2)).sum() - 1) < 1e-6
+
+
+def test_quality_packing_is_whole():
+    import numpy as np
+
+    texts = ["abcabcabc", "", "hello wörld " * 200, "abc"]
+    total = sum(len(t.encode()) for t in texts)
+    n, seen = 0, {}
+    for _, parts in quality.pack(texts, 5):
+        x, which, doc, c = quality.unpack(parts)
+        n += int(c.sum())
+        for g, d, k in zip(x[which].tolist(), doc.tolist(), c.tolist(), strict=True):
+            seen[g, d] = seen.get((g, d), 0) + k
+    want = {}
+    for d, t in enumerate(texts):
+        for g in quality.grams(t).tolist():
+            want[g, d] = want.get((g, d), 0) + 1
+    assert n == total and seen == want and np.all([k[1] < 4 for k in seen])
+
+
+def test_quality(spark, docs, none):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    got = quality.classify(docs, labels)
+    assert got.count() == docs.count()
+    odd = {r["doc_id"]: r for r in got.where("doc_id >= 1000").collect()}
+    assert odd[1000]["perplexity"] is None and not odd[1000]["kept"] and odd[1006]["perplexity"] > 0
+    good = got.join(labels.where("quality = 1 and toxic = 0"), "doc_id").selectExpr("avg(cast(kept AS int)) AS k").first()["k"]
+    bad = got.join(labels.where("quality = 0"), "doc_id").selectExpr("avg(cast(kept AS int)) AS k").first()["k"]
+    assert good > 0.9 and bad < good
+    assert quality.classify(none, labels).count() == 0
+    assert quality.classify(docs, labels.limit(0)).where("kept").count() == docs.where("length(text) > 0").count()
+
+
+def test_chat(spark):
+    turns = [(1, 0, "u", "hi"), (2, 0, "u", "hi"), (2, 1, "a", "hello"), (3, 0, "u", "hi"), (3, 1, "a", "hello"), (4, 0, "u", "hi"), (4, 1, "a", "no"), (5, 0, "u", None), (6, 0, None, ""), (None, 0, "u", "hi"), (7, 0, "u", "x"), (7, 0, "a", "x"), (8, None, "u", "q")]
+    turns += [(9, i, "u", f"t{i}") for i in range(300)] + [(10, i, "u", f"t{i}") for i in range(200)]
+    got = {r["conv_id"]: r["n_turns"] for r in chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {2: 2, 4: 2, 5: 1, 6: 1, 7: 2, 8: 1, 9: 300}
+    r = chat.collapse(spark.createDataFrame(turns[:3], "conv_id long, turn long, role string, text string")).first()
+    assert r["rendered"] == "<|u|>\nhi<|end|>\n<|a|>\nhello<|end|>"
+    assert chat.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_sentencepiece(docs, none):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = []
+    for r in docs.collect():
+        ids = sp.encode(r["text"] or "", add_eos=True)
+        want.append((r["doc_id"], len(ids), sha(" ".join(map(str, ids))), sha(sp.decode(ids))))
+    assert rows(piece.encode_decode(docs, path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    assert piece.encode_decode(none, path).count() == 0
+    full = piece.encode_decode(docs.where("doc_id = 1003"), path, full=True).first()
+    assert full["ids"][-1] == 2 and "ÉCOLE" in full["decoded"]
+
+
+def test_agenda_on_random_strings():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, own, rng = sentencepiece.SentencePieceProcessor(model_file=path), None, random.Random(5)
+    own = piece.Pieces(piece.load(path))
+    for _ in range(3000):
+        t = "".join(rng.choice("  theaionr▁éß\n\t<0x>😀.,1") for _ in range(rng.randrange(40)))
+        assert own.encode(t) == sp.encode(t, add_eos=True), t
+
+
+def test_line_dedup(spark, none):
+    docs = [
+        (1, "All rights reserved 2001 by us\nfirst own line of text\nshort", 1),
+        (2, "second own line of text\nAll rights reserved 1999 by us", 2),
+        (3, "All rights reserved 7 by us", 3),
+        (3, "All rights reserved 7 by us", 3),
+        (4, None, 4),
+        (None, "short\n\nAll rights reserved x3 by us\n", 5),
+        (5, "first own line of text\nshort", 6),
+    ]
+    got = {(r["doc_id"], r["n_dropped"]): r["text"] for r in line_dedup.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string, leaf int")).collect()}
+    assert got == {(1, 0): docs[0][1], (2, 1): "second own line of text", (3, 1): "", (4, 0): None, (None, 1): "short\n\n", (5, 0): docs[6][1]}
+    assert line_dedup.drop_recurring(none).count() == 0
+
+
+def test_line_dedup_learns_a_variable_field(spark):
+    docs = [(i, f"user logs in from host {name} at the main door today") for i, name in enumerate(("alpha", "beta", "gamma", "delta"))]
+    docs += [(9, "user logs in from quite another place with other words here")]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == 0 and got[1] == got[2] == got[3] == 1 and got[9] == 0
