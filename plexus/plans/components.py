@@ -32,7 +32,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     folder; only its row count and checksum reach the driver. An empty table
     gives an empty result.
     """
-    ends = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    ends = materialise(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null"), "ends")
     alone = ends.where("a = b").select(F.col("a").alias("node"))
     pairs = materialise(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
