@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
-``Pieces`` reads a model file and encodes by a score-ordered agenda: all
-adjacent symbol pairs that form a piece wait in a heap by falling score, then
-by position, and the best valid one is merged until none is left. No piece of
+``Pieces`` reads a model file and encodes by a score-ordered agenda: of all
+adjacent symbol pairs that form a piece, the one of the best score, then of the
+first position, is merged until none is left. A long run keeps its agenda in a
+heap; the short runs of a batch keep theirs as the rows of one matrix, and each
+step merges the best pair of every row. No piece of
 such a vocabulary goes over from a non-space symbol to the space mark (checked
 when the file is read; otherwise texts are encoded whole), so the runs of
 "space marks, then other symbols" of a text are independent and remembered.
@@ -16,6 +18,7 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -25,10 +28,84 @@ MARK = "▁"
 RUNS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 
 
+#: The longest run, in symbols, that goes into the matrix.
+SHORT = 32
+
+
+class Pairs:
+    """The pairs of pieces that form a piece, in an open-addressing table, and agendas as rows of a matrix."""
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, float], outside):
+        self.outside = outside
+        of = [(ids[p[:k]] << 20 | ids[p[k:]], rank[p], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        self.bits = max(4, (6 * len(of)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.ranks = np.full(1 << self.bits, np.inf, dtype=np.float32)  # scores of merges are whole numbers that it holds exactly
+        self.merged = np.zeros(1 << self.bits, dtype=np.int32)
+        left = np.array([x[0] for x in of], dtype=np.int64)
+        for key, rank_, i, at in zip(left.tolist(), (x[1] for x in of), (x[2] for x in of), self.slot(left).tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at = at + 1 & (1 << self.bits) - 1
+            self.keys[at], self.ranks[at], self.merged[at] = key, rank_, i
+        self.symbols = np.full(0x110000, -1, dtype=np.int32)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.symbols[ord(p)] = i
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged id) of pairs; infinity where they form no piece."""
+        key = np.where((a < 0) | (b < 0), -2, a.astype(np.int64) << 20 | b)
+        at = self.slot(key)
+        rest = np.flatnonzero((self.keys[at] != key) & (self.keys[at] != -1))
+        while len(rest):
+            at[rest] = at[rest] + 1 & (1 << self.bits) - 1
+            rest = rest[(self.keys[at[rest]] != key[rest]) & (self.keys[at[rest]] != -1)]
+        return self.ranks[at], self.merged[at]
+
+    def encode(self, runs: list[str]):
+        """(run, ids) of runs of two to SHORT symbols."""
+        n = np.array([len(r) for r in runs])
+        width = int(n.max())
+        code = np.array(runs, dtype=f"<U{width}").view(np.uint32).reshape(len(runs), width)
+        known = self.symbols[code]
+        # A symbol outside the vocabulary merges with nothing; its code point goes along below zero.
+        sym = np.where(np.arange(width) < n[:, None], np.where(known >= 0, known, -2 - code.astype(np.int32)), np.int32(-1))
+        odd = (sym < -1).any(axis=1).tolist()
+        n, alive = n.copy(), np.arange(len(runs))
+        out = sym.copy()
+        rank, new = (x.reshape(len(runs), width - 1) for x in self.look(sym[:, :-1].ravel(), sym[:, 1:].ravel()))
+        while len(alive):
+            k = np.arange(len(alive))
+            at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(alive), dtype=np.int64)
+            go = rank[k, at] < np.inf if rank.shape[1] else np.zeros(len(alive), dtype=bool)
+            if not go.all():
+                out[alive[~go], : sym.shape[1]] = sym[~go]
+                sym, rank, new, alive, at = sym[go], rank[go], new[go], alive[go], at[go]
+                k = k[: len(alive)]
+                if not len(alive):
+                    break
+            n[alive] -= 1
+            piece = new[k, at]
+            # Every row merges one pair, so all rows are a symbol shorter: what stands behind the pair moves up by one.
+            column, place = np.arange(sym.shape[1] - 1, dtype=np.int32), at.astype(np.int32)[:, None]
+            sym = np.where(column > place, sym[:, 1:], sym[:, :-1])
+            sym[k, at] = piece
+            behind = column[:-1] >= place
+            rank, new = np.where(behind, rank[:, 1:], rank[:, :-1]), np.where(behind, new[:, 1:], new[:, :-1])
+            right = np.flatnonzero(at + 1 < sym.shape[1])
+            rank[right, at[right]], new[right, at[right]] = self.look(sym[right, at[right]], sym[right, at[right] + 1])
+            left = np.flatnonzero(at > 0)
+            rank[left, at[left] - 1], new[left, at[left] - 1] = self.look(sym[left, at[left] - 1], sym[left, at[left]])
+        return [(r, self.outside(ids[:end]) if o else tuple(ids[:end])) for r, ids, end, o in zip(runs, out.tolist(), n.tolist(), odd, strict=True)]
+
+
 class Pieces:
     """A BPE vocabulary with byte fallback, identity normalisation and a leading space mark."""
 
-    def __init__(self, model: bytes, remember: int = 400_000):
+    def __init__(self, model: bytes, remember: int = 600_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -43,6 +120,7 @@ class Pieces:
         if self.library.normalize("a  bÅﬁ") != f"{MARK}a{MARK}{MARK}bÅﬁ":
             raise ValueError("only vocabularies with identity normalisation and a leading space mark are supported")
         self.remember = remember
+        self.matrix = Pairs(self.ids, self.rank, self.outside) if all(c in self.ids for p in self.ids for c in p) else None
         self.known: dict[str, tuple[int, ...]] = {}
 
     def run(self, s: str) -> tuple[int, ...]:
@@ -72,15 +150,18 @@ class Pieces:
                     heapq.heappush(agenda, (rank[pair], i, pair))
             if (h := prv[i]) >= 0 and (pair := sym[h] + piece) in rank:
                 heapq.heappush(agenda, (rank[pair], h, pair))
+        return self.outside([self.ids.get(piece, -2 - ord(piece[0])) for piece in sym if piece])
+
+    def outside(self, symbols: list[int]) -> tuple[int, ...]:
+        """Ids, with bytes (or else the unknown id, once in a row) for symbols outside the vocabulary (-2 less the code point)."""
         out: list[int] = []
-        for piece in sym:
-            if piece:
-                if (i := self.ids.get(piece)) is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out += [self.bytes[b] for b in piece.encode()]
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
+        for i in symbols:
+            if i >= 0:
+                out.append(i)
+            elif self.bytes:
+                out += [self.bytes[b] for b in chr(-2 - i).encode()]
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
         return tuple(out)
 
     def runs(self, text: str) -> list[str]:
@@ -102,8 +183,15 @@ class Pieces:
         if len(self.known) + len(fresh) > self.remember:
             self.known.clear()
             fresh = list({r for t in texts for r in t})
+        short = [r for r in fresh if 1 < len(r) <= SHORT] if self.matrix else []
+        by_length: dict[int, list[str]] = {}
+        for r in short:
+            by_length.setdefault(-(-len(r) // 4), []).append(r)
+        for some in by_length.values():
+            for i in range(0, len(some), 20_000):
+                self.known.update(self.matrix.encode(some[i : i + 20_000]))
         run = self.run
-        self.known.update((r, run(r)) for r in fresh)
+        self.known.update((r, run(r)) for r in fresh if r not in self.known)
 
     def check(self, texts: list[str], ids: list[list[int]]) -> None:
         """Hold the ids of whole texts (without the end id) against the library's."""
@@ -140,6 +228,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
 
     def over(batches):
         pieces = Pieces(model)
+        spelled = [str(i) for i in range(pieces.library.vocab_size())].__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             texts = [t or "" for t in batch.column(len(fields)).to_pylist()]
@@ -152,7 +241,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
             for ids in encoded:
                 ids.append(pieces.eos)
                 decoded = pieces.library.decode(ids)
-                rows.append((len(ids), sha(" ".join(map(str, ids))), sha(decoded)))
+                rows.append((len(ids), sha(" ".join(map(spelled, ids))), sha(decoded)))
                 if full:
                     plain.append((ids, decoded))
             columns = [*(batch.column(i) for i in range(len(fields))), *(pa.array([r[i] for r in rows], type=k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))]
