@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from plexus.plans.scratch import small_batches
 
 MARK = "▁"
-RUNS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
+RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 #: The longest run, in symbols, that goes into the matrix.
@@ -66,7 +67,7 @@ class Pairs:
         return self.ranks[at], self.merged[at]
 
     def encode(self, runs: list[str]):
-        """(run, ids) of runs of two to SHORT symbols."""
+        """The ids of runs of two to SHORT symbols."""
         n = np.array([len(r) for r in runs])
         width = int(n.max())
         code = np.array(runs, dtype=f"<U{width}").view(np.uint32).reshape(len(runs), width)
@@ -99,7 +100,7 @@ class Pairs:
             rank[right, at[right]], new[right, at[right]] = self.look(sym[right, at[right]], sym[right, at[right] + 1])
             left = np.flatnonzero(at > 0)
             rank[left, at[left] - 1], new[left, at[left] - 1] = self.look(sym[left, at[left] - 1], sym[left, at[left]])
-        return [(r, self.outside(ids[:end]) if o else tuple(ids[:end])) for r, ids, end, o in zip(runs, out.tolist(), n.tolist(), odd, strict=True)]
+        return [self.outside(ids[:end]) if o else tuple(ids[:end]) for ids, end, o in zip(out.tolist(), n.tolist(), odd, strict=True)]
 
 
 class Pieces:
@@ -165,33 +166,41 @@ class Pieces:
         return tuple(out)
 
     def runs(self, text: str) -> list[str]:
+        """The independent runs of a text, each without its first space mark."""
         if not text:
             return []
+        if self.separable and "  " not in text and text[0] != " " and MARK not in text:
+            return text.split(" ")
         marked = MARK + text.replace(" ", MARK)
-        return RUNS.findall(marked) if self.separable else [marked]
+        return [r[1:] for r in RUNS.findall(marked)] if self.separable else [marked[1:]]
+
+    def ids_of(self, runs: list[str]) -> list[int]:
+        """The ids of remembered runs, one after the other."""
+        return list(chain.from_iterable(map(self.known.__getitem__, runs)))
 
     def encode(self, text: str | None) -> list[int]:
         """All ids of a whole text, the end id last; null is as empty."""
-        out: list[int] = []
-        for r in self.runs(text or ""):
-            out += self.known[r] if r in self.known else self.run(r)
-        return [*out, self.eos]
+        runs = self.runs(text or "")
+        self.learn([runs])
+        return [*self.ids_of(runs), self.eos]
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the runs of a batch that are not yet remembered."""
-        fresh = list({r for t in texts for r in t}.difference(self.known))
+        all_runs = set(chain.from_iterable(texts))
+        fresh = all_runs.difference(self.known)
         if len(self.known) + len(fresh) > self.remember:
             self.known.clear()
-            fresh = list({r for t in texts for r in t})
-        short = [r for r in fresh if 1 < len(r) <= SHORT] if self.matrix else []
+            fresh = all_runs
         by_length: dict[int, list[str]] = {}
-        for r in short:
-            by_length.setdefault(-(-len(r) // 4), []).append(r)
+        for r in fresh:
+            if self.matrix and 0 < len(r) < SHORT:
+                by_length.setdefault(len(r) + 4 >> 2, []).append(r)
+            else:
+                self.known[r] = self.run(MARK + r)
         for some in by_length.values():
             for i in range(0, len(some), 20_000):
-                self.known.update(self.matrix.encode(some[i : i + 20_000]))
-        run = self.run
-        self.known.update((r, run(r)) for r in fresh if r not in self.known)
+                part = some[i : i + 20_000]
+                self.known.update(zip(part, self.matrix.encode([MARK + r for r in part]), strict=True))
 
     def check(self, texts: list[str], ids: list[list[int]]) -> None:
         """Hold the ids of whole texts (without the end id) against the library's."""
@@ -234,8 +243,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
             texts = [t or "" for t in batch.column(len(fields)).to_pylist()]
             cut = [pieces.runs(t) for t in texts]
             pieces.learn(cut)
-            known = pieces.known
-            encoded = [[i for r in t for i in known[r]] for t in cut]
+            encoded = [pieces.ids_of(t) for t in cut]
             pieces.check(texts, encoded)
             rows, plain = [], []
             for ids in encoded:
