@@ -69,14 +69,13 @@ def doc_key(doc_id: Column, text: Column) -> Column:
 
 def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Postings of the tokens of ``docs`` that are among ``terms`` (a column word). Null texts have none."""
-    terms = materialise(terms.select("word").distinct().withColumn("term", F.xxhash64("word")), "terms")
-    # Split without the filter of words_of: only a text's first and last parts can be empty, and the join drops them.
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN_WORDS)
-    tokens = (
-        docs.select(doc_key(F.col(doc_id), F.col(text)).alias("doc_key"), F.col(text).rlike(r"\A[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]").cast("int").alias("lead"), F.posexplode(parts).alias("at", "raw"))
-        .select("doc_key", (F.col("at") - F.col("lead")).alias("pos"), lower_ascii(F.col("raw")).alias("word"))
-    )
-    postings = materialise(tokens.join(bounded(terms), "word").select("term", "doc_key", "pos"), "index")
+    terms = materialise(terms.select(F.xxhash64("word").alias("term")).distinct(), "terms")
+    # Cut first, explode the parts alone: a text beside its parts would be copied for each of them. The parts are not
+    # filtered as in words_of: only the first and last can be empty, and the join drops those.
+    cut = docs.select(doc_key(F.col(doc_id), F.col(text)).alias("doc_key"), F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN_WORDS).alias("parts"))
+    cut = cut.select("doc_key", (F.element_at("parts", 1) == "").cast("int").alias("lead"), "parts")
+    tokens = cut.select("doc_key", "lead", F.posexplode("parts").alias("at", "raw")).select("doc_key", (F.col("at") - F.col("lead")).alias("pos"), F.xxhash64(lower_ascii(F.col("raw"))).alias("term"))
+    postings = materialise(tokens.join(bounded(terms), "term").select("term", "doc_key", "pos"), "index")
     return Index(postings, materialise(postings.groupBy("term").agg(F.count("*").alias("n")), "frequencies"))
 
 
@@ -156,7 +155,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         .groupBy("doc_key").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
     )
     per_doc = hits.join(listed, "doc_key", "left")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), doc_key(F.col(doc_id), F.col(text)).alias("doc_key"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), doc_key(F.col(doc_id), F.col(text)).alias("doc_key"), F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN_WORDS).alias("parts"))
+    empty = (F.element_at("parts", 1) == "").cast("int") + ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")
+    rows = rows.select("doc_id", "doc_key", (F.size("parts") - empty).cast("long").alias("n_words"))
     return (
         rows.join(per_doc, "doc_key", "left")
         .select(
