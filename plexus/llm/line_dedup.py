@@ -29,8 +29,12 @@ from plexus.plans.scratch import materialise
 
 def parse(docs: DataFrame, doc_id: str, text: str, depth: int, fields: int) -> DataFrame:
     """Rows (doc_id, text_hash, line, n, leaf, f1..): a line's way down the tree, as hashes."""
-    lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
-    masked = F.regexp_replace(F.trim(F.regexp_replace("raw", r"[\s]+", " ")), r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")
+    # Cut first, explode the lines alone: a text beside its lines would be copied for each of them.
+    cut = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(F.col(text), "\n").alias("lines"))
+    lines = cut.select("doc_id", "text_hash", F.posexplode("lines").alias("line", "raw"))
+    # Most lines have single spaces and no digit, and are split as they stand.
+    plain = F.regexp_replace(F.trim(F.regexp_replace("raw", r"[\s]+", " ")), r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")
+    masked = F.when(F.col("raw").rlike(r"[0-9\t\r\x0B\f]|  |\A | \z"), plain).otherwise(F.col("raw"))
     tokens = lines.select("doc_id", "text_hash", "line", F.split(masked, " ").alias("t")).withColumn("n", F.when(F.element_at("t", 1) == "", 0).otherwise(F.size("t")))
     rest = F.greatest(F.col("n") - depth, F.lit(0))
     cut = lambda i: F.lit(depth) + F.floor(rest * i / fields).cast("int")
@@ -69,7 +73,8 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     any names but n_dropped, which is replaced.
     """
     gone = recurring_lines(docs, doc_id, text, **how).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
-    gone = materialise(gone, "gone").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"), "gone")
+    # The join shuffles at every size; which side is small depends on the corpus.
+    gone = materialise(gone, "gone").hint("merge").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"), "gone")
     keyed = docs.drop("n_dropped").withColumn("__h", F.xxhash64(text))
     joined = keyed.join(gone.withColumnRenamed("gone", "__gone"), (keyed["__h"] == gone["__hash"]) & keyed[doc_id].eqNullSafe(F.col("__doc_id")), "left")
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
