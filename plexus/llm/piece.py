@@ -17,6 +17,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
+import types
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -33,6 +36,10 @@ RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 SHORT = 32
 
 
+def packed(ids) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Pairs:
     """The pairs of pieces that form a piece, in an open-addressing table, and agendas as rows of a matrix."""
 
@@ -67,7 +74,7 @@ class Pairs:
         return self.ranks[at], self.merged[at]
 
     def encode(self, runs: list[str]):
-        """The ids of runs of two to SHORT symbols."""
+        """The packed ids of runs of two to SHORT symbols."""
         n = np.array([len(r) for r in runs])
         width = int(n.max())
         code = np.array(runs, dtype=f"<U{width}").view(np.uint32).reshape(len(runs), width)
@@ -100,7 +107,9 @@ class Pairs:
             rank[right, at[right]], new[right, at[right]] = self.look(sym[right, at[right]], sym[right, at[right] + 1])
             left = np.flatnonzero(at > 0)
             rank[left, at[left] - 1], new[left, at[left] - 1] = self.look(sym[left, at[left] - 1], sym[left, at[left]])
-        return [self.outside(ids[:end]) if o else tuple(ids[:end]) for ids, end, o in zip(out.tolist(), n.tolist(), odd, strict=True)]
+        flat = out[np.arange(width) < n[:, None]].astype(np.int32).tobytes()
+        ends = np.cumsum(4 * n).tolist()
+        return [packed(self.outside(np.frombuffer(flat[a:b], dtype=np.int32).tolist())) if o else flat[a:b] for a, b, o in zip([0, *ends], ends, odd, strict=False)]
 
 
 class Pieces:
@@ -122,7 +131,7 @@ class Pieces:
             raise ValueError("only vocabularies with identity normalisation and a leading space mark are supported")
         self.remember = remember
         self.matrix = Pairs(self.ids, self.rank, self.outside) if all(c in self.ids for p in self.ids for c in p) else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # of packed ids
 
     def run(self, s: str) -> tuple[int, ...]:
         """The ids of one independent run of symbols, by the agenda."""
@@ -176,7 +185,7 @@ class Pieces:
 
     def ids_of(self, runs: list[str]) -> list[int]:
         """The ids of remembered runs, one after the other."""
-        return list(chain.from_iterable(map(self.known.__getitem__, runs)))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, runs)), dtype=np.int32).tolist()
 
     def encode(self, text: str | None) -> list[int]:
         """All ids of a whole text, the end id last; null is as empty."""
@@ -196,7 +205,7 @@ class Pieces:
             if self.matrix and 0 < len(r) < SHORT:
                 by_length.setdefault(len(r) + 4 >> 2, []).append(r)
             else:
-                self.known[r] = self.run(MARK + r)
+                self.known[r] = packed(self.run(MARK + r))
         for some in by_length.values():
             for i in range(0, len(some), 20_000):
                 part = some[i : i + 20_000]
@@ -236,7 +245,9 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
         new += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def over(batches):
-        pieces = Pieces(model)
+        # Workers that take further tasks keep the vocabulary and the runs they remember.
+        kept = vars(sys.modules.setdefault("plexus_worker_state", types.ModuleType("plexus_worker_state"))).setdefault("pieces", {})
+        pieces = kept.get(model) or kept.setdefault(model, Pieces(model))
         spelled = [str(i) for i in range(pieces.library.vocab_size())].__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
