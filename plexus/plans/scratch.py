@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -53,3 +54,28 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+
+
+#: A side of a join is broadcast only if it has been counted and has no more rows than this; beyond it the join shuffles.
+SMALL = 200_000
+
+
+def bounded(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """Broadcast a materialised table of a counted, small size (narrow rows); else leave the join to the shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def lean(batches):
+    """Pass batches on; afterwards give the worker's free memory back, as it stays for further tasks."""
+    yield from batches
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
