@@ -17,14 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexus.plans.scratch import materialise
+from plexus.plans.scratch import bounded, materialise
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side of a join is broadcast only if it has been counted and has no more rows than this; beyond it the join shuffles.
-SMALL = 200_000
-
-
 def lower_ascii(word: Column) -> Column:
     """Only A-Z are lower-cased; a word of one byte per symbol takes the short way."""
     return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
@@ -35,11 +31,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BETWEEN_WORDS), lambda w: w != "")
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """Broadcast a materialised table of a counted, small size; else leave the join to the shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def windows_of(items: DataFrame, item_id: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
     """(window_id, words) of the distinct windows, and (window_id, item_id) of the items that hold them."""
     w = F.transform(words_of(F.col(text)), lower_ascii)
@@ -107,12 +98,13 @@ def phrase_matches(index: Index, docs: DataFrame, windows: DataFrame, doc_id: st
     found = materialise(found.distinct(), "candidates")
     spelled = found.join(windows, "window_id")
     claims = spelled.groupBy("doc_key").agg(F.collect_list(F.struct("window_id", "start", "len", "words")).alias("claims"))
-    texts = docs.select(doc_key(F.col(doc_id), F.col(text)).alias("doc_key"), F.col(text).alias("text")).join(materialise(claims, "claims"), "doc_key")
-    right = (
-        texts.select("doc_key", "claims", F.transform(words_of(F.col("text")), lower_ascii).alias("w"))
-        .select("doc_key", F.filter("claims", lambda c: F.slice(F.col("w"), c["start"] + 1, c["len"]) == c["words"]).alias("claims"))
-        .select("doc_key", F.explode("claims").alias("c"))
-    )
+    claims = materialise(claims, "claims")
+    # Only texts with a claim travel to the join, as far as their keys are few enough to be sent to all tasks.
+    texts = docs.select(doc_key(F.col(doc_id), F.col(text)).alias("doc_key"), F.col(text).alias("text")).join(bounded(claims.select("doc_key")), "doc_key", "left_semi").join(claims, "doc_key")
+    # The words stand in a struct beside the claims, else the plan would cut the text anew for every claim.
+    both = F.array(F.struct("claims", F.transform(words_of(F.col("text")), lower_ascii).alias("w")))
+    held = F.transform(both, lambda s: F.filter(s["claims"], lambda c: F.slice(s["w"], c["start"] + 1, c["len"]) == c["words"]))
+    right = texts.select("doc_key", F.explode(F.element_at(held, 1)).alias("c"))
     return right.select("doc_key", "c.window_id", "c.start", "c.len").distinct()
 
 
@@ -174,5 +166,5 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated; rows with a null doc_id stay, as no verdict can be joined to them."""
-    away = contamination(docs, items).where("contaminated").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    away = materialise(contamination(docs, items).where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(bounded(away), "doc_id", "left_anti").select(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexus.plans.scratch import small_batches
+from plexus.plans.scratch import lean, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 BITS = 13
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
             found = [model.predict(t) for t in b.column(len(fields)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(fields))), pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())], names=[f.name for f in [*fields, *new]])
 
-    return rows.mapInArrow(over, T.StructType([*fields, *new]))
+    return rows.mapInArrow(lambda b: lean(over(b)), T.StructType([*fields, *new]))
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.1) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plexus.plans.scratch import small_batches
+from plexus.plans.scratch import lean, small_batches
 
 MARK = "▁"
 RUNS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -245,7 +245,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
         new += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def over(batches):
-        # Workers that take further tasks keep the vocabulary and the runs they remember.
+        # Workers that take further tasks keep the vocabulary; what it remembers goes with the task.
         kept = vars(sys.modules.setdefault("plexus_worker_state", types.ModuleType("plexus_worker_state"))).setdefault("pieces", {})
         pieces = kept.get(model) or kept.setdefault(model, Pieces(model))
         spelled = [str(i) for i in range(pieces.library.vocab_size())].__getitem__
@@ -267,5 +267,6 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
             if full:
                 columns += [pa.array([p[0] for p in plain], type=pa.list_(pa.int32())), pa.array([p[1] for p in plain], type=pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + [f.name for f in new])
+        pieces.known.clear()
 
-    return docs.mapInArrow(over, T.StructType([*fields, *new]))
+    return docs.mapInArrow(lambda b: lean(over(b)), T.StructType([*fields, *new]))

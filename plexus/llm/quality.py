@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexus.plans.scratch import materialise, small_batches
+from plexus.plans.scratch import bounded, lean, materialise, small_batches
 
 ORDER = 4
 
@@ -49,7 +49,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                     seen, counts = seen[:0], counts[:0]
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(counts)], names=["gram", "c"])
 
-    return texts.mapInArrow(over, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(lambda b: lean(over(b)), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def smoothed(counts: DataFrame, low: int) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +219,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 16, chunk_by
         ppl = [float(np.exp(-t / s)) if s else None for t, s in zip(total, sizes, strict=True)]
         return pa.table([pa.array(head["ids"], type=pa.int64()), pa.array(head["langs"], type=pa.string()), pa.array(head["trusted"], type=pa.bool_()), pa.array(ppl, type=pa.float64())], names=["doc_id", "lang", "trusted", "perplexity"])
 
-    packed = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(chunks, PACKED)
+    packed = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(lambda b: lean(chunks(b)), PACKED)
     copies = model.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     scored = packed.groupBy("shard", "grp").cogroup(copies.groupBy("shard", "grp")).applyInArrow(score, "chunk long, sums array<double>, ids array<long>, langs array<string>, trusted array<boolean>, sizes array<long>")
     return scored.groupBy("chunk").applyInArrow(finish, "doc_id long, lang string, trusted boolean, perplexity double")
@@ -237,7 +237,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, small:
     and all rows with a text are kept. An empty table gives an empty result.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    good = F.broadcast(good) if good.count() <= small else good
+    good = bounded(materialise(good, "good"), small)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "lang", "text").join(good, "doc_id", "left")
     trusted = rows.where("trusted and text <> ''").select("text")
     scored = materialise(perplexities(rows.select("doc_id", "lang", "trusted", "text"), trusted), "perplexities")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexus.plans.components import connected_components
-from plexus.plans.scratch import materialise, small_batches
+from plexus.plans.scratch import bounded, lean, materialise, small_batches
 
 GOLAY = 0b110001110101  # fixed value: a generator polynomial of the (23, 12) code
 RADIUS = 3
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(over, "doc_id long, fp long")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(lambda b: lean(over(b)), "doc_id long, fp long")
 
 
 def syndromes(v: np.ndarray) -> np.ndarray:
@@ -169,14 +169,14 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 2, crowd: int = 4096
             _, anchor, _ = code.anchors(b.column(0).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(anchor)], names=["key"])
 
-    rows = distinct.select("fp").mapInArrow(replicas, "key long, fp long, home boolean")
-    crowded = materialise(distinct.select("fp").mapInArrow(homes, "key long").groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
+    rows = distinct.select("fp").mapInArrow(lambda b: lean(replicas(b)), "key long, fp long, home boolean")
+    crowded = materialise(distinct.select("fp").mapInArrow(lambda b: lean(homes(b)), "key long").groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
     if not crowded.isEmpty():
         width = -(-64 // (threshold + 1))
         block = F.expr(f"shiftrightunsigned(fp, cast(j * {width} as int)) & {(1 << width) - 1}L")
         divided = rows.join(crowded, "key").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(threshold)))).select(F.xxhash64("key", "j", block).alias("key"), "fp", "home")
         rows = rows.join(crowded, "key", "left_anti").unionByName(divided)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: links_of(b, threshold), "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: lean(links_of(b, threshold)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
@@ -203,5 +203,5 @@ def keep_first(docs: DataFrame, threshold: int = 2) -> DataFrame:
 
     Rows with a null doc_id stay, as nothing tells them from one another.
     """
-    away = near_duplicates(docs, threshold=threshold).where("doc_id <> component_id").select("doc_id")
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    away = materialise(near_duplicates(docs, threshold=threshold).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(bounded(away), "doc_id", "left_anti").select(*docs.columns)
