@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from plexus.plans.scratch import lean, small_batches
@@ -115,7 +116,7 @@ class Pairs:
 class Pieces:
     """A BPE vocabulary with byte fallback, identity normalisation and a leading space mark."""
 
-    def __init__(self, model: bytes, remember: int = 600_000):
+    def __init__(self, model: bytes, remember: int = 300_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -218,6 +219,18 @@ class Pieces:
                 raise AssertionError(f"the agenda and the library differ on a text of {len(text)} symbols")
 
 
+def portions(batch: pa.RecordBatch, column: int, size: int = 1_000_000):
+    """Parts of a batch of about ``size`` bytes of text, or one row if its text is longer."""
+    start = total = 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if total and total + (n or 0) > size:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def load(model_path: str) -> bytes:
     with open(model_path, "rb") as f:
         return f.read()
@@ -250,7 +263,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
         pieces = kept.get(model) or kept.setdefault(model, Pieces(model))
         spelled = [str(i) for i in range(pieces.library.vocab_size())].__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
+        for batch in (part for b in batches for part in portions(b, len(fields))):
             texts = [t or "" for t in batch.column(len(fields)).to_pylist()]
             cut = [pieces.runs(t) for t in texts]
             pieces.learn(cut)

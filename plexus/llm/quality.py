@@ -151,7 +151,7 @@ def log_probabilities(x: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndar
 PACKED = "chunk long, shard int, grp int, parts array<binary>, ids array<long>, langs array<string>, trusted array<boolean>, sizes array<long>"
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 16, chunk_bytes: int = 8_000_000, groups: int | None = None) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 16, chunk_bytes: int = 4_000_000, groups: int | None = None) -> DataFrame:
     """Rows (doc_id, lang, trusted, perplexity per byte) for every row of ``docs``; null where the text is null or empty.
 
     docs: doc_id, lang, trusted, text. trusted: texts in one column, all of
