@@ -9,18 +9,20 @@ from plexus.functions.geom import PI, cell, dist3, dot3, near_cells, norm3, sub3
 from plexus.plans.components import connected_components
 from plexus.plans.scratch import drop, materialise
 
-BY_EDGE = Window.partitionBy("e_id").orderBy("seq")
+
+def by_edge():
+    return Window.partitionBy("e_id").orderBy("seq")
 
 
 def segments(point: DataFrame) -> DataFrame:
     """(e_id, seq, x, y, z, d, px, py, pz, pd): each point but the first, with its predecessor."""
-    return point.select("e_id", "seq", "x", "y", "z", "d", *(F.lag(c).over(BY_EDGE).alias(f"p{c}") for c in "xyzd")).where("px is not null")
+    return point.select("e_id", "seq", "x", "y", "z", "d", *(F.lag(c).over(by_edge()).alias(f"p{c}") for c in "xyzd")).where("px is not null")
 
 
 def edge_dimensions(point: DataFrame, pi: float = PI) -> DataFrame:
     """(e_id, npts, length, volume, mean_diam, equiv_diam) of each edge, over one shuffle."""
     step = dist3(xyz(), [F.col(f"p{a}") for a in "xyz"])
-    rows = point.select("e_id", "x", "y", "z", "d", *(F.lag(c).over(BY_EDGE).alias(f"p{c}") for c in "xyzd")).withColumn("step", step)
+    rows = point.select("e_id", "x", "y", "z", "d", *(F.lag(c).over(by_edge()).alias(f"p{c}") for c in "xyzd")).withColumn("step", step)
     vol = pi * F.col("step") * (F.col("d") * F.col("d") / 4 + F.col("pd") * F.col("pd") / 4) / 2
     out = rows.groupBy("e_id").agg(F.count("*").alias("npts"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"), F.coalesce(F.sum(vol), F.lit(0.0)).alias("volume"), F.avg("d").alias("mean_diam"))
     return out.withColumn("equiv_diam", F.when(F.col("length") > 0, 2 * F.sqrt(F.col("volume") / (pi * F.col("length")))))

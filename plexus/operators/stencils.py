@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from plexus.functions.geom import N26, ball, cube, offsets
 from plexus.operators.points import KEY, dense
 
-LIT = F.lit(255).alias("v")
+
+def lit():
+    return F.lit(255).alias("v")
 
 
 def pushed(vox: DataFrame, table: list[tuple[int, int, int]]) -> DataFrame:
@@ -44,18 +46,18 @@ def smooth(vox: DataFrame, radius: int, size: tuple[int, int, int]) -> DataFrame
 def despeckle(vox: DataFrame, least: int, radius: int = 2) -> DataFrame:
     """Lit voxels with at least ``least`` lit neighbours in their box."""
     table = [o for o in cube(radius) if o != (0, 0, 0)]
-    return vox.join(pushed(vox, table).where(F.col("n") >= least).select(*KEY), KEY, "left_semi").select(*KEY, LIT)
+    return vox.join(pushed(vox, table).where(F.col("n") >= least).select(*KEY), KEY, "left_semi").select(*KEY, lit())
 
 
 def despeckle_lite(vox: DataFrame) -> DataFrame:
     """Drop voxels with two or fewer lit ones in their 3-box, themselves included; all at once."""
-    return vox.join(pushed(vox, cube(1)).where("n > 2").select(*KEY), KEY, "left_semi").select(*KEY, LIT)
+    return vox.join(pushed(vox, cube(1)).where("n > 2").select(*KEY), KEY, "left_semi").select(*KEY, lit())
 
 
 def denoise(vox: DataFrame, radius: int, size: tuple[int, int, int]) -> DataFrame:
     """Binary median: lit where more than half of the box is lit; outside counts as unlit."""
     table = cube(radius)
-    return inside(pushed(vox, table).where(F.col("n") * 2 > len(table)), size).select(*KEY, LIT)
+    return inside(pushed(vox, table).where(F.col("n") * 2 > len(table)), size).select(*KEY, lit())
 
 
 def deblob(vox: DataFrame, stencil: int, share: float, stride: int) -> DataFrame:
@@ -70,7 +72,7 @@ def deblob(vox: DataFrame, stencil: int, share: float, stride: int) -> DataFrame
 
 
 def dilate(vox: DataFrame, table: list[tuple[int, int, int]], size: tuple[int, int, int] | None = None) -> DataFrame:
-    return inside(pushed(vox, table), size).select(*KEY, LIT)
+    return inside(pushed(vox, table), size).select(*KEY, lit())
 
 
 def erode(vox: DataFrame, table: list[tuple[int, int, int]], size: tuple[int, int, int]) -> DataFrame:
@@ -82,7 +84,7 @@ def erode(vox: DataFrame, table: list[tuple[int, int, int]], size: tuple[int, in
             if d:
                 c = c & (F.col(a) + d >= 0) & (F.col(a) + d < n)
         here = here + c.cast("int")
-    return pushed(vox, table).where(F.col("n") == here).join(vox.select(*KEY), KEY, "left_semi").select(*KEY, LIT)
+    return pushed(vox, table).where(F.col("n") == here).join(vox.select(*KEY), KEY, "left_semi").select(*KEY, lit())
 
 
 def dilate_ball(vox, radius, size=None):
@@ -106,7 +108,7 @@ def close_ball(vox: DataFrame, radius: int, size: tuple[int, int, int]) -> DataF
     """Closing by a ball. The dilation may leave the volume, so that its faces don't matter."""
     table = ball(radius)
     grown = dilate(vox, table)
-    return inside(pushed(grown, table).where(F.col("n") == len(table)), size).select(*KEY, LIT)
+    return inside(pushed(grown, table).where(F.col("n") == len(table)), size).select(*KEY, lit())
 
 
 def open_ball(vox, radius, size):
