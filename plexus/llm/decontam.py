@@ -149,7 +149,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     per_doc = hits.join(listed, "doc_key", "left")
     rows = docs.select(F.col(doc_id).alias("doc_id"), doc_key(F.col(doc_id), F.col(text)).alias("doc_key"), F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN_WORDS).alias("parts"))
     empty = (F.element_at("parts", 1) == "").cast("int") + ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")
-    rows = rows.select("doc_id", "doc_key", (F.size("parts") - empty).cast("long").alias("n_words"))
+    # Written once: a later filter on n_words would cut the texts again for each mention of it.
+    rows = materialise(rows.select("doc_id", "doc_key", (F.size("parts") - empty).cast("long").alias("n_words")), "words")
     return (
         rows.join(per_doc, "doc_key", "left")
         .select(
