@@ -20,7 +20,7 @@ import re
 import sys
 import types
 from array import array
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -194,13 +194,17 @@ class Pieces:
         self.learn([runs])
         return [*self.ids_of(runs), self.eos]
 
+    def trim(self) -> None:
+        """Keep a third of what may be remembered: what came first, which is what comes often."""
+        self.known = dict(islice(self.known.items(), self.remember // 3))
+
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the runs of a batch that are not yet remembered."""
         all_runs = set(chain.from_iterable(texts))
         fresh = all_runs.difference(self.known)
         if len(self.known) + len(fresh) > self.remember:
-            self.known.clear()
-            fresh = all_runs
+            self.trim()
+            fresh = all_runs.difference(self.known)
         by_length: dict[int, list[str]] = {}
         for r in fresh:
             if self.matrix and 0 < len(r) < SHORT:
@@ -258,7 +262,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
         new += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def over(batches):
-        # Workers that take further tasks keep the vocabulary; what it remembers goes with the task.
+        # Workers that take further tasks keep the vocabulary and the runs that came first.
         kept = vars(sys.modules.setdefault("plexus_worker_state", types.ModuleType("plexus_worker_state"))).setdefault("pieces", {})
         pieces = kept.get(model) or kept.setdefault(model, Pieces(model))
         spelled = [str(i) for i in range(pieces.library.vocab_size())].__getitem__
@@ -280,6 +284,6 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
             if full:
                 columns += [pa.array([p[0] for p in plain], type=pa.list_(pa.int32())), pa.array([p[1] for p in plain], type=pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + [f.name for f in new])
-        pieces.known.clear()
+        pieces.trim()
 
     return docs.mapInArrow(lambda b: lean(over(b)), T.StructType([*fields, *new]))
