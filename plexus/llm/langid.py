@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexus.plans.scratch import lean, small_batches
+from plexus.plans.scratch import bounded, lean, materialise, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 BITS = 13
@@ -123,12 +123,22 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 300, sample_bytes: int = 20_000) -> Model:
-    """Fit on rows that aren't held out and have a language and a letter: at most ``sample`` a language, ``sample_bytes`` symbols each."""
+    """Fit on rows that aren't held out and have a language and a letter: at most ``sample`` a language, ``sample_bytes`` symbols each.
+
+    Rows that repeat an id count towards ``sample``, but are learned from once (the least text).
+    """
     usable = docs.where(~held_out(docs[doc_id]) & docs[lang].isNotNull() & docs[text].rlike(r"\p{L}")).select(docs[doc_id].alias("id"), docs[lang].alias("l"), docs[text].alias("t"))
-    # The limit by rank is applied within each task first, so little is gathered; only ids are ranked.
-    w = Window.partitionBy("l").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    chosen = usable.select("l", "id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).select("l", "id").distinct()
-    picked = usable.join(F.broadcast(chosen), ["l", "id"], "left_semi").select(F.substring("t", 1, sample_bytes).alias("t"), "l").collect()
+    # A hash's place in the range of all hashes, by powers of two: 64 counts a language tell up to which power the sample
+    # reaches, so the rows that are ranked are about as many as the sample at every size of the corpus.
+    place = F.xxhash64(F.col("id").cast("string"))
+    power = F.floor(F.log2(F.greatest(place / 2.0**64 + 0.5, F.lit(2.0**-63))))
+    sizes = usable.groupBy("l", power.alias("p")).agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("l").orderBy("p")
+    reach = materialise(sizes.withColumn("n", F.sum("n").over(so_far)).groupBy("l").agg(F.coalesce(F.min(F.when(F.col("n") >= sample, F.col("p"))), F.lit(0)).alias("reach")), "reach")
+    near = usable.select("l", "id", place.alias("h"), power.alias("p")).join(bounded(reach), "l").where("p <= reach").groupBy("l", "h", "id").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("l").orderBy("h", "id")) - F.col("n")
+    chosen = materialise(near.withColumn("before", before).where(F.col("before") < sample).select("l", "id"), "chosen")
+    picked = usable.join(bounded(chosen), ["l", "id"], "left_semi").groupBy("l", "id").agg(F.min(F.substring("t", 1, sample_bytes)).alias("t")).collect()
     picked.sort(key=lambda r: (r["l"], r["t"]))
     return Model([r["t"] for r in picked], [r["l"] for r in picked])
 
