@@ -43,6 +43,19 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_bytes(spark: SparkSession, content: bytes, name: str) -> str:
+    """Write a file of the driver's to the shared folder; its path. It goes when the process ends."""
+    path = f"{root(spark)}/plexus-{uuid.uuid4().hex}/{name}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def drop(df: DataFrame) -> None:
     """Delete a materialised table that no later plan reads."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from plexus.fixtures import SIZE, Fixtures, ctes
 from plexus.functions.geom import PI, ball, bin_nearest, cube
-from plexus.operators import distances, kernels, network, points, regions, stencils
-from plexus.plans.scratch import materialise
+from plexus.operators import chains, distances, kernels, network, points, regions, rewrites, stencils
+from plexus.plans.scratch import materialise, put_bytes
+from plexus.sources import cmgui, tiff
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -591,3 +592,72 @@ def am_smooth(f):
 @query()
 def motility_cm(f):
     return rounded(kernels.motility(f.net_edge, f.net_vertex, network.edge_dimensions(f.net_point), 200, 13.0, 0.2, [5.0 * k for k in range(1, 25)]))
+
+
+# --- rewrites, chains, files -----------------------------------------------
+
+PTS = "pts AS (SELECT p.* FROM net_point p JOIN (SELECT e_id, max(seq) AS last FROM net_point GROUP BY e_id) k ON k.e_id = p.e_id WHERE p.e_id % 60 = 0 OR p.seq = 0 OR p.seq = k.last)"
+
+
+def mostly_straight(f) -> DataFrame:
+    """The points, without the inner ones of most edges."""
+    w = f.net_point.groupBy("e_id").agg(F.max("seq").alias("last"))
+    return f.net_point.join(w, "e_id").where("e_id % 60 = 0 or seq = 0 or seq = last").drop("last")
+
+
+@query(f"""{PTS}, {ENDS}, n AS (SELECT e_id, count(*) AS npts FROM pts GROUP BY e_id),
+s AS (SELECT e.e_id, least(e.v0, e.v1) AS a, greatest(e.v0, e.v1) AS b, n.npts, sqrt((x0-x1)*(x0-x1)+(y0-y1)*(y0-y1)+(z0-z1)*(z0-z1)) AS l FROM ends e JOIN n ON n.e_id = e.e_id),
+again AS (SELECT DISTINCT s.e_id FROM s JOIN s t ON t.a = s.a AND t.b = s.b AND t.e_id > s.e_id WHERE s.npts = 2),
+sh AS (SELECT * FROM s WHERE npts = 2 AND a <> b AND e_id NOT IN (SELECT e_id FROM again)),
+lk AS (SELECT v_id, count(*) AS k FROM (SELECT e_id, v0 AS v_id FROM net_edge UNION SELECT e_id, v1 FROM net_edge) q GROUP BY v_id),
+tri AS (SELECT x.a AS p, x.b AS q, y.b AS r, x.e_id AS e1, y.e_id AS e2, w.e_id AS e3, x.l AS l1, y.l AS l2, w.l AS l3, kp.k = 2 AS lp, kq.k = 2 AS lq, kr.k = 2 AS lr
+FROM sh x JOIN sh y ON y.a = x.a AND x.b < y.b JOIN sh w ON w.a = x.b AND w.b = y.b JOIN lk kp ON kp.v_id = x.a JOIN lk kq ON kq.v_id = x.b JOIN lk kr ON kr.v_id = y.b),
+side AS (SELECT p, q, r, e1 AS e, l1 AS l, lp OR lq AS low, lp OR lq OR lr AS corner FROM tri UNION ALL SELECT p, q, r, e2, l2, lp OR lr, lp OR lq OR lr FROM tri UNION ALL SELECT p, q, r, e3, l3, lq OR lr, lp OR lq OR lr FROM tri),
+broken AS (SELECT e FROM (SELECT *, row_number() OVER (PARTITION BY p, q, r ORDER BY l DESC, e) AS i FROM side) q WHERE CASE WHEN corner THEN low ELSE i = 1 END)
+SELECT e_id FROM net_edge WHERE e_id NOT IN (SELECT e_id FROM again) AND e_id NOT IN (SELECT e FROM broken)""")
+def deloop(f):
+    return rewrites.deloop(f.net_edge, f.net_vertex, mostly_straight(f))
+
+
+@query()
+def reduce_edges(f):
+    vertex, edge, _ = rewrites.reduce_edges(f.net_edge, f.net_vertex, f.net_point, 60.0)
+    return rounded(network.endpoints(edge, vertex))
+
+
+@query()
+def join_loose_ends(f):
+    return rounded(rewrites.join_loose_ends(f.net_edge, f.net_point))
+
+
+@query()
+def vox_peel(f):
+    return chains.peel(f.vox, SIZE, 120, 2, 1, margin=1, least=100)
+
+
+@query()
+def vox_peel2(f):
+    return chains.peel(f.vox, SIZE, 120, 2, 1, least=100, one_background=True)
+
+
+@query()
+def vox_fill_probes(f):
+    return chains.fill(f.lit, SIZE, 4.0, 9)
+
+
+@query("SELECT * FROM vox")
+def vox_tiff_deflate(f):
+    path = put_bytes(f.spark, tiff.tiff_bytes(f.vox, SIZE, "deflate"), "volume.tif")
+    return tiff.read_tiff(f.spark, path).drop("file")
+
+
+@query("SELECT * FROM vox")
+def vox_tiff_recompress(f):
+    path = put_bytes(f.spark, tiff.tiff_bytes(f.vox, SIZE, "packbits"), "volume.tif")
+    again = put_bytes(f.spark, tiff.recompress(f.spark, path, SIZE, "lzw"), "volume.tif")
+    return tiff.read_tiff(f.spark, again).drop("file")
+
+
+@query()
+def cmgui_elements(f):
+    return cmgui.cmgui_lines(f.net_point)[1]
