@@ -60,6 +60,8 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .where(F.col("n_docs") >= min_docs)
         .select("template", "first")
     )
+    # From a written table both sides reach the join straight from a shuffle, so a template of very many lines can be split.
+    often = materialise(often, "often").hint("merge")
     return keyed.join(often, "template").where("text_hash <> first").select("doc_id", "text_hash", "line").distinct()
 
 
