@@ -51,6 +51,7 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = materialise(parse(docs, doc_id, text, depth, fields).where(F.col("n") >= min_tokens), "lines")
     # A template cannot recur in a leaf that has fewer lines; most lines go no further.
     busy = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select("leaf")
+    busy = materialise(busy, "busy").hint("merge")  # a written table, so that the join can split a leaf of very many lines
     fixed = [F.xxhash64(F.lit(i), "leaf", *c) for i, c in enumerate(combinations(names, math.ceil(similarity * fields)))]
     keyed = materialise(lines.join(busy, "leaf").select("doc_id", "text_hash", "line", F.explode(F.array_distinct(F.array(*fixed))).alias("template")), "templates")
     texts = keyed.groupBy("template", "text_hash").agg(F.min("doc_id").alias("doc_id"))
