@@ -16,8 +16,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from the texts; every document stays. n_chars follows the text."""
-    out = line_dedup.drop_recurring(docs)
+    """Lines that recur in two or more different texts go, short ones by their exact text; every document stays. n_chars follows the text."""
+    out = line_dedup.drop_recurring(docs, min_docs=2, short=True)
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -10,7 +10,9 @@ agree in enough of them share a template whatever else is in the leaf.
 The lines of a template that recurs in ``min_docs`` or more different texts are
 dropped from all of them but the first (that of the smallest doc_id), so that
 no content leaves the corpus altogether. Equal texts count once and are
-treated alike.
+treated alike. Lines of fewer than ``min_tokens`` tokens have no template; with
+``short`` they recur by their exact text, except that lines in scripts without
+spaces take their characters as tokens and go down the tree.
 
 DataFrame operations only; the leaves and templates are plain aggregates, so
 the result does not depend on the order of the lines.
@@ -26,34 +28,46 @@ from pyspark.sql import functions as F
 
 from plexus.plans.scratch import materialise
 
+#: A character of a script that is written without spaces.
+SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
-def parse(docs: DataFrame, doc_id: str, text: str, depth: int, fields: int) -> DataFrame:
-    """Rows (doc_id, text_hash, line, n, leaf, f1..): a line's way down the tree, as hashes."""
+
+def parse(docs: DataFrame, doc_id: str, text: str, depth: int, fields: int, min_tokens: int = 3, short: bool = False) -> DataFrame:
+    """Rows (doc_id, text_hash, line, n, leaf, f1..): a line's way down the tree, as hashes; the leaf of a short line is its exact text."""
     # Cut first, explode the lines alone: a text beside its lines would be copied for each of them.
     cut = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(F.col(text), "\n").alias("lines"))
     lines = cut.select("doc_id", "text_hash", F.posexplode("lines").alias("line", "raw"))
     # Most lines have single spaces and no digit, and are split as they stand.
     plain = F.regexp_replace(F.trim(F.regexp_replace("raw", r"[\s]+", " ")), r"(?<!\S)[^\s0-9]*+[0-9]\S*", "<*>")
     masked = F.when(F.col("raw").rlike(r"[0-9\t\r\x0B\f]|  |\A | \z"), plain).otherwise(F.col("raw"))
-    tokens = lines.select("doc_id", "text_hash", "line", F.split(masked, " ").alias("t")).withColumn("n", F.when(F.element_at("t", 1) == "", 0).otherwise(F.size("t")))
+    words, raw, leaf = F.split(masked, " "), [], F.xxhash64("n", F.slice("t", 1, depth))
+    if short:
+        bare = F.regexp_replace(F.regexp_replace("raw", r"\s+", ""), "[0-9]+", "0")
+        words = F.when(F.col("raw").rlike(SPACELESS) & (F.size(words) < min_tokens), F.split(bare, "")).otherwise(words)
+        raw = ["raw"]
+        leaf = F.when(F.col("n") < min_tokens, F.xxhash64(F.lit("exact"), F.trim(F.regexp_replace("raw", r"\s+", " ")))).otherwise(leaf)
+    tokens = lines.select("doc_id", "text_hash", "line", *raw, words.alias("t")).withColumn("n", F.when(F.element_at("t", 1) == "", 0).otherwise(F.size("t")))
     rest = F.greatest(F.col("n") - depth, F.lit(0))
     cut = lambda i: F.lit(depth) + F.floor(rest * i / fields).cast("int")
     return tokens.select(
         "doc_id", "text_hash", "line", "n",
-        F.xxhash64("n", F.slice("t", 1, depth)).alias("leaf"),
+        leaf.alias("leaf"),
         *(F.xxhash64(F.slice("t", cut(i) + 1, cut(i + 1) - cut(i))).alias(f"f{i}") for i in range(fields)),
     )
 
 
-def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 4, fields: int = 4, similarity: float = 0.5, min_docs: int = 3, min_tokens: int = 3) -> DataFrame:
-    """Rows (doc_id, text_hash, line) of the lines to drop; line counts from 0."""
+def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 4, fields: int = 4, similarity: float = 0.5, min_docs: int = 3, min_tokens: int = 3, short: bool = False) -> DataFrame:
+    """Rows (doc_id, text_hash, line) of the lines to drop; line counts from 0. Lines without tokens stay."""
     names = [f"f{i}" for i in range(fields)]
-    lines = materialise(parse(docs, doc_id, text, depth, fields).where(F.col("n") >= min_tokens), "lines")
+    lines = materialise(parse(docs, doc_id, text, depth, fields, min_tokens, short).where(F.col("n") >= (1 if short else min_tokens)), "lines")
     # A template cannot recur in a leaf that has fewer lines; most lines go no further.
     busy = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select("leaf")
     busy = materialise(busy, "busy").hint("merge")  # a written table, so that the join can split a leaf of very many lines
     fixed = [F.xxhash64(F.lit(i), "leaf", *c) for i, c in enumerate(combinations(names, math.ceil(similarity * fields)))]
-    keyed = materialise(lines.join(busy, "leaf").select("doc_id", "text_hash", "line", F.explode(F.array_distinct(F.array(*fixed))).alias("template")), "templates")
+    templates = F.array_distinct(F.array(*fixed))
+    if short:
+        templates = F.when(F.col("n") < min_tokens, F.array("leaf")).otherwise(templates)
+    keyed = materialise(lines.join(busy, "leaf").select("doc_id", "text_hash", "line", F.explode(templates).alias("template")), "templates")
     texts = keyed.groupBy("template", "text_hash").agg(F.min("doc_id").alias("doc_id"))
     often = (
         texts.groupBy("template")
@@ -71,7 +85,7 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Texts without a recurring line are unchanged to the byte; null stays null,
     and a text whose lines all go is empty. Lines of fewer than min_tokens
-    tokens stay. Rows that repeat a doc_id and text are cut alike; null ids are
+    tokens stay unless ``short``; lines without tokens always stay. Rows that repeat a doc_id and text are cut alike; null ids are
     allowed. An empty table gives an empty one. Columns of ``docs`` may have
     any names but n_dropped, which is replaced.
     """

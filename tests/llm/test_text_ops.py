@@ -340,3 +340,15 @@ def test_line_dedup_learns_a_variable_field(spark):
     docs += [(9, "user logs in from quite another place with other words here")]
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[0] == 0 and got[1] == got[2] == got[3] == 1 and got[9] == 0
+
+
+def test_pipeline_drops_lines_shared_by_two_texts_and_short_ones(spark):
+    import corpus_pipeline
+
+    docs = [
+        (1, "a line that two texts share\nRead more\n\n東京都の天気は晴れです12\nown", 0),
+        (2, "a line that two texts share\nRead  more\n\n東京都の天気は晴れです7\nmine", 0),
+        (3, "another line of its own\nRead less", 0),
+    ]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_recurring_lines(spark, spark.createDataFrame(docs, "doc_id long, text string, n_chars long"), "").collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("\nmine", 5), 3: (docs[2][1], 0)}
