@@ -214,7 +214,15 @@ def skeleton(vox: DataFrame, size: tuple[int, int, int]) -> DataFrame:
     The order matters, so one task thins one volume; (x, y, z) of its lit voxels.
     """
 
+    known: dict[bytes, bool] = {}
+
     def simple(n: np.ndarray) -> bool:
+        key = n.tobytes()
+        if key not in known:
+            known[key] = decide(n)
+        return known[key]
+
+    def decide(n: np.ndarray) -> bool:
         """Whether the middle of a 3-box can go: one object around it (26), one background at its faces (6 within 18)."""
         lit = [tuple(c) for c in np.argwhere(n) if tuple(c) != (1, 1, 1)]
         if not lit:

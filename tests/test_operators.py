@@ -201,3 +201,16 @@ def test_network_text_round_trip(spark, tmp_path):
 def test_bits_round_trip(spark, tmp_path, blob):
     (tmp_path / "v.bin").write_bytes(files.pack_bits(vox(spark, blob), SIZE))
     assert cells(files.read_bits(spark, str(tmp_path / "v.bin"))) == blob
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_skeleton_query_thins_the_whole_volume(spark):
+    from plexus.fixtures import SIZE as size
+    from plexus.fixtures import Fixtures
+    from plexus.queries import QUERIES
+
+    whole, thin = cells(stencils.fatten(Fixtures(spark, SF).lit, 3, size)), cells(QUERIES["vox_skeleton"](spark, SF))
+    near = [o for o in cube(1) if any(o)]
+    assert thin < whole and len(labels_by_search(thin, near)) == len(labels_by_search(whole, near)) and max(c[0] for c in thin) > 32
