@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexus.plans.scratch import bounded, materialise
+
 
 def decimate(point: DataFrame, fraction: float) -> DataFrame:
     """Keep a point if it is farther from the last kept one and from the end than ``fraction`` times their mean diameter; both ends stay."""
@@ -298,30 +302,48 @@ def watershed(vox: DataFrame, markers: DataFrame, size: tuple[int, int, int]) ->
     return both.withColumn("one", F.lit("")).groupBy("one").applyInPandas(flood, "x int, y int, z int, label int")
 
 
-def ray_diameters(points: DataFrame, vox: DataFrame, rays: int = 16, reach: int = 20) -> DataFrame:
+def ray_diameters(points: DataFrame, vox: DataFrame, rays: int = 32, reach: int = 8) -> DataFrame:
     """(id, diameter): points (id, x, y, z, tx, ty, tz) with a direction; rays across it run until they meet an unlit voxel.
 
-    The mean square of the rays' lengths gives the radius. Steps are half a
-    voxel; each step is a row of an equi-join with the voxels.
+    The mean square of the rays' lengths gives the radius. Steps are a tenth
+    of a voxel; each voxel that a ray enters is a row of an equi-join with the
+    lit ones. Rays go on in rounds, the first of ``reach`` voxels and each
+    later one twice as long, until none is open: beyond the lit voxels, so
+    outside the volume too, all is unlit. The ids are of one point each.
     """
 
-    def cast(batches):
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                t = np.array([r.tx, r.ty, r.tz], dtype=float)
-                t /= max(np.linalg.norm(t), 1e-12)
-                u = np.cross(t, [1.0, 0, 0] if abs(t[0]) < 0.9 else [0, 1.0, 0])
-                u /= np.linalg.norm(u)
-                w = np.cross(t, u)
-                for k in range(rays):
-                    g = 2 * np.pi * k / rays
-                    d = np.cos(g) * u + np.sin(g) * w
-                    for s in range(2 * reach):
-                        q = np.array([r.x, r.y, r.z]) + d * s / 2
-                        out.append((r.id, k, s, *(int(c) for c in np.floor(q + 0.5))))
-            yield pd.DataFrame(out, columns=["id", "ray", "step", "x", "y", "z"])
-
-    steps = points.select("id", "x", "y", "z", "tx", "ty", "tz").mapInPandas(cast, "id long, ray int, step int, x int, y int, z int")
-    first = steps.join(vox.select("x", "y", "z"), ["x", "y", "z"], "left_anti").groupBy("id", "ray").agg(F.min("step").alias("s"))
-    return first.groupBy("id").agg((2 * F.sqrt(F.avg(F.col("s") * F.col("s") / 4.0))).alias("diameter"))
+    def cast(lo: int, hi: int):
+        step = np.arange(lo, hi)
+
+        def over(batches):
+            for b in batches:
+                for i in range(0, len(b), 2000):
+                    r = b.iloc[i : i + 2000]
+                    t = r[["tx", "ty", "tz"]].to_numpy(dtype=float)
+                    t = t / np.maximum(np.linalg.norm(t, axis=1), 1e-12)[:, None]
+                    u = np.cross(t, np.where(np.abs(t[:, :1]) < 0.9, [[1.0, 0, 0]], [[0, 1.0, 0]]))
+                    u /= np.linalg.norm(u, axis=1)[:, None]
+                    g = 2 * np.pi * r["ray"].to_numpy()[:, None] / rays
+                    d = np.cos(g) * u + np.sin(g) * np.cross(t, u)
+                    at = np.floor(r[["x", "y", "z"]].to_numpy(dtype=float)[:, None, :] + d[:, None, :] * step[None, :, None] / 10 + 0.5).astype(np.int32)
+                    new = np.ones(at.shape[:2], dtype=bool)
+                    new[:, 1:] = (at[:, 1:] != at[:, :-1]).any(axis=2)
+                    k, s = np.nonzero(new)
+                    x, y, z = at[k, s].T
+                    yield pd.DataFrame({"id": r["id"].to_numpy()[k], "ray": r["ray"].to_numpy()[k], "step": step[s], "x": x, "y": y, "z": z})
+
+        return over
+
+    lit = bounded(materialise(vox.select("x", "y", "z").distinct(), "lit"))
+    left = points.select("id", "x", "y", "z", "tx", "ty", "tz").withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))))
+    left = materialise(left.repartition("id", "ray"), "rays")
+    done, lo, hi = [], 0, 10 * reach
+    while not left.isEmpty():
+        steps = left.mapInPandas(cast(lo, hi), "id long, ray int, step int, x int, y int, z int")
+        done.append(materialise(steps.join(lit, ["x", "y", "z"], "left_anti").groupBy("id", "ray").agg(F.min("step").alias("s")), "met"))
+        left = materialise(left.join(done[-1], ["id", "ray"], "left_anti"), "open")
+        lo, hi = hi, hi + 2 * (hi - lo)
+    if not done:
+        return points.select(F.col("id").cast("long"), F.lit(0.0).alias("diameter"))
+    met = reduce(DataFrame.unionByName, done)
+    return met.groupBy("id").agg((2 * F.sqrt(F.avg(F.col("s") * F.col("s") / 100.0))).alias("diameter"))

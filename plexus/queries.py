@@ -296,7 +296,7 @@ def vox_equalise(f):
 
 @query()
 def vox_ray_diameter(f):
-    ids = f.lit.where("x % 8 = 1 and y % 8 = 1").selectExpr("cast(x + 64 * y + 4096 * z as long) AS id", "x", "y", "z", "0.0D AS tx", "0.6D AS ty", "0.8D AS tz")
+    ids = f.lit.selectExpr("cast(x + 64 * y + 4096 * z as long) AS id", "x", "y", "z", "0.0D AS tx", "0.6D AS ty", "0.8D AS tz")
     return rounded(kernels.ray_diameters(ids, stencils.fatten(f.lit, 5, SIZE)))
 
 

@@ -203,6 +203,23 @@ def test_bits_round_trip(spark, tmp_path, blob):
     assert cells(files.read_bits(spark, str(tmp_path / "v.bin"))) == blob
 
 
+def test_rays_go_on_until_unlit(spark):
+    body = {(x, y, z) for x in range(56) for y in range(56) for z in range(2) if (x - 27) ** 2 + (y - 27) ** 2 <= 25**2}
+    at = spark.createDataFrame([(1, 27, 27, 1, 0.0, 0.0, 1.0), (2, 27, 5, 0, 0.0, 0.0, 1.0), (3, 0, 0, 0, 1.0, 0.0, 0.0)], "id long, x int, y int, z int, tx double, ty double, tz double")
+    got = {r["id"]: r["diameter"] for r in kernels.ray_diameters(at, vox(spark, body)).collect()}
+    want = {}
+    for i, x, y in ((1, 27, 27), (2, 27, 5)):
+        s2 = []
+        for k in range(32):
+            u, w, s = np.cross([0, 0, 1.0], [1.0, 0, 0]), np.cross([0, 0, 1.0], np.cross([0, 0, 1.0], [1.0, 0, 0])), 0
+            d = np.cos(2 * np.pi * k / 32) * u + np.sin(2 * np.pi * k / 32) * w
+            while tuple(int(c) for c in np.floor(np.array([x, y, 0]) + d * s / 10 + 0.5)) in body:
+                s += 1
+            s2.append(s * s / 100)
+        want[i] = 2 * math.sqrt(sum(s2) / 32)
+    assert got == pytest.approx(want | {3: 0.0}) and got[1] == pytest.approx(51, abs=1.5)
+
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -214,3 +231,10 @@ def test_skeleton_query_thins_the_whole_volume(spark):
     whole, thin = cells(stencils.fatten(Fixtures(spark, SF).lit, 3, size)), cells(QUERIES["vox_skeleton"](spark, SF))
     near = [o for o in cube(1) if any(o)]
     assert thin < whole and len(labels_by_search(thin, near)) == len(labels_by_search(whole, near)) and max(c[0] for c in thin) > 32
+
+
+def test_ray_query_casts_from_every_lit_voxel(spark):
+    from plexus.fixtures import Fixtures
+    from plexus.queries import QUERIES
+
+    assert QUERIES["vox_ray_diameter"](spark, SF).count() == Fixtures(spark, SF).lit.count()
