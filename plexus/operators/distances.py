@@ -79,15 +79,25 @@ def sprouts(edge: DataFrame, vertex: DataFrame) -> DataFrame:
     return vertex.join(degree(edge).where("n_links = 1").select("v_id"), "v_id", "left_semi")
 
 
+def bounding_box(points: DataFrame) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The least and the greatest x, y, z; both 0, 0, 0 if there are no points."""
+    r = points.agg(*(f(a).cast("double").alias(f"{f.__name__}{a}") for f in (F.min, F.max) for a in "xyz")).first()
+    return tuple(tuple(r[f"{f}{a}"] or 0.0 for a in "xyz") for f in ("min", "max"))
+
+
 def shell_intensity(point: DataFrame, vox: DataFrame, beta: float = 0.5) -> DataFrame:
-    """(e_id, intensity): the mean over an edge's points of the largest voxel value within (1 + beta) r and beyond (1 - beta) r of the point."""
+    """(e_id, intensity): the mean over an edge's points of the largest voxel value within (1 + beta) r and beyond (1 - beta) r of the point; 0 for a point without any."""
     r = F.col("d") / 2
     p = point.select("e_id", "seq", "x", "y", "z", r.alias("r"))
     reach = F.ceil(F.col("r") * (1 + beta)).cast("int")
-    for a in "xyz":
-        p = p.withColumn(f"v{a}", F.explode(F.sequence(F.floor(F.col(a)).cast("int") - reach, F.floor(F.col(a)).cast("int") + reach)))
+    # Boxes end where the volume ends: no voxel is beyond.
+    shell = p
+    for a, lo, hi in zip("xyz", *bounding_box(vox), strict=True):
+        first = F.greatest(F.floor(F.col(a)).cast("int") - reach, F.lit(int(lo)))
+        last = F.least(F.floor(F.col(a)).cast("int") + reach, F.lit(int(hi)))
+        shell = shell.where(first <= last).withColumn(f"v{a}", F.explode(F.sequence(first, last)))
     d2 = sum(((F.col(f"v{a}") - F.col(a)) * (F.col(f"v{a}") - F.col(a)) for a in "xyz"), F.lit(0.0))
-    near = p.where((d2 <= F.pow(F.col("r") * (1 + beta), F.lit(2))) & (d2 >= F.pow(F.col("r") * (1 - beta), F.lit(2))))
+    near = shell.where((d2 <= F.pow(F.col("r") * (1 + beta), F.lit(2))) & (d2 >= F.pow(F.col("r") * (1 - beta), F.lit(2))))
     lit = vox.select(*(F.col(a).alias(f"v{a}") for a in "xyz"), "v")
-    best = near.join(lit, ["vx", "vy", "vz"], "left").groupBy("e_id", "seq").agg(F.coalesce(F.max("v"), F.lit(0)).alias("m"))
-    return best.groupBy("e_id").agg(F.avg("m").alias("intensity"))
+    best = near.join(lit, ["vx", "vy", "vz"]).groupBy("e_id", "seq").agg(F.max("v").alias("m"))
+    return p.select("e_id", "seq").join(best, ["e_id", "seq"], "left").groupBy("e_id").agg(F.avg(F.coalesce("m", F.lit(0))).alias("intensity"))

@@ -553,7 +553,7 @@ def tissue_distance(f):
 
 @query()
 def tissue_distance_histogram(f):
-    return distances.distance_histogram(distances.vessel_distance(distances.tissue_grid(f.spark, (0, 0, 0), (300, 300, 300), 25), f.net_point))
+    return distances.distance_histogram(distances.vessel_distance(distances.tissue_grid(f.spark, *distances.bounding_box(f.net_point), 25), f.net_point))
 
 
 @query(f"""{SEG}, m AS (SELECT e_id, seq, (x+px)/2 AS x, (y+py)/2 AS y, (z+pz)/2 AS z FROM seg), b AS (SELECT x*15.0 AS bx, y*15.0 AS by_, z*30.0 AS bz FROM lit WHERE x % 2 = 0)
@@ -580,8 +580,7 @@ def slice_crossings(f):
 
 @query()
 def sprout_intensity(f):
-    near = f.net_point.where("x < 64 and y < 64").selectExpr("e_id", "seq", "x", "y", "z / 32 AS z", "least(d, 6.0D) AS d")
-    return rounded(distances.shell_intensity(near, f.vox))
+    return rounded(distances.shell_intensity(f.net_point.selectExpr("e_id", "seq", "x", "y", "z / 32 AS z", "d"), f.vox))
 
 
 @query()

@@ -220,6 +220,15 @@ def test_rays_go_on_until_unlit(spark):
     assert got == pytest.approx(want | {3: 0.0}) and got[1] == pytest.approx(51, abs=1.5)
 
 
+def test_shell_intensity_takes_all_points(spark):
+    rng = random.Random(4)
+    v = {(x, y, z): rng.randrange(1, 250) for x in range(8) for y in range(8) for z in range(8) if rng.random() < 0.3}
+    pts = [(e, q, rng.uniform(-4, 14), rng.uniform(-4, 14), rng.uniform(0, 8), rng.uniform(1, 9)) for e in range(5) for q in range(6)] + [(9, 0, 500.0, 0.0, 0.0, 3.0)]
+    got = {r["e_id"]: r["intensity"] for r in distances.shell_intensity(spark.createDataFrame(pts, "e_id long, seq long, x double, y double, z double, d double"), spark.createDataFrame([(*k, n) for k, n in v.items()], "x int, y int, z int, v int")).collect()}
+    best = {(e, q): max((n for k, n in v.items() if 0.5 * d / 2 <= math.dist(k, (x, y, z)) <= 1.5 * d / 2), default=0) for e, q, x, y, z, d in pts}
+    assert got == pytest.approx({e: np.mean([m for (f, _), m in best.items() if f == e]) for e in {p[0] for p in pts}})
+
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -238,3 +247,14 @@ def test_ray_query_casts_from_every_lit_voxel(spark):
     from plexus.queries import QUERIES
 
     assert QUERIES["vox_ray_diameter"](spark, SF).count() == Fixtures(spark, SF).lit.count()
+
+
+def test_sprout_and_tissue_queries_take_the_whole_network(spark):
+    from plexus.fixtures import Fixtures
+    from plexus.queries import QUERIES
+
+    p = Fixtures(spark, SF).net_point
+    assert QUERIES["sprout_intensity"](spark, SF).count() >= p.select("e_id").distinct().count()
+    lo, hi = distances.bounding_box(p)
+    cells_of = [math.ceil((b - a) / 25 - 0.5) for a, b in zip(lo, hi, strict=True)]
+    assert 12**3 < QUERIES["tissue_distance_histogram"](spark, SF).agg({"n": "sum"}).first()[0] <= math.prod(cells_of)
