@@ -138,19 +138,59 @@ def lowess(x: np.ndarray, y: np.ndarray, span: float = 1 / 3, rounds: int = 3) -
     return out
 
 
-def equalise(vox: DataFrame, least: int, span: float = 1 / 3) -> DataFrame:
-    """(z, raw, smooth, gain) per slice: sums of values above ``least``, their LOWESS curve, and the gain that brings a slice to it.
+def slice_gain(v: np.ndarray, n: np.ndarray, raw: float, smooth: float, least: int) -> float:
+    """The gain a at which the sum of floor(a v + 0.5) above ``least`` crosses ``smooth``, for values v that occur n times each.
 
-    Only one row per slice and value goes to the kernel.
+    Steps of 0.01 from smooth / raw, and the secant over the last. A slice
+    without values above ``least`` keeps 1; no gain brings a sum to a smooth
+    value of 0 or less, and 0 comes closest.
     """
-    h = vox.where(F.col("v") > least).groupBy("z").agg(F.sum("v").cast("double").alias("raw"))
+    if raw == 0:
+        return 1.0
+    if smooth <= 0:
+        return 0.0
+
+    def off(a: float) -> float:
+        w = np.trunc(a * v + 0.5)
+        return float((w * n)[w > least].sum()) - smooth
+
+    a, e = smooth / raw, off(smooth / raw)
+    step = -0.01 if e > 0 else 0.01
+    while True:
+        b = a + step
+        e2 = off(b)
+        if e2 * step > 0:
+            return a - e * (b - a) / (e2 - e)
+        a, e = b, e2
+
+
+def slice_gains(vox: DataFrame, least: int, depth: int, span: float = 1 / 3) -> DataFrame:
+    """(z, raw, smooth, gain) of the slices 0 to depth - 1: sums of values above ``least``, their LOWESS curve, and the gain that brings a slice to it.
+
+    One row per slice goes to the curve, one per slice and value to the gains.
+    """
+    counts = vox.groupBy("z", F.col("v").cast("int").alias("v")).agg(F.count("*").alias("n"))
+    raw = counts.where(F.col("v") > least).groupBy("z").agg(F.sum(F.col("v") * F.col("n")).cast("double").alias("raw"))
+    slices = vox.sparkSession.range(depth).select(F.col("id").cast("int").alias("z")).join(raw, "z", "left").fillna(0.0, ["raw"])
 
     def curve(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("z")
-        s = lowess(t["z"].to_numpy(dtype=float), t["raw"].to_numpy(), span)
-        return pd.DataFrame({"z": t["z"], "raw": t["raw"], "smooth": s, "gain": s / t["raw"]})
+        return pd.DataFrame({"z": t["z"], "raw": t["raw"], "smooth": lowess(t["z"].to_numpy(dtype=float), t["raw"].to_numpy(), span)})
+
+    def solve(t: pd.DataFrame) -> pd.DataFrame:
+        first, some = t.iloc[0], t.dropna(subset=["v"])
+        gain = slice_gain(some["v"].to_numpy(dtype=float), some["n"].to_numpy(dtype=float), first["raw"], first["smooth"], least)
+        return pd.DataFrame({"z": [first["z"]], "raw": [first["raw"]], "smooth": [first["smooth"]], "gain": [gain]}).astype({"z": "int32"})
+
+    smooth = slices.withColumn("one", F.lit("")).groupBy("one").applyInPandas(curve, "z int, raw double, smooth double")
+    return smooth.join(counts, "z", "left").groupBy("z").applyInPandas(solve, "z int, raw double, smooth double, gain double")
+
 
-    return h.withColumn("one", F.lit("")).groupBy("one").applyInPandas(curve, "z int, raw double, smooth double, gain double")
+def equalise(vox: DataFrame, least: int, depth: int, span: float = 1 / 3) -> DataFrame:
+    """The volume with each slice's values times its gain, 255 at most; what would be ``least`` or less keeps its raw value."""
+    gains = slice_gains(vox, least, depth, span).select("z", "gain")
+    scaled = F.least(F.floor(F.col("gain") * F.col("v") + 0.5), F.lit(255)).cast("int")
+    return vox.join(gains, "z").select("x", "y", "z", F.when(scaled > least, scaled).otherwise(F.col("v")).cast("int").alias("v"))
 
 
 def motility(edge: DataFrame, vertex: DataFrame, sizes: DataFrame, walks: int, speed: float, cv: float, times: list[float], power: float = 2.0, seed: int = 1, small: int = 2_000_000) -> DataFrame:

@@ -291,7 +291,7 @@ def vox_watershed(f):
 
 @query()
 def vox_equalise(f):
-    return rounded(kernels.equalise(f.vox, 20))
+    return kernels.equalise(f.vox, 20, D)
 
 
 @query()

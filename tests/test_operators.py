@@ -220,6 +220,28 @@ def test_rays_go_on_until_unlit(spark):
     assert got == pytest.approx(want | {3: 0.0}) and got[1] == pytest.approx(51, abs=1.5)
 
 
+def test_equalise_brings_slices_to_the_curve(spark):
+    rng = random.Random(3)
+    rows = [(x, y, z, rng.randrange(1, 120 + 20 * (z % 3))) for x in range(12) for y in range(12) for z in range(9) if z != 4]
+    v = spark.createDataFrame(rows, "x int, y int, z int, v int")
+    gains = {r["z"]: r for r in kernels.slice_gains(v, 20, 10).collect()}
+    raw = [float(sum(r[3] for r in rows if r[2] == z and r[3] > 20)) for z in range(10)]
+    smooth = kernels.lowess(np.arange(10.0), np.array(raw))
+    assert [gains[z]["raw"] for z in range(10)] == raw and [gains[z]["smooth"] for z in range(10)] == pytest.approx(list(smooth))
+    assert gains[4]["gain"] == gains[9]["gain"] == 1
+
+    def off(z, a):
+        return sum(w for w in (int(a * r[3] + 0.5) for r in rows if r[2] == z) if w > 20) - smooth[z]
+
+    for z in range(9):
+        assert raw[z] == 0 or smooth[z] <= 0 or off(z, gains[z]["gain"] - 0.01) <= 0 <= off(z, gains[z]["gain"] + 0.01)
+    want = set()
+    for x, y, z, k in rows:
+        w = min(int(gains[z]["gain"] * k + 0.5), 255)
+        want.add((x, y, z, w if w > 20 else k))
+    assert {tuple(r) for r in kernels.equalise(v, 20, 10).collect()} == want
+
+
 def test_shell_intensity_takes_all_points(spark):
     rng = random.Random(4)
     v = {(x, y, z): rng.randrange(1, 250) for x in range(8) for y in range(8) for z in range(8) if rng.random() < 0.3}
