@@ -19,10 +19,10 @@ W, H, D = SIZE
 
 
 def query(sql: str | None = None):
-    """Register a function of the fixtures; ``sql`` follows the fixtures' common table expressions."""
+    """Register a function of the fixtures; ``sql`` follows the fixtures' common table expressions. Without SQL, networks are of whole tables."""
 
     def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir, whole=sql is None))
         if sql:
             SQL[f.__name__] = f"{ctes()}{'' if sql.lstrip().startswith('SELECT') else ','}\n{sql.strip()}"
         return f

@@ -275,8 +275,18 @@ def test_sprout_and_tissue_queries_take_the_whole_network(spark):
     from plexus.fixtures import Fixtures
     from plexus.queries import QUERIES
 
-    p = Fixtures(spark, SF).net_point
-    assert QUERIES["sprout_intensity"](spark, SF).count() >= p.select("e_id").distinct().count()
+    p = Fixtures(spark, SF, whole=True).net_point
+    assert QUERIES["sprout_intensity"](spark, SF).count() == p.select("e_id").distinct().count()
     lo, hi = distances.bounding_box(p)
     cells_of = [math.ceil((b - a) / 25 - 0.5) for a, b in zip(lo, hi, strict=True)]
     assert 12**3 < QUERIES["tissue_distance_histogram"](spark, SF).agg({"n": "sum"}).first()[0] <= math.prod(cells_of)
+
+
+def test_queries_without_sql_see_all_orders(spark):
+    from plexus.fixtures import Fixtures
+    from plexus.queries import QUERIES
+
+    f = Fixtures(spark, SF, whole=True)
+    orders, items = f.orders.count(), f.lineitem.join(f.orders, f.lineitem["l_orderkey"] == f.orders["o_orderkey"], "left_semi").count()
+    assert f.net_edge.count() == orders and f.net_point.count() == 2 * orders + items
+    assert QUERIES["am_smooth"](spark, SF).select("e_id").distinct().count() == orders
