@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexus.plans.scratch import drop, materialise
+from plexus.plans.scratch import drop, held, materialise
 
 
 def _towards_minimum(pairs: DataFrame, small: bool) -> DataFrame:
@@ -29,17 +29,19 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     links: two columns of one orderable type. Links with a null end and links
     from a node to itself name no other node; the latter give their node its
     own label, the former are ignored. Each round is written to the shared
-    folder; only its row count and checksum reach the driver. An empty table
-    gives an empty result.
+    folder, in files by its counted rows; only its row count and checksum reach
+    the driver. An empty table gives an empty result.
     """
-    ends = materialise(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null"), "ends")
+    ends = held(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null"))
     alone = ends.where("a = b").select(F.col("a").alias("node"))
-    pairs = materialise(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    # A round has no more rows than the one before: each link goes over to at most one other, and each node to its least neighbour.
+    most = 2 * ends.count()
+    pairs = materialise(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", rows=most)
     before = None
     for _ in range(max_rounds):
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _towards_minimum(both, small=False)
-        after = materialise(_towards_minimum(large.select(F.col("a").alias("u"), F.col("b").alias("v")), small=True), "round")
+        after = materialise(_towards_minimum(large.select(F.col("a").alias("u"), F.col("b").alias("v")), small=True), "round", rows=most)
         drop(pairs)
         pairs = after
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

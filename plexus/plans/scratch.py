@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +14,12 @@ _OWN: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests, notebooks)."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on this machine (tests, notebooks)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "local" not in _OWN:
         _OWN["local"] = "file://" + tempfile.mkdtemp(prefix="plexus-shared-")
     return _OWN["local"]
@@ -30,40 +33,78 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def _remove_all(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _remove(spark, path)
+
+
+_WRITTEN: list[str] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the shared one; it goes when the process ends."""
+    if not _WRITTEN:
+        atexit.register(_remove_all, spark, _WRITTEN)
+    _WRITTEN.append(f"{root(spark)}/plexus-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def materialise(df: DataFrame, name: str, compression: str = "snappy", rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage in a way that survives the loss of executors: the
     table does not live on any of them. The table goes when the process ends.
+    rows: where the caller has counted them, a bound on the rows; then there is
+    a file for each ROWS_A_FILE of them at most, so that small tables are not
+    strewn over as many files as there are partitions.
     """
     spark = df.sparkSession
-    path = f"{root(spark)}/plexus-{uuid.uuid4().hex}/{name}"
+    path = f"{_folder(spark)}/{name}"
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_FILE + 1)
     df.write.option("compression", compression).parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that one task writes quickly.
+ROWS_A_FILE = 500_000
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Keep a table of narrow rows on the executors' disks, as it is read several times.
+
+    The lineage stays: what goes with an executor is computed anew. Loops and
+    results of long computations are written with ``materialise`` instead. The
+    blocks go with ``spark.catalog.clearCache()`` or the session.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def put_bytes(spark: SparkSession, content: bytes, name: str) -> str:
     """Write a file of the driver's to the shared folder; its path. It goes when the process ends."""
-    path = f"{root(spark)}/plexus-{uuid.uuid4().hex}/{name}"
+    path = f"{_folder(spark)}/{name}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
     try:
         out.write(content)
     finally:
         out.close()
-    atexit.register(_remove, spark, path)
     return path
 
 
 def drop(df: DataFrame) -> None:
-    """Delete a materialised table that no later plan reads."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+    """Delete a materialised table, with its folder, that no later plan reads."""
+    for f in {x.rsplit("/", 2)[0] for x in df.inputFiles()}:
         _remove(df.sparkSession, f)
+        if f in _WRITTEN:
+            _WRITTEN.remove(f)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most ``rows`` rows, so that very long texts do not add up to a huge batch."""
+    """Arrow batches of at most ``rows`` rows, so that very long texts do not add up to a huge batch.
+
+    This setting of the session stays, as it is read when a plan runs and not when it is made.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
