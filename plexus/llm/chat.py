@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexus.llm.rows import pick
 from plexus.plans.scratch import materialise
 
 
@@ -56,9 +57,11 @@ def collapse(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     as empty in both hash and rendering; turns with equal numbers are ordered by
     role, then text; null turn numbers come first; repeated rows are turns of
     their own. Turns of a null conv_id are one conversation, whose id is null
-    and which yields to an equal one with an id. An empty table gives an empty result.
+    and which yields to an equal one with an id. Ids may be of any type, other
+    columns may have any names. Markers within a text are not escaped, as the
+    rendering is fixed. An empty table gives an empty result.
     """
-    plain = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((role, "role"), (text, "text"))))
+    plain = pick(turns, conv_id=conv_id, turn=turn, role=role, text=text).withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text")})
     hashed, stay = maximal_conversations(plain)
     said = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("<|end|>"))
     stay = stay.select(F.col("conv_id").alias("id"))

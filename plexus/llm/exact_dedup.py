@@ -21,11 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from plexus.llm.rows import pick
 from plexus.plans.scratch import small_batches
 
-RECORDS = T.StructType([T.StructField("h", T.LongType()), T.StructField("text", T.StringType()), T.StructField("largest", T.LongType()), T.StructField("n", T.LongType())])
-VERDICTS = T.StructType([T.StructField("text_sha256", T.StringType()), T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType())])
+def records(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("h", T.LongType()), T.StructField("text", T.StringType()), T.StructField("largest", id_type), T.StructField("n", T.LongType())])
+
+
+def verdict_rows(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("text_sha256", T.StringType()), T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType())])
 
 
 class Table:
@@ -107,10 +113,10 @@ def spilled(f):
             return
 
 
-def batches_of(table: Table, size: int = 500):
+def batches_of(table: Table, id_type: pa.DataType, size: int = 500):
     rows = list(table.rows())
     for i in range(0, len(rows), size):
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=RECORDS.names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.string(), id_type, pa.int64()), strict=True)], names=["h", "text", "largest", "n"])
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", normalise=lambda c: c, memory: int = 48_000_000) -> DataFrame:
@@ -120,11 +126,15 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nor
     default). Null texts are as empty. Of equal texts the row with the largest
     doc_id stays; rows that repeat that doc_id stay with it, and null ids count
     as the smallest (a group of null ids only has keep_id null and keeps all
-    its rows). An empty table gives an empty result.
+    its rows). Ids may be numbers or strings, other columns may have any names.
+    An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    content: Column = F.coalesce(normalise(docs[text]), F.lit(""))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), content.alias("text"))
+    rows = pick(docs, doc_id=doc_id, text=text)
+    content: Column = F.coalesce(normalise(F.col("text")), F.lit(""))
+    rows = rows.select("doc_id", content.alias("text"))
+    kind = rows.schema["doc_id"].dataType
+    id_type = to_arrow_type(kind)
 
     def own_repeats(batches):
         table = Table()
@@ -132,18 +142,18 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nor
             for h, t, i in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 table.add(h, t, i, 1)
             if table.bytes > memory:
-                yield from batches_of(table)
+                yield from batches_of(table, id_type)
                 table = Table()
-        yield from batches_of(table)
+        yield from batches_of(table, id_type)
 
     def verdicts(batches):
         rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True))
         for table in grace(rows, memory):
             if table.texts:
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t.encode()).hexdigest() for t in table.texts], type=pa.string()), pa.array(table.largest, type=pa.int64()), pa.array(table.counts, type=pa.int64())], names=VERDICTS.names)
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t.encode()).hexdigest() for t in table.texts], type=pa.string()), pa.array(table.largest, type=id_type), pa.array(table.counts, type=pa.int64())], names=["text_sha256", "keep_id", "group_size"])
 
-    distinct = rows.select(F.xxhash64("text").alias("h"), "text", "doc_id").mapInArrow(own_repeats, RECORDS)
-    found = distinct.repartition("h").mapInArrow(verdicts, VERDICTS)
+    distinct = rows.select(F.xxhash64("text").alias("h"), "text", "doc_id").mapInArrow(own_repeats, records(kind))
+    found = distinct.repartition("h").mapInArrow(verdicts, verdict_rows(kind))
     return (
         rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
         .join(found, "text_sha256")

@@ -2,8 +2,9 @@
 
 Both steps are one-versus-one linear support vector machines over hashed byte
 n-grams of the whole text. They are fitted on the driver on a bounded sample:
-at most ``sample`` labelled rows of each language, those with the smallest
-hashes of doc_id, and at most ``sample_bytes`` of each.
+at most ``sample`` labelled texts of each language and ``total`` of all, those
+with the smallest hashes of id and text. The features of whole texts are
+computed by the executors; only those (a few KB a text) go to the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexus.plans.scratch import bounded, lean, materialise, small_batches
+from plexus.llm.rows import identity, numbered, pick, place
+from plexus.plans.scratch import bounded, held, lean, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 BITS = 13
@@ -50,20 +52,20 @@ def features(text: str) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """A linear SVM (hinge loss, y of -1 and 1) by dual coordinate descent; the bias is a constant feature."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), np.einsum("ij,ij->i", x, x)
+    w, bias, alpha, norm = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), np.einsum("ij,ij->i", x, x) + 1
     rng = np.random.default_rng(0)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / norm[i], 0.0), c)
+            new = min(max(alpha[i] - (y[i] * (w @ x[i] + bias) - 1) / norm[i], 0.0), c)
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * x[i]
+                bias += (new - alpha[i]) * y[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w[:-1], float(w[-1])
+    return w, float(bias)
 
 
 class Votes:
@@ -80,7 +82,7 @@ class Votes:
             w.append(v)
             bias.append(c)
             self.pairs.append((a, b))
-        self.w = np.array(w, dtype=np.float32).reshape(len(w), -1)
+        self.w = np.array(w, dtype=np.float32).reshape(len(w), x.shape[1])
         self.bias = np.array(bias)
 
     def of(self, v: np.ndarray) -> tuple[str, float]:
@@ -97,12 +99,12 @@ class Votes:
 
 
 class Model:
-    """Machines between families, and between the languages of each family."""
+    """Machines between families, and between the languages of each family; a class of its own needs none."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str]):
+        """x: a row of features for each text."""
         self.family = None
         if langs:
-            x = np.array([features(t) for t in texts], dtype=np.float32)
             kin = [family_of(k) for k in langs]
             self.family = Votes(x, kin)
             at = {f: [i for i, k in enumerate(kin) if k == f] for f in set(kin)}
@@ -122,38 +124,71 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 300, sample_bytes: int = 20_000) -> Model:
-    """Fit on rows that aren't held out and have a language and a letter: at most ``sample`` a language, ``sample_bytes`` symbols each.
+def spread(parts: tuple[bytes, bytes]) -> np.ndarray:
+    """Features from their places and values."""
+    x = np.zeros(1 << BITS, dtype=np.float32)
+    x[np.frombuffer(parts[0], dtype="<u2")] = np.frombuffer(parts[1], dtype="<f4")
+    return x
 
-    Rows that repeat an id count towards ``sample``, but are learned from once (the least text).
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 300, total: int = 20_000) -> Model:
+    """Fit on texts that aren't held out and have a language and a letter: at most ``sample`` a language, and ``total`` in all.
+
+    The bound is on texts, each of which is learned from as a whole; rows that
+    repeat an id and a text are one. With over total / sample languages each
+    has an equal share of ``total``, but no fewer than 30. The driver gets the
+    features of these texts (under 50 KB each) and no text.
     """
-    usable = docs.where(~held_out(docs[doc_id]) & docs[lang].isNotNull() & docs[text].rlike(r"\p{L}")).select(docs[doc_id].alias("id"), docs[lang].alias("l"), docs[text].alias("t"))
-    # A hash's place in the range of all hashes, by powers of two: 64 counts a language tell up to which power the sample
+    small_batches(docs.sparkSession)
+    rows = pick(docs, id=doc_id, t=text, l=lang)
+    ka, kb = identity(F.col("id"), F.col("t"))
+    usable = rows.where(~held_out(F.col("id")) & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}")).select("l", "t", ka.alias("ka"), kb.alias("kb"))
+    # A hash's place in the range of all hashes, by powers of two: 64 estimates a language tell up to which power the sample
     # reaches, so the rows that are ranked are about as many as the sample at every size of the corpus.
-    place = F.xxhash64(F.col("id").cast("string"))
-    power = F.floor(F.log2(F.greatest(place / 2.0**64 + 0.5, F.lit(2.0**-63))))
-    sizes = usable.groupBy("l", power.alias("p")).agg(F.count("*").alias("n"))
+    power = F.floor(F.log2(F.greatest(F.col("ka") / 2.0**64 + 0.5, F.lit(2.0**-63))))
+    sizes = held(usable.groupBy("l", power.alias("p")).agg(F.approx_count_distinct("ka", 0.02).alias("n")))
+    sample = max(min(sample, 30), min(sample, total // max(1, sizes.select("l").distinct().count())))
     so_far = Window.partitionBy("l").orderBy("p")
-    reach = materialise(sizes.withColumn("n", F.sum("n").over(so_far)).groupBy("l").agg(F.coalesce(F.min(F.when(F.col("n") >= sample, F.col("p"))), F.lit(0)).alias("reach")), "reach")
-    near = usable.select("l", "id", place.alias("h"), power.alias("p")).join(bounded(reach), "l").where("p <= reach").groupBy("l", "h", "id").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("l").orderBy("h", "id")) - F.col("n")
-    chosen = materialise(near.withColumn("before", before).where(F.col("before") < sample).select("l", "id"), "chosen")
-    picked = usable.join(bounded(chosen), ["l", "id"], "left_semi").groupBy("l", "id").agg(F.min(F.substring("t", 1, sample_bytes)).alias("t")).collect()
-    picked.sort(key=lambda r: (r["l"], r["t"]))
-    return Model([r["t"] for r in picked], [r["l"] for r in picked])
+    reach = held(sizes.withColumn("n", F.sum("n").over(so_far)).groupBy("l").agg(F.coalesce(F.min(F.when(F.col("n") >= 1.2 * sample, F.col("p"))), F.lit(0)).alias("reach")))
+    near = usable.select("l", "ka", "kb", power.alias("p")).join(bounded(reach), "l").where("p <= reach").select("l", "ka", "kb").distinct()
+    chosen = held(near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("ka", "kb"))).where(F.col("k") <= sample).drop("k"))
+
+    def over(batches):
+        for b in batches:
+            x = [features(t).astype("<f4") for t in b.column(3).to_pylist()]
+            at = [np.flatnonzero(v) for v in x]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([a.astype("<u2").tobytes() for a in at], type=pa.binary()), pa.array([v[a].tobytes() for v, a in zip(x, at, strict=True)], type=pa.binary())], names=["l", "ka", "kb", "at", "x"])
+
+    picked = usable.join(bounded(chosen), ["l", "ka", "kb"], "left_semi").select("l", "ka", "kb", "t")
+    picked = picked.mapInArrow(lambda b: lean(over(b)), T.StructType([*picked.schema.fields[:3], T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())]))
+    # Repeats have the same features; those of one task meet in a partial aggregate, and the sample bounds what is left.
+    learned = sorted((tuple(r) for r in picked.groupBy("l", "ka", "kb").agg(F.min("at").alias("at"), F.min("x").alias("x")).collect()), key=lambda r: r[:3])
+    x = np.zeros((len(learned), 1 << BITS), dtype=np.float32)
+    for i, r in enumerate(learned):
+        x[i] = spread(r[3:])
+    return Model(x, [r[0] for r in learned])
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: tuple[str, ...] = (), **how) -> DataFrame:
     """One row per row of ``docs``: doc_id, the columns of ``keep``, held_out, lang_pred, score.
 
     lang_pred is a learned language, or ``und`` with score 0 if the text is
-    null, has no letter, or nothing could be learned. The whole text is read;
-    no other column is an input. Repeated rows give repeated results; an empty
-    table gives an empty one.
+    null, has no letter, or nothing could be learned; with one language (or one
+    in a family) there is nothing to decide there, and its part of the score is
+    1. The whole text is read; no other column is an input. Repeated rows give
+    repeated results; ids may be null or of any type, other columns may have
+    any names; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
     model = fit(docs, doc_id, text, lang, **how)
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), *(docs[f"`{c}`"] for c in keep), held_out(docs[doc_id]).alias("held_out"), docs[text].alias("text to read"))
+    by = numbered(docs)
+    wanted = [f"c{place(docs, c)}" for c in (doc_id, *keep)]
+    rows = by.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(wanted)), held_out(F.col(wanted[0])).alias("held_out"), F.col(f"c{place(docs, text)}").alias("t"))
+    return predicted(rows, model).toDF("doc_id", *keep, "held_out", "lang_pred", "score")
+
+
+def predicted(rows: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``rows`` but the last, a text, then lang_pred and score of it."""
+    small_batches(rows.sparkSession)
     fields = rows.schema.fields[:-1]
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
@@ -166,8 +201,11 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.1) -> DataFrame:
-    """The rows and columns of ``docs`` whose language is told; ``und`` and scores under ``min_score`` go. lang becomes the prediction where it is null."""
-    names = docs.columns
-    seen = identify(docs.select("doc_id", "text", "lang", *(F.col(c).alias(f"kept {c}") for c in names)), keep=tuple(f"kept {c}" for c in names))
+    """The rows and columns of ``docs`` whose language is told; ``und`` and scores under ``min_score`` go. lang becomes the prediction where it is null.
+
+    Columns may have any names and repeat; doc_id, text and lang are found by their exact names.
+    """
+    rows, text, lang = numbered(docs), f"c{place(docs, 'text')}", f"c{place(docs, 'lang')}"
+    seen = predicted(rows.select("*", F.col(text).alias("t")), fit(docs))
     known = seen.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return known.select(*(F.coalesce("`kept lang`", "lang_pred").alias("lang") if c == "lang" else F.col(f"`kept {c}`").alias(c) for c in names))
+    return known.select(*(F.coalesce(c, "lang_pred").alias(c) if c == lang else c for c in rows.columns)).toDF(*docs.columns)

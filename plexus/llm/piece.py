@@ -26,7 +26,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plexus.llm.rows import numbered, place
 from plexus.plans.scratch import lean, small_batches
 
 MARK = "▁"
@@ -35,6 +38,8 @@ RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 
 #: The longest run, in symbols, that goes into the matrix.
 SHORT = 32
+#: Bytes that Python takes for an entry of a dictionary, a short string and a bytes object.
+ENTRY = 180
 
 
 def packed(ids) -> bytes:
@@ -116,7 +121,8 @@ class Pairs:
 class Pieces:
     """A BPE vocabulary with byte fallback, identity normalisation and a leading space mark."""
 
-    def __init__(self, model: bytes, remember: int = 300_000):
+    def __init__(self, model: bytes, remember: int = 45_000_000):
+        """remember: bytes of runs and ids that are kept, with Python's own for each entry."""
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -133,6 +139,7 @@ class Pieces:
         self.remember = remember
         self.matrix = Pairs(self.ids, self.rank, self.outside) if all(c in self.ids for p in self.ids for c in p) else None
         self.known: dict[str, bytes] = {}  # of packed ids
+        self.size = 0  # bytes of known
 
     def run(self, s: str) -> tuple[int, ...]:
         """The ids of one independent run of symbols, by the agenda."""
@@ -184,46 +191,56 @@ class Pieces:
         marked = MARK + text.replace(" ", MARK)
         return [r[1:] for r in RUNS.findall(marked)] if self.separable else [marked[1:]]
 
-    def ids_of(self, runs: list[str]) -> list[int]:
-        """The ids of remembered runs, one after the other."""
-        return np.frombuffer(b"".join(map(self.known.__getitem__, runs)), dtype=np.int32).tolist()
+    def packed_ids(self, runs: list[str], fresh: dict[str, bytes]) -> bytes:
+        """The packed ids of runs, one after the other."""
+        if not fresh:
+            return b"".join(map(self.known.__getitem__, runs))
+        known = self.known
+        return b"".join([known.get(r) or fresh[r] for r in runs])
 
     def encode(self, text: str | None) -> list[int]:
         """All ids of a whole text, the end id last; null is as empty."""
         runs = self.runs(text or "")
-        self.learn([runs])
-        return [*self.ids_of(runs), self.eos]
+        return [*np.frombuffer(self.packed_ids(runs, self.learn([runs])), dtype=np.int32).tolist(), self.eos]
 
     def trim(self) -> None:
-        """Keep a third of what may be remembered: what came first, which is what comes often."""
-        self.known = dict(islice(self.known.items(), self.remember // 3))
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the runs of a batch that are not yet remembered."""
-        all_runs = set(chain.from_iterable(texts))
-        fresh = all_runs.difference(self.known)
-        if len(self.known) + len(fresh) > self.remember:
+        """Keep half of what may be remembered: what came first, which is what comes often."""
+        self.size, stay = 0, 0
+        for r, ids in self.known.items():
+            if self.size > self.remember // 2:
+                break
+            self.size += len(r) + len(ids) + ENTRY
+            stay += 1
+        self.known = dict(islice(self.known.items(), stay))
+
+    def learn(self, texts: list[list[str]]) -> dict[str, bytes]:
+        """Encode the runs of a batch that are not yet remembered; long runs come back and are not remembered."""
+        new = set(chain.from_iterable(texts)).difference(self.known)
+        if self.size > self.remember:
             self.trim()
-            fresh = all_runs.difference(self.known)
+            new = set(chain.from_iterable(texts)).difference(self.known)
         by_length: dict[int, list[str]] = {}
-        for r in fresh:
-            if self.matrix and 0 < len(r) < SHORT:
-                by_length.setdefault(len(r) + 4 >> 2, []).append(r)
-            else:
-                self.known[r] = packed(self.run(MARK + r))
+        for r in new:
+            by_length.setdefault(min(len(r), SHORT) + 4 >> 2, []).append(r)
+        long = {r: packed(self.run(MARK + r)) for r in by_length.pop(SHORT + 4 >> 2, ())}
         for some in by_length.values():
             for i in range(0, len(some), 20_000):
                 part = some[i : i + 20_000]
-                self.known.update(zip(part, self.matrix.encode([MARK + r for r in part]), strict=True))
-
-    def check(self, texts: list[str], ids: list[list[int]]) -> None:
-        """Hold the ids of whole texts (without the end id) against the library's."""
-        for text, own, its in zip(texts, ids, self.library.encode(texts), strict=True):
-            if own != its:
+                ids = self.matrix.encode([MARK + r for r in part]) if self.matrix else [packed(self.run(MARK + r)) for r in part]
+                self.known.update(zip(part, ids, strict=True))
+                self.size += sum(map(len, part)) + sum(map(len, ids)) + ENTRY * len(part)
+        return long
+
+    def checked(self, texts: list[str], own: list[bytes]) -> list[list[int]]:
+        """The ids of whole texts (without the end id), held against the library's."""
+        its = self.library.encode(texts)
+        for text, a, b in zip(texts, own, its, strict=True):
+            if a != packed(b):
                 raise AssertionError(f"the agenda and the library differ on a text of {len(text)} symbols")
+        return its
 
 
-def portions(batch: pa.RecordBatch, column: int, size: int = 1_000_000):
+def portions(batch: pa.RecordBatch, column: int, size: int = 2_000_000):
     """Parts of a batch of about ``size`` bytes of text, or one row if its text is longer."""
     start = total = 0
     for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
@@ -243,8 +260,8 @@ def load(model_path: str) -> bytes:
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), full: bool = False) -> DataFrame:
     """Encode and decode every whole text; one row per row of ``docs``, no shuffle.
 
-    Returns the columns of ``keep`` (their names win over the new ones'), then
-    n_tokens, ids_sha256, decoded_sha256; with ``full`` also ids array<int> and
+    Returns the columns of ``keep`` (by their exact names; others may have any
+    names), then n_tokens, ids_sha256, decoded_sha256; with ``full`` also ids array<int> and
     decoded string. Null texts are as empty: the end id alone, decoded to "".
     Repeated rows give repeated results; an empty table gives an empty one.
     The model file (well under 10 MB, checked) goes along with the tasks.
@@ -253,10 +270,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
     model = load(model_path)
     if len(model) > 10_000_000:
         raise ValueError("a vocabulary of over 10 MB isn't shipped with the tasks")
-    docs = docs.select(*keep, docs[text].alias("text to read"))
-    fields = docs.select(*keep).schema.fields
-    from pyspark.sql import types as T
-
+    rows = numbered(docs).select(*(F.col(f"c{place(docs, c)}").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"c{place(docs, text)}").alias("t"))
+    fields = rows.schema.fields[:-1]
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if full:
         new += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
@@ -270,11 +285,9 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
         for batch in (part for b in batches for part in portions(b, len(fields))):
             texts = [t or "" for t in batch.column(len(fields)).to_pylist()]
             cut = [pieces.runs(t) for t in texts]
-            pieces.learn(cut)
-            encoded = [pieces.ids_of(t) for t in cut]
-            pieces.check(texts, encoded)
+            fresh = pieces.learn(cut)
             rows, plain = [], []
-            for ids in encoded:
+            for ids in pieces.checked(texts, [pieces.packed_ids(t, fresh) for t in cut]):
                 ids.append(pieces.eos)
                 decoded = pieces.library.decode(ids)
                 rows.append((len(ids), sha(" ".join(map(spelled, ids))), sha(decoded)))
@@ -286,4 +299,4 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + [f.name for f in new])
         pieces.trim()
 
-    return docs.mapInArrow(lambda b: lean(over(b)), T.StructType([*fields, *new]))
+    return rows.mapInArrow(lambda b: lean(over(b)), T.StructType([*fields, *new])).toDF(*keep, *(f.name for f in new))

@@ -12,6 +12,10 @@ account  from a cue (IBAN, account no, ...) or letters before check digits: a
          valid IBAN (mod 97), or after a cue a code of 6 to 30 signs with six digits
 address  from a street cue next to a capitalised name and a house number
 login    from a scheme: user and password before the host
+secret   from a cue (password, token, api key, ...) with "=" or ":" behind it: the
+         value, quoted or of one word, if it is no plain word; from the fixed
+         prefixes of access keys: the key, if it is as long as such keys are; from
+         the head of a PEM block of a private key: the block
 
 Matches of one kind don't overlap; each kind is looked for on its own.
 """
@@ -23,12 +27,14 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexus.plans.scratch import small_batches
+from plexus.llm.rows import numbered, place
+from plexus.plans.scratch import lean, small_batches
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "address", "login")
+KINDS = (*BASE, "account", "address", "login", "secret")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,9 +44,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 CODE = re.compile(r"(?:[ \t]*(?:no|nr|number|num|nummer|id)\b\.?)?[ \t]*[:#=]?[ \t]*([A-Z]{0,4}[0-9](?:[ -]?[A-Z0-9]){4,28}[0-9])(?![A-Za-z0-9])", re.I)
 LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s/@:]+@(?=[A-Za-z0-9-])")
-NUMBER_BEFORE = re.compile(r"(?<![\w.])[0-9]{1,5}[a-zA-Z]?(?:,? [A-ZÀ-Þ][\w'-]*){1,4}[ ]?\Z")
+NAME = re.compile(r"[\w'-]+")
+HOUSE = re.compile(r"[0-9]{1,5}[a-zA-Z]?")
 NUMBER_AFTER = re.compile(r"(?: (?:de |du |des |la |del )?[A-ZÀ-Þ][\w'-]*){1,4},? [0-9]{1,5}[a-zA-Z]?(?![\w.])")
-STEM_BEFORE = re.compile(r"[A-ZÀ-Þ][\w'-]*\Z")
 PLAIN_AFTER = re.compile(r"\.? [0-9]{1,5}[a-zA-Z]?(?![\w.])")
 
 # Cues that a number follows, and words of street names.
@@ -48,6 +54,28 @@ CUES = ("iban", "account", "acct", "konto", "kontonummer", "compte", "cuenta", "
 STREETS_AFTER_NAME = ("Street", "Avenue", "Road", "Lane", "Boulevard", "Drive")
 STREETS_BEFORE_NAME = ("Rue", "rue", "Calle", "calle", "Avenida", "avenida")
 STREETS_IN_NAME = ("straße", "strasse", "weg", "gasse")
+SECRETS = ("password", "passwort", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "api key", "access_key", "access key", "private_key", "credential", "bearer", "authorization")
+# Prefixes of access keys, and what follows them.
+KEYS = {
+    "AKIA": r"[0-9A-Z]{16}",
+    "ASIA": r"[0-9A-Z]{16}",
+    "AIza": r"[0-9A-Za-z_-]{35}",
+    "ghp_": r"[0-9A-Za-z]{36}",
+    "gho_": r"[0-9A-Za-z]{36}",
+    "ghs_": r"[0-9A-Za-z]{36}",
+    "glpat-": r"[0-9A-Za-z_-]{20}",
+    "xoxb-": r"[0-9A-Za-z-]{20,}",
+    "xoxp-": r"[0-9A-Za-z-]{20,}",
+    "sk-": r"[0-9A-Za-z_-]{20,}",
+    "sk_live_": r"[0-9A-Za-z]{24,}",
+    "eyJ": r"[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}",
+}
+KEY_BODY = {p: re.compile(b + r"(?![0-9A-Za-z])") for p, b in KEYS.items()}
+PEM = "-----BEGIN "
+PEM_HEAD = re.compile(r"(?:[A-Z]+ )*PRIVATE KEY-----")
+PEM_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+VALUE = re.compile(r"""[ \t]*["']?[ \t]*(?:[=:]|=>|:=|\b[Ii]s\b)[ \t]*(?:[Bb]earer |[Bb]asic )?(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"',;<>]{6,}))""")
+AFTER_BEARER = re.compile(r"[ \t]+([^\s\"',;<>]{16,})")
 
 
 def automaton():
@@ -61,6 +89,9 @@ def automaton():
     put |= {w: ("after", len(w)) for w in STREETS_AFTER_NAME}
     put |= {w: ("before", len(w)) for w in STREETS_BEFORE_NAME}
     put |= {w: ("within", len(w)) for w in STREETS_IN_NAME}
+    for c in SECRETS:
+        put |= {x: ("secret", len(c)) for x in (c, c.upper(), c.capitalize(), c.title())}
+    put |= {p: ("key", len(p)) for p in KEYS} | {PEM: ("pem", len(PEM))}
     for k, v in put.items():
         a.add_word(k, v)
     a.make_automaton()
@@ -84,6 +115,36 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def is_secret(value: str) -> bool:
+    """No plain word: it has a digit, a sign that words lack, or a capital letter behind a small one."""
+    return any(c.isdigit() or not c.isalnum() and c not in ".:!?-_()" for c in value) or any(a.islower() and b.isupper() for a, b in zip(value, value[1:], strict=False))
+
+
+def name_before(text: str, end: int, least: int) -> int:
+    """Where the capitalised name that ends at ``end`` begins, or -1. Names are as long as they are."""
+    start = end
+    while start > least and NAME.match(text[start - 1]):
+        start -= 1
+    return start if start < end and text[start].isupper() else -1
+
+
+def house_before(text: str, end: int, least: int) -> int:
+    """Where a house number and one to four capitalised names before ``end`` begin, or -1."""
+    at = end - 1 if end > least and text[end - 1] == " " else end
+    for names in range(5):
+        start = at
+        while start > least and NAME.match(text[start - 1]):
+            start -= 1
+        if names and (m := HOUSE.fullmatch(text, start, at)):
+            return m.start() if not (start and text[start - 1] in ".") else -1
+        if start == at or not text[start].isupper() or start - 1 < least or text[start - 1] != " ":
+            return -1
+        at = start - 1
+        if at > least and text[at - 1] == ",":
+            at -= 1
+    return -1
+
+
 def find(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
     """Spans (code points, end exclusive) by kind. Null and empty texts have none."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -92,6 +153,7 @@ def find(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
     reach = dict.fromkeys(KINDS, 0)  # where the last match of a kind ended, failed ones included
     digit = -2
     n = len(text)
+    named, closed = 0, True  # where the identifier of the last cue ends; whether an end of a PEM block may still come
 
     def take(kind: str, start: int, end: int, ok: bool = True) -> None:
         reach[kind] = end
@@ -127,20 +189,43 @@ def find(text: str | None, anchors) -> dict[str, list[tuple[int, int]]]:
         elif what == "scheme":
             if at + 1 >= reach["login"] and (m := LOGIN.match(text, at + 1)):
                 take("login", at + 1, m.end() - 1)
+        elif what == "key":
+            if start >= reach["secret"] and not (start and (text[start - 1].isalnum() or text[start - 1] in "_-")) and (m := KEY_BODY[text[start : at + 1]].match(text, at + 1)):
+                take("secret", start, m.end())
+        elif what == "pem":
+            if start >= reach["secret"] and (m := PEM_HEAD.match(text, at + 1)):
+                end = PEM_END.search(text, m.end()) if closed else None
+                closed = end is not None
+                take("secret", start, end.end() if end else m.end())
+        elif what == "secret":
+            # The cue may be part of a longer identifier such as db_password or AUTH_TOKEN_2.
+            if start and text[start - 1].isalnum():
+                continue
+            behind = max(at + 1, named)
+            while behind < n and (text[behind].isalnum() or text[behind] == "_"):
+                behind += 1
+            named = behind
+            m = VALUE.match(text, behind) if behind == at + 1 or text[at + 1] in "_sS0123456789" else None
+            if m is None and text[start : at + 1].lower() in ("bearer", "token"):
+                m = AFTER_BEARER.match(text, at + 1)
+            if m and m.start(m.lastindex) >= reach["secret"]:
+                value = m[m.lastindex].rstrip(".,;:!?)")
+                if len(value) >= 6 and is_secret(value):
+                    take("secret", m.start(m.lastindex), m.start(m.lastindex) + len(value))
         elif start and text[start - 1].isalnum() and what != "within" or at + 1 < n and text[at + 1].isalnum():
             continue  # a cue inside a word
         elif what == "cue":
             if (m := CODE.match(text, at + 1)) and m.start(1) >= reach["account"] and len(digits_of(m[1])) >= 6:
                 take("account", m.start(1), m.end(1))
         elif what == "after":
-            if m := NUMBER_BEFORE.search(text, max(reach["address"], start - 120), start):
-                take("address", m.start(), at + 1)
+            if (first := house_before(text, start, reach["address"])) >= 0:
+                take("address", first, at + 1)
         elif what == "before":
             if start >= reach["address"] and (m := NUMBER_AFTER.match(text, at + 1)):
                 take("address", start, m.end())
         elif what == "within":
-            if (s := STEM_BEFORE.search(text, max(reach["address"], start - 60), start)) and (m := PLAIN_AFTER.match(text, at + 1)):
-                take("address", s.start(), m.end())
+            if (m := PLAIN_AFTER.match(text, at + 1)) and (first := name_before(text, start, reach["address"])) >= 0:
+                take("address", first, m.end())
     return found
 
 
@@ -153,13 +238,15 @@ def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
     Returns the columns of ``keep``, a count n_<kind> for each kind of KINDS,
     base_sha256 (over the four base kinds) and spans (all kinds), both of
-    kind:start:end by kind, then start, joined by commas. Null texts are as
-    empty: no spans, base_sha256 of the empty string. Repeated rows give
-    repeated results; an empty table gives an empty one.
+    kind:start:end by kind, then start, joined by commas, n_spans, and
+    has_personal_data (any span). Null texts are as empty: no spans,
+    base_sha256 of the empty string. Repeated rows give repeated results; other
+    columns may have any names; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    fields = docs.select(*keep).schema.fields
-    new = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    rows = numbered(docs).select(*(F.col(f"c{place(docs, c)}").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"c{place(docs, text)}").alias("t"))
+    fields = rows.schema.fields[:-1]
+    new = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType()), T.StructField("has_personal_data", T.BooleanType())]
     names = [f.name for f in [*fields, *new]]
 
     def over(batches):
@@ -172,8 +259,10 @@ def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                     *(pa.array([len(r[k]) for r in rows], type=pa.int64()) for k in KINDS),
                     pa.array([hashlib.sha256(listed(r, BASE).encode()).hexdigest() for r in rows], type=pa.string()),
                     pa.array([listed(r, KINDS) for r in rows], type=pa.string()),
+                    pa.array([sum(map(len, r.values())) for r in rows], type=pa.int64()),
+                    pa.array([any(r.values()) for r in rows], type=pa.bool_()),
                 ],
                 names=names,
             )
 
-    return docs.select(*keep, docs[text].alias("text to read")).mapInArrow(over, T.StructType([*fields, *new]))
+    return rows.mapInArrow(lambda b: lean(over(b)), T.StructType([*fields, *new])).toDF(*keep, *(f.name for f in new))

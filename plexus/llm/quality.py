@@ -1,8 +1,11 @@
 """Quality by an interpolated modified Kneser-Ney model of byte 4-grams.
 
-The model is trained on all trusted texts. Counts of grams are summed per
-task, then by gram; the lower orders, discounts and back-off weights follow
-from them by DataFrame aggregates.
+The model is trained on the trusted texts but one in ten (by a hash of the
+text), which set the thresholds. Counts of grams are summed per task, then by
+gram. The lower orders count the bytes that a gram was seen behind; each order
+has three discounts estimated from its own counts of counts, and leaves its
+discounts to the order below; the last one leaves them to the uniform
+distribution. Orders four and three are DataFrame aggregates.
 
 Scoring is a count join in shards. The middle two bytes of a 4-gram decide its
 shard, and every table that its probability needs shares them: the gram abcd,
@@ -21,8 +24,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from plexus.plans.scratch import bounded, lean, materialise, small_batches
+from plexus.llm.rows import pick
+from plexus.plans.scratch import bounded, held, lean, materialise, small_batches
 
 ORDER = 4
 
@@ -52,14 +58,24 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(lambda b: lean(over(b)), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
+def discounts(n: list[int]) -> list[float]:
+    """The discounts of counts of one, two, and three or more; n: how many grams have counts of one to four.
+
+    Where an estimate is undefined (a corpus of few grams) it is half the
+    count, and it is kept from 0.05 to the count, so that each order leaves
+    something to the one below.
+    """
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    return [max(0.05, min(k, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 * k for k in (1, 2, 3)]
+
+
 def smoothed(counts: DataFrame, low: int) -> tuple[DataFrame, DataFrame]:
     """(gram, p): the discounted share of a gram after its context; (context, g): the weight left to the lower order.
 
     low: bits of the gram that are its last byte (always 8); the context is the rest.
     """
-    n = counts.agg(*(F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    y = n["n1"] / (n["n1"] + 2 * n["n2"]) if n["n1"] else 0.5
-    d = [max(0.05, min(k, k - (k + 1) * y * n[f"n{k + 1}"] / n[f"n{k}"])) if n[f"n{k}"] else 0.5 * k for k in (1, 2, 3)]
+    n = counts.agg(*(F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4))).first()
+    d = discounts(list(n))
     cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
     context = F.shiftright("gram", low)
     sums = counts.groupBy(context.alias("context")).agg(F.sum("c").alias("t"), F.sum(cut).alias("cut"))
@@ -67,6 +83,20 @@ def smoothed(counts: DataFrame, low: int) -> tuple[DataFrame, DataFrame]:
     return p, sums.select("context", (F.col("cut") / F.col("t")).alias("g"))
 
 
+def lowest(two: np.ndarray) -> np.ndarray:
+    """The interpolated probabilities of order two from its counts; order one counts the grams of two that end in a byte."""
+
+    def cut_of(c: np.ndarray) -> np.ndarray:
+        d = discounts([int((c == k).sum()) for k in (1, 2, 3, 4)])
+        return np.choose(np.minimum(c, 3).astype(int), [0.0, *d])
+
+    one = (two > 0).sum(axis=0).astype(float)
+    cut = cut_of(one)
+    p1 = (one - cut) / one.sum() + cut.sum() / one.sum() / 256 if one.sum() else np.full(256, 1 / 256)
+    cut, total = cut_of(two), two.sum(axis=1, keepdims=True)
+    return np.where(total > 0, (two - cut) / np.maximum(total, 1) + cut.sum(axis=1, keepdims=True) / np.maximum(total, 1) * p1, p1)
+
+
 def shard_of(middle, shards: int):
     """middle: the two bytes that all entries of a shard share."""
     return (middle * 40503 & 0xFFFF) % shards
@@ -74,17 +104,12 @@ def shard_of(middle, shards: int):
 
 def train(texts: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray]:
     """The shards' rows (shard, kind, key, value), and the probabilities of order two by (byte, byte)."""
-    c4 = materialise(gram_counts(texts), "grams")
-    c3 = materialise(c4.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.count("*").alias("c")), "grams3")
+    c4 = held(gram_counts(texts))
+    c3 = held(c4.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.count("*").alias("c")))
     c2 = c3.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.count("*").alias("c"))
     two = np.zeros((256, 256))
     for r in c2.collect():  # 65,536 rows at most
         two[r["gram"] >> 8, r["gram"] & 255] = r["c"]
-    one = (two > 0).sum(axis=0) + 0.0
-    one = (one + 0.5) / (one.sum() + 128)
-    cut = np.minimum(two, 0.75)
-    total = np.maximum(two.sum(axis=1, keepdims=True), 1e-9)
-    p2 = (two - cut) / total + np.where(two.sum(axis=1, keepdims=True) > 0, cut.sum(axis=1, keepdims=True) / total, 1.0) * one
     p4, g3 = smoothed(c4, 8)
     p3, g2 = smoothed(c3, 8)
     entry = lambda df, kind, key, value, middle: df.select(shard_of_column(F.expr(middle), shards).alias("shard"), F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(value).alias("value"))
@@ -92,7 +117,7 @@ def train(texts: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray]:
     rows = rows.unionByName(entry(g3, 3, "context", "g", "context & 65535"))
     rows = rows.unionByName(entry(p3, 2, "gram", "p", "shiftright(gram, 8)"))
     rows = rows.unionByName(entry(g2, 1, "context", "g", "context"))
-    return materialise(rows, "model"), p2.astype(np.float64)
+    return materialise(rows, "model"), lowest(two)
 
 
 def shard_of_column(middle, shards: int):
@@ -148,16 +173,19 @@ def log_probabilities(x: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndar
     return np.log(np.maximum(look(4, x, 0.0) + look(3, x >> 8, 1.0) * p, 1e-12))
 
 
-PACKED = "chunk long, shard int, grp int, parts array<binary>, ids array<long>, langs array<string>, trusted array<boolean>, sizes array<long>"
-
-
 def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 16, chunk_bytes: int = 4_000_000, groups: int | None = None) -> DataFrame:
-    """Rows (doc_id, lang, trusted, perplexity per byte) for every row of ``docs``; null where the text is null or empty.
+    """Rows (doc_id, lang, mark, perplexity per byte) for every row of ``docs``; null where the text is null or empty.
 
-    docs: doc_id, lang, trusted, text. trusted: texts in one column, all of
-    which are counted. groups: copies of the model's shards, by default one for
-    four partitions of ``docs``.
+    docs: doc_id, lang, mark (a boolean that goes along), text. trusted: texts
+    in one column, all of which are counted. groups: copies of the model's
+    shards, by default one for four partitions of ``docs``.
     """
+    docs = docs.select("doc_id", "lang", "mark", "text")
+    id_type = docs.schema["doc_id"].dataType
+    own = to_arrow_type(id_type)
+    ids = T.ArrayType(id_type).simpleString()
+    heads = f"ids {ids}, langs array<string>, marks array<boolean>, sizes array<long>"
+    head_types = (pa.list_(own), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
     small_batches(docs.sparkSession)
     model, p2 = train(trusted, shards)
     groups = groups or max(1, docs.rdd.getNumPartitions() // 4)
@@ -173,8 +201,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 16, chunk_by
             rows = [head, *((chunk, s, p, None, None, None, None) for s, p in pack(texts, shards))]
             c = list(zip(*rows, strict=True))
             group = [(part + 7919 * k) % groups] * len(rows)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip((c[0], c[1], group, *c[2:]), kinds, strict=True)], names=["chunk", "shard", "grp", "parts", "ids", "langs", "trusted", "sizes"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), *head_types)
+            return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip((c[0], c[1], group, *c[2:]), kinds, strict=True)], names=["chunk", "shard", "grp", "parts", "ids", "langs", "marks", "sizes"])
 
         have, size = ([], [], [], []), 0
         for b in batches:
@@ -195,7 +223,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 16, chunk_by
             at = np.flatnonzero(kind == i)
             at = at[np.argsort(key[at])]
             tables[i] = key[at], value[at]
-        out = {"chunk": [], "sums": [], "ids": [], "langs": [], "trusted": [], "sizes": []}
+        out = {"chunk": [], "sums": [], "ids": [], "langs": [], "marks": [], "sizes": []}
         for r in packed.drop_columns(["grp"]).to_pylist():
             sums = None
             if r["shard"] >= 0:
@@ -203,7 +231,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 16, chunk_by
                 sums = np.bincount(doc, weights=n * log_probabilities(x, tables, p2)[which]).tolist()
             for c in out:
                 out[c].append(sums if c == "sums" else r[c])
-        kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.list_(pa.float64()), *head_types)
         return pa.table([pa.array(v, type=t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     def finish(chunk: pa.Table) -> pa.Table:
@@ -217,33 +245,37 @@ def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 16, chunk_by
         sizes = np.array(head["sizes"])
         total = np.pad(total, (0, len(sizes) - len(total)))
         ppl = [float(np.exp(-t / s)) if s else None for t, s in zip(total, sizes, strict=True)]
-        return pa.table([pa.array(head["ids"], type=pa.int64()), pa.array(head["langs"], type=pa.string()), pa.array(head["trusted"], type=pa.bool_()), pa.array(ppl, type=pa.float64())], names=["doc_id", "lang", "trusted", "perplexity"])
+        return pa.table([pa.array(head["ids"], type=own), pa.array(head["langs"], type=pa.string()), pa.array(head["marks"], type=pa.bool_()), pa.array(ppl, type=pa.float64())], names=["doc_id", "lang", "mark", "perplexity"])
 
-    packed = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(lambda b: lean(chunks(b)), PACKED)
+    packed = docs.mapInArrow(lambda b: lean(chunks(b)), f"chunk long, shard int, grp int, parts array<binary>, {heads}")
     copies = model.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    scored = packed.groupBy("shard", "grp").cogroup(copies.groupBy("shard", "grp")).applyInArrow(score, "chunk long, sums array<double>, ids array<long>, langs array<string>, trusted array<boolean>, sizes array<long>")
-    return scored.groupBy("chunk").applyInArrow(finish, "doc_id long, lang string, trusted boolean, perplexity double")
+    scored = packed.groupBy("shard", "grp").cogroup(copies.groupBy("shard", "grp")).applyInArrow(score, f"chunk long, sums array<double>, {heads}")
+    return scored.groupBy("chunk").applyInArrow(finish, T.StructType([T.StructField("doc_id", id_type), T.StructField("lang", T.StringType()), T.StructField("mark", T.BooleanType()), T.StructField("perplexity", T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, small: int = 1_000_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, one_in: int = 10) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, perplexity, threshold, kept.
 
-    The model is trained on the texts that ``labels`` (doc_id, quality, toxic)
-    call good and not toxic; a language's threshold is the ``quantile`` of
-    their perplexities in that language, or of all where it has none. A row is
-    kept if its perplexity is not above its threshold. Null and empty texts
-    have no perplexity and aren't kept; a null lang is a language of its own;
-    rows and labels may repeat; without trusted texts nothing has a threshold
-    and all rows with a text are kept. An empty table gives an empty result.
+    Trusted are the texts that ``labels`` (doc_id, quality, toxic) call good
+    and not toxic. The model is trained on them but for one in ``one_in`` (by a
+    hash of the text, so that copies go together); a language's threshold is the
+    ``quantile`` of the perplexities of these, or that of all of them where it
+    has none. A row is kept if its perplexity is not above its threshold. Null
+    and empty texts have no perplexity and aren't kept; a null lang is a
+    language of its own; rows and labels may repeat; without trusted texts held
+    out nothing has a threshold and all rows with a text are kept. Ids may be
+    of any type that labels share, other columns may have any names. An empty
+    table gives an empty result.
     """
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    good = bounded(materialise(good, "good"), small)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "lang", "text").join(good, "doc_id", "left")
-    trusted = rows.where("trusted and text <> ''").select("text")
-    scored = materialise(perplexities(rows.select("doc_id", "lang", "trusted", "text"), trusted), "perplexities")
-    pick = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = scored.where("trusted").groupBy("lang").agg(pick.alias("own"))
-    overall = scored.where("trusted").agg(pick.alias("overall"))
-    out = scored.join(by_lang.select(F.col("lang").alias("l"), "own"), F.col("lang").eqNullSafe(F.col("l")), "left")
-    threshold = overall.first()["overall"]
-    return out.select("doc_id", "lang", "perplexity", F.coalesce("own", F.lit(threshold).cast("double")).alias("threshold")).withColumn("kept", F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))))
+    known = pick(labels, doc_id="doc_id", quality="quality", toxic="toxic")
+    good = bounded(held(known.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()))
+    tested = F.pmod(F.xxhash64(F.lit("tested"), F.coalesce(F.col("text"), F.lit(""))), F.lit(one_in)) == 0
+    rows = pick(docs, doc_id="doc_id", lang="lang", text="text").withColumn("mark", tested)
+    trained = rows.where("not mark and text <> ''").join(good, "doc_id", "left_semi").select("text")
+    scored = materialise(perplexities(rows, trained), "perplexities")
+    pick_of = F.percentile_approx("perplexity", quantile, 10_000)
+    sure = held(scored.where("mark and perplexity is not null").join(good, "doc_id", "left_semi").select("lang", "perplexity"))
+    by_lang = sure.groupBy(F.col("lang").alias("l")).agg(pick_of.alias("own"))
+    out = scored.join(bounded(held(by_lang)), F.col("lang").eqNullSafe(F.col("l")), "left")
+    overall = sure.agg(pick_of.alias("overall")).first()["overall"]
+    return out.select("doc_id", "lang", "perplexity", F.coalesce("own", F.lit(overall).cast("double")).alias("threshold")).withColumn("kept", F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))))

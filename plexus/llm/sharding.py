@@ -7,8 +7,12 @@ virtual node whose shard has room.
 
 Rows of an arc have the same way around the ring, so the overflow is settled on
 the counts of the arcs: virtual * shards numbers, whatever the number of rows.
-A row only needs its rank within its arc. Ranks are counted in ``lanes`` per
-arc, so that a repeated key is not ranked by one task.
+A row only needs its rank within its arc. That is by the hash of its key and
+content, and by these; so the result follows from the rows alone, however they
+are dealt over partitions. Ranks are counted in ``lanes`` per arc, each a range
+of those hashes. Rows that are equal in all that counts stand in one lane, but
+are numbered in parts, one in each part of their own partitions: any order of
+them gives the same result.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plexus.plans.scratch import materialise
+from plexus.llm.rows import pick
+from plexus.plans.scratch import held, materialise
 
 
 def ring(shards: int, virtual: int, spark) -> list[tuple[int, int]]:
@@ -73,29 +79,37 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     times the mean, no law holds (null), and fewer rows move as shards are
     added. size is the UTF-8 length of the text plus 16, null texts being as
     empty. slot counts the rows of a shard from 0 without a gap. Null ids are a
-    key like any other; repeated rows take slots of their own; an empty table
-    gives an empty result. grown_shard is null: it belongs to another law.
+    key like any other; repeated rows take slots of their own; ids may be of
+    any type, other columns may have any names; an empty table gives an empty
+    result. grown_shard is null: it belongs to another law.
 
     To the driver come shards * virtual * lanes counts at most.
     """
     nodes = ring(shards, virtual, docs.sparkSession)
     points = np.array([p for p, _ in nodes], dtype=np.int64)
-    t = F.coalesce(docs[text], F.lit(""))
-    rows = docs.select(
-        docs[doc_id].cast("long").alias("doc_id"),
-        (F.octet_length(t) + 16).cast("long").alias("size"),
-        F.crc32(t.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit("row"), docs[doc_id]).alias("point"),
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes)).cast("int").alias("lane"),
+    t = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
+    mark = F.xxhash64(F.lit("place"), "doc_id", "text_crc32", "size")
+    rows = rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.xxhash64(F.lit("row"), "doc_id").alias("point"),
+        F.pmod(F.shiftright(mark, 40), F.lit(lanes)).cast("int").alias("lane"),
+        mark.alias("mark"),
+        F.pmod(F.spark_partition_id(), F.lit(64)).alias("part"),
     )
+    same, equal = ["arc", "lane", "mark", "doc_id", "size", "text_crc32"], ["arc", "lane", "mark", "size", "text_crc32", "part"]
 
     def arcs(batches):
         for b in batches:
             arc = np.searchsorted(points, b.column(3).to_numpy(zero_copy_only=False)) % len(points)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(arc.astype(np.int32)), b.column(4)], names=["doc_id", "size", "text_crc32", "arc", "lane"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(arc.astype(np.int32)), *(b.column(i) for i in (4, 5, 6))], names=["doc_id", "size", "text_crc32", "arc", "lane", "mark", "part"])
 
-    rows = materialise(rows.mapInArrow(arcs, "doc_id long, size long, text_crc32 long, arc int, lane int"), "arcs")
-    counted = sorted(tuple(r) for r in rows.groupBy("arc", "lane").count().collect())
+    kept = rows.schema.fields
+    rows = materialise(rows.mapInArrow(arcs, T.StructType([*kept[:3], T.StructField("arc", T.IntegerType()), *kept[4:]])), "arcs")
+    groups = held(rows.groupBy(*same, "part").agg(F.count("*").alias("m")))
+    counted = sorted(tuple(r) for r in groups.groupBy("arc", "lane").agg(F.sum("m")).collect())
     counts = np.zeros(len(nodes), dtype=np.int64)
     before = np.zeros(len(nodes) * lanes, dtype=np.int64)
     for arc, lane, n in counted:
@@ -114,8 +128,12 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
             arc, lane, k = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4, 5))
             rank = before[arc * lanes + lane] + k
             at = np.searchsorted(keys, arc * far + rank, side="right") - 1
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(to[at]), pa.array(rank + shift[at])], names=["doc_id", "size", "text_crc32", "shard", "slot"])
-
-    ranked = rows.withColumn("k", (F.row_number().over(Window.partitionBy("arc", "lane").orderBy("doc_id", "text_crc32")) - 1).cast("long"))
-    placed = ranked.mapInArrow(places, "doc_id long, size long, text_crc32 long, shard int, slot long")
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(to[at]), pa.array(rank + shift[at])], names=["doc_id", "size", "text_crc32", "shard", "slot"])
+
+    # Where a group of equal rows begins in its lane, then each row's number in its part of the group.
+    in_lane = Window.partitionBy("arc", "lane").orderBy("mark", "doc_id", "size", "text_crc32", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.withColumn("start", F.coalesce(F.sum("m").over(in_lane), F.lit(0))).drop("m").withColumnRenamed("doc_id", "own_id")
+    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy(*same, "part").orderBy("size")) - 1)
+    ranked = ranked.join(starts, [*(ranked[c] == starts[c] for c in equal), ranked["doc_id"].eqNullSafe(starts["own_id"])]).select(ranked["doc_id"], ranked["size"], ranked["text_crc32"], ranked["arc"], ranked["lane"], (F.col("start") + F.col("i")).cast("long").alias("k"))
+    placed = ranked.mapInArrow(places, T.StructType([*kept[:3], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
     return placed.select("doc_id", "size", "text_crc32", F.lit(None if slack else "rows").cast("string").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -9,8 +9,9 @@ the threshold); about 61 of 16.8 million anchors for threshold 2. A linked
 pair meets at the nearest anchor of either, so each anchor only compares those
 that are nearest to it (its home) with all that came.
 
-An anchor's links are emitted as a spanning forest, at most one link for each
-member. An anchor with a crowded home is divided exactly: of threshold + 1
+An anchor's links are emitted as spanning forests of the rows that are compared
+at a time. Homes come first, so that members pass by them in a stream and no
+anchor's members are ever collected. An anchor with a crowded home is divided exactly: of threshold + 1
 bit blocks of a linked pair at least one is equal, so its members are dealt
 again by anchor, block number and block.
 """
@@ -22,9 +23,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plexus.llm.rows import identity, numbered, pick, place
 from plexus.plans.components import connected_components
-from plexus.plans.scratch import bounded, lean, materialise, small_batches
+from plexus.plans.scratch import bounded, held, lean, materialise, small_batches
 
 GOLAY = 0b110001110101  # fixed value: a generator polynomial of the (23, 12) code
 RADIUS = 3
@@ -48,15 +51,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """Rows (doc_id, fp) of all rows; fp holds the 64 bits as a signed long."""
+    """Rows (doc_id, fp, ka, kb) of all rows; fp holds the 64 bits as a signed long, ka and kb are hashes of id and text."""
     small_batches(docs.sparkSession)
+    rows = pick(docs, doc_id=doc_id, text=text)
+    ka, kb = identity(F.col("doc_id"), F.col("text"))
+    rows = rows.select("doc_id", ka.alias("ka"), kb.alias("kb"), "text")
 
     def over(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in b.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(1), b.column(2)], names=["doc_id", "fp", "ka", "kb"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(lambda b: lean(over(b)), "doc_id long, fp long")
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("fp", "ka", "kb"))])
+    return rows.mapInArrow(lambda b: lean(over(b)), schema)
 
 
 def syndromes(v: np.ndarray) -> np.ndarray:
@@ -122,32 +129,44 @@ def forest(home: np.ndarray, members: np.ndarray, threshold: int) -> list[tuple[
     return out
 
 
+def gathered(batches, rows: int = 50_000):
+    """The columns of batches as arrays (key, fp, home), of about ``rows`` rows at a time."""
+    have, size = [], 0
+    for b in batches:
+        have.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)))
+        size += b.num_rows
+        if size >= rows:
+            yield tuple(np.concatenate(x) for x in zip(*have, strict=True))
+            have, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*have, strict=True))
+
+
 def links_of(batches, threshold: int):
-    """Streams rows (key, fp, home) sorted by key; yields the links of each key's group."""
-    rest: list[np.ndarray] | None = None
+    """Streams rows (key, fp, home) sorted by key, homes first; yields the links of each key's group.
 
-    def linked(key, fp, home):
+    Of a group that goes on in the next rows only the homes are kept, as those are compared with all that comes.
+    """
+    last, homes = None, np.zeros(0, dtype=np.uint64)
+    for key, fp, home in gathered(batches):
         cut = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
-        homes = np.add.reduceat(home.astype(np.int64), starts) if len(key) else np.zeros(0)
+        n = np.add.reduceat(home.astype(np.int64), starts)
         found = []
-        for k in np.flatnonzero((homes > 0) & (ends - starts > 1)) if len(key) else ():
+        todo = np.flatnonzero((n > 0) & (ends - starts > 1))
+        if key[0] == last:  # this group has begun before
+            f, h = fp[: ends[0]], home[: ends[0]]
+            new = f[h]
+            found += forest(homes, f, threshold) + (forest(new, f, threshold) if len(new) else [])
+            homes = np.concatenate((homes, new))
+            todo = todo[todo > 0]
+        for k in todo:
             f, h = fp[starts[k] : ends[k]], home[starts[k] : ends[k]]
             found += forest(f[h], f, threshold)
+        if len(starts) > 1 or key[0] != last:
+            last, homes = key[-1], fp[starts[-1] :][home[starts[-1] :]]
         a = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
-
-    for b in batches:
-        new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)]
-        rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
-        if len(rest[0]) < 50_000:
-            continue
-        last = np.searchsorted(rest[0], rest[0][-1])  # the last key may go on in the next batch
-        if last:
-            yield linked(*(x[:last] for x in rest))
-            rest = [x[last:] for x in rest]
-    if rest is not None:
-        yield linked(*rest)
+        yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
 def fingerprint_links(distinct: DataFrame, threshold: int = 2, crowd: int = 4096) -> DataFrame:
@@ -170,13 +189,23 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 2, crowd: int = 4096
             yield pa.RecordBatch.from_arrays([pa.array(anchor)], names=["key"])
 
     rows = distinct.select("fp").mapInArrow(lambda b: lean(replicas(b)), "key long, fp long, home boolean")
-    crowded = materialise(distinct.select("fp").mapInArrow(lambda b: lean(homes(b)), "key long").groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
+    crowded = held(distinct.select("fp").mapInArrow(lambda b: lean(homes(b)), "key long").groupBy("key").count().where(F.col("count") > crowd).select("key"))
     if not crowded.isEmpty():
         width = -(-64 // (threshold + 1))
         block = F.expr(f"shiftrightunsigned(fp, cast(j * {width} as int)) & {(1 << width) - 1}L")
         divided = rows.join(crowded, "key").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(threshold)))).select(F.xxhash64("key", "j", block).alias("key"), "fp", "home")
         rows = rows.join(crowded, "key", "left_anti").unionByName(divided)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: lean(links_of(b, threshold)), "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", F.desc("home")).mapInArrow(lambda b: lean(links_of(b, threshold)), "a long, b long")
+
+
+def grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: int) -> DataFrame:
+    """Rows (doc_id, fp, ka, kb, first) of all rows; first (none, doc_id, ka, kb) is the least of the row's component."""
+    rows = materialise(fingerprints(docs, doc_id, text, shingle), "fingerprints")
+    distinct = held(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ka", "kb")).alias("least")))
+    labels = connected_components(fingerprint_links(distinct, threshold))
+    member = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    named = member.groupBy("label").agg(F.min("least").alias("first"))
+    return rows.join(member.join(named, "label").select("fp", "first"), "fp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
@@ -187,21 +216,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of the component. Texts without words, null and empty ones among them, have
     fingerprint zero and are linked like any other. Null ids are never a
     component's id unless all its ids are null (then null). Repeated rows
-    give repeated results; an empty table gives an empty result.
+    give repeated results; ids may be of any type that has an order; other
+    columns may have any names; an empty table gives an empty result.
     """
-    rows = materialise(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = connected_components(fingerprint_links(distinct, threshold))
-    member = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = member.groupBy("label").agg(F.min("least").alias("component_id"))
-    verdict = member.join(named, "label").select("fp", "component_id")
-    return rows.join(verdict, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped(docs, doc_id, text, shingle, threshold)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest; rows that repeat that id are one document and stay.
+def keep_first(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component.
 
-    Rows with a null doc_id stay, as nothing tells them from one another.
+    That is the smallest doc_id (null ids come last), and of several texts of
+    that id the one with the least hash. Rows that repeat id and text are one
+    document and stay or go together; another text of the same id is judged on
+    its own. Columns may have any names.
     """
-    away = materialise(near_duplicates(docs, threshold=threshold).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(bounded(away), "doc_id", "left_anti").select(*docs.columns)
+    found = grouped(docs, "doc_id", "text", shingle, threshold)
+    away = held(found.where("ka <> first.ka or kb <> first.kb").select("ka", "kb").distinct())
+    rows = numbered(docs)
+    ka, kb = identity(F.col(f"c{place(docs, 'doc_id')}"), F.col(f"c{place(docs, 'text')}"))
+    return rows.select("*", ka.alias("ka"), kb.alias("kb")).join(bounded(away), ["ka", "kb"], "left_anti").select(rows.columns).toDF(*docs.columns)
