@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plexus.llm import decontam, langid, line_dedup, piece, simhash
 from plexus.llm.queries import piece_model
+from plexus.llm.rows import numbered, place
 from plexus.plans.scratch import materialise
 
 
@@ -18,7 +19,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that recur in two or more different texts go, short ones by their exact text; every document stays. n_chars follows the text."""
     out = line_dedup.drop_recurring(docs, min_docs=2, short=True)
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows, names = numbered(out), out.columns[:-1]
+    text, size, dropped = (F.col(f"c{place(out, c)}") for c in ("text", "n_chars", "n_dropped"))
+    at = place(out, "n_chars")
+    follow = F.when(dropped > 0, F.char_length(text).cast(out.schema[at].dataType)).otherwise(size)
+    return rows.select(*(follow if i == at else F.col(f"c{i}") for i in range(len(names)))).toDF(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each one's result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        kept = stage(spark, docs, sf_dir)
+        docs = materialise(numbered(kept), name).toDF(*kept.columns)  # a file's columns can't differ in case alone
     return STAGES[-1][1](spark, docs, sf_dir)
