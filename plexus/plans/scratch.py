@@ -80,6 +80,14 @@ def held(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write a table of unknown size in files by its rows: it is held, counted, written and let go."""
+    df = held(df)
+    out = materialise(df, name, rows=df.count())
+    df.unpersist()
+    return out
+
+
 def put_bytes(spark: SparkSession, content: bytes, name: str) -> str:
     """Write a file of the driver's to the shared folder; its path. It goes when the process ends."""
     path = f"{_folder(spark)}/{name}"
