@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexus.llm.rows import identity, numbered, pick, place
-from plexus.plans.scratch import bounded, held, materialise
+from plexus.plans.scratch import bounded, materialise, settled
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,8 +53,8 @@ def windows_of(items: DataFrame, item_id: str, text: str, window: int) -> tuple[
         .select("item_id", F.slice("w", F.col("at"), F.least(F.lit(window), F.size("w"))).alias("words"))
         .distinct()
     )
-    cut = held(cut.select(F.xxhash64("words").alias("window_id"), "words", "item_id"))
-    return cut.select("window_id", "words").distinct(), held(cut.select("window_id", "item_id"))
+    cut = settled(cut.select(F.xxhash64("words").alias("window_id"), "words", "item_id"), "windows")
+    return cut.select("window_id", "words").distinct(), cut.select("window_id", "item_id")
 
 
 @dataclass
@@ -80,7 +80,7 @@ def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     """Postings of the tokens of ``docs`` that are among ``terms`` (a column word). Null texts have none but their end."""
     end = F.xxhash64(F.lit(END))
     terms = terms.select("word").unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("word")))
-    terms = held(terms.select(F.xxhash64("word").alias("term")).distinct())
+    terms = settled(terms.select(F.xxhash64("word").alias("term")).distinct(), "terms")
     # Cut first, explode the parts alone: a text beside its parts would be copied for each of them. The parts are not
     # filtered as in words_of: only the first and last can be empty, and the join drops those.
     rows = pick(docs, doc_id=doc_id, text=text)
@@ -94,7 +94,7 @@ def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     stored = materialise(stored, "index")
     lengths = stored.where(F.col("term") == end).select("doc_id", "ka", "kb", F.col("pos").cast("long").alias("n_words"))
     postings = stored.where(F.col("term") != end).select("term", "ka", "kb", "pos")
-    return Index(postings, held(postings.groupBy("term").agg(F.count("*").alias("n"))), lengths)
+    return Index(postings, settled(postings.groupBy("term").agg(F.count("*").alias("n")), "frequencies"), lengths)
 
 
 def phrase_matches(index: Index, windows: DataFrame) -> DataFrame:
@@ -112,17 +112,17 @@ def phrase_matches(index: Index, windows: DataFrame) -> DataFrame:
         .where("found > 0")
         .withColumn("rank", F.row_number().over(by_window.orderBy("n", "off")))
     )
-    ranked = held(ranked.select("window_id", "len", "off", "term", "rank"))
+    ranked = settled(ranked.select("window_id", "len", "off", "term", "rank"), "ranked")
     place_of = ["window_id", "len", "ka", "kb", "start"]
     rarest, second, rest = ranked.where("rank = 1"), ranked.where("rank = 2"), ranked.where("rank > 2")
     found = index.postings.join(bounded(rarest.select("window_id", "len", "off", "term")), "term").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0").select(place_of)
     # Windows of one term are settled by now, those of two after the next list.
     want = found.where("len > 1").join(bounded(second.select("window_id", "off", "term")), "window_id").withColumn("pos", F.col("start") + F.col("off"))
-    have = index.postings.join(bounded(held(second.select("term").distinct())), "term", "left_semi")
+    have = index.postings.join(bounded(second.select("term").distinct()), "term", "left_semi")
     met = want.join(have, ["ka", "kb", "pos", "term"], "left_semi").select(place_of).unionByName(found.where("len = 1"))
-    met = held(met.distinct())
+    met = settled(met.distinct(), "met")
     want = met.where("len > 2").join(bounded(rest.select("window_id", "off", "term")), "window_id").withColumn("pos", F.col("start") + F.col("off"))
-    near = held(met.where("len > 2").select("ka", "kb").distinct())
+    near = met.where("len > 2").select("ka", "kb").distinct()
     have = index.postings.join(bounded(near), ["ka", "kb"], "left_semi")
     whole = want.join(have, ["ka", "kb", "pos", "term"], "left_semi").groupBy(place_of).agg(F.count("*").alias("terms")).where("terms = len - 2").select(place_of)
     return whole.unionByName(met.where("len <= 2")).select(F.struct("ka", "kb").alias("doc_key"), "window_id", "start", "len")
@@ -136,7 +136,7 @@ def proximity_matches(index: Index, queries: DataFrame, within: int) -> DataFram
     places = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word")).withColumn("term", F.xxhash64("word")).join(index.frequencies, "term", "left")
     w = Window.partitionBy("query_id")
     places = places.withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(w)).where("least > 0").withColumn("rank", F.row_number().over(w.orderBy("n", "term"))).withColumn("terms", F.count("*").over(w))
-    places = held(places.select("query_id", "term", "rank", "terms"))
+    places = settled(places.select("query_id", "term", "rank", "terms"), "places")
     first, rest = places.where("rank = 1"), places.where("rank > 1")
     block = F.floor(F.col("pos") / (within + 1)).cast("long")
     start = index.postings.join(bounded(first), "term").select("query_id", "terms", "ka", "kb", "pos")
@@ -152,7 +152,7 @@ def verdicts(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     """What ``contamination`` returns, and the document's key (ka, kb)."""
     windows, holders = windows_of(items, item_id, item_text, window)
     index = build_index(docs, windows.select(F.explode("words").alias("word")), doc_id, text)
-    found = held(phrase_matches(index, windows).select("doc_key.ka", "doc_key.kb", "window_id", "start", "len"))
+    found = settled(phrase_matches(index, windows).select("doc_key.ka", "doc_key.kb", "window_id", "start", "len"), "matches")
     hits = found.select("ka", "kb", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("ka", "kb").agg(F.count("*").alias("n_hit"))
     listed = (
         found.select("ka", "kb", "window_id").distinct().join(bounded(holders.where("item_id is not null")), "window_id").select("ka", "kb", "item_id").distinct()
@@ -192,7 +192,7 @@ def contamination(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, by id and text: another text of the same id has a verdict of its own, as have null ids."""
-    away = held(verdicts(docs, items).where("contaminated").select("ka", "kb").distinct())
+    away = settled(verdicts(docs, items).where("contaminated").select("ka", "kb").distinct(), "contaminated")
     rows = numbered(docs)
     ka, kb = identity(F.col(f"c{place(docs, 'doc_id')}"), F.col(f"c{place(docs, 'text')}"))
     kept = rows.select("*", ka.alias("ka"), kb.alias("kb")).join(bounded(away), ["ka", "kb"], "left_anti")

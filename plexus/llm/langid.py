@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plexus.llm.rows import identity, numbered, pick, place
-from plexus.plans.scratch import bounded, held, lean, small_batches
+from plexus.plans.scratch import bounded, held, lean, settled, small_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 BITS = 13
@@ -149,9 +149,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     sizes = held(usable.groupBy("l", power.alias("p")).agg(F.approx_count_distinct("ka", 0.02).alias("n")))
     sample = max(min(sample, 30), min(sample, total // max(1, sizes.select("l").distinct().count())))
     so_far = Window.partitionBy("l").orderBy("p")
-    reach = held(sizes.withColumn("n", F.sum("n").over(so_far)).groupBy("l").agg(F.coalesce(F.min(F.when(F.col("n") >= 1.2 * sample, F.col("p"))), F.lit(0)).alias("reach")))
+    reach = settled(sizes.withColumn("n", F.sum("n").over(so_far)).groupBy("l").agg(F.coalesce(F.min(F.when(F.col("n") >= 1.2 * sample, F.col("p"))), F.lit(0)).alias("reach")), "reach")
     near = usable.select("l", "ka", "kb", power.alias("p")).join(bounded(reach), "l").where("p <= reach").select("l", "ka", "kb").distinct()
-    chosen = held(near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("ka", "kb"))).where(F.col("k") <= sample).drop("k"))
+    chosen = settled(near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("ka", "kb"))).where(F.col("k") <= sample).drop("k"), "chosen")
 
     def over(batches):
         for b in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexus.llm.rows import numbered, pick, place
-from plexus.plans.scratch import held, materialise
+from plexus.plans.scratch import materialise, settled
 
 #: A character of a script that is written without spaces.
 SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
@@ -72,12 +72,12 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A template cannot recur in a leaf that has fewer lines; most lines go no further.
     leaf, key = ["leaf_a", "leaf_b"], ["key_a", "key_b"]
     busy = lines.groupBy(leaf).agg(F.count("*").alias("lines")).where(F.col("lines") >= min_docs).select(leaf)
-    busy = held(busy).hint("merge")  # a table of its own, so that the join can split a leaf of very many lines
+    busy = settled(busy, "busy").hint("merge")  # a written table, so that the join can split a leaf of very many lines
     fixed = [F.struct(*two("key", F.lit(i), *leaf, *(f"f{j}_{x}" for j in c for x in "ab"))) for i, c in enumerate(combinations(range(fields), math.ceil(similarity * fields)))]
     templates = F.array_distinct(F.array(*fixed))
     if short:
         templates = F.when(F.col("n") < min_tokens, F.array(F.struct(F.col("leaf_a").alias("key_a"), F.col("leaf_b").alias("key_b")))).otherwise(templates)
-    keyed = held(lines.join(busy, leaf).select("doc_id", *TEXT, "line", F.explode(templates).alias("key")).select("doc_id", *TEXT, "line", "key.*"))
+    keyed = materialise(lines.join(busy, leaf).select("doc_id", *TEXT, "line", F.explode(templates).alias("key")).select("doc_id", *TEXT, "line", "key.*"), "templates")
     texts = keyed.groupBy(*key, *TEXT).agg(F.min("doc_id").alias("doc_id"))
     often = (
         texts.groupBy(key)
@@ -85,8 +85,8 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .where(F.col("n_docs") >= min_docs)
         .select(*key, F.col("first.text_a").alias("first_a"), F.col("first.text_b").alias("first_b"))
     )
-    # From a table of its own both sides reach the join straight from a shuffle, so a template of very many lines can be split.
-    often = held(often).hint("merge")
+    # From a written table both sides reach the join straight from a shuffle, so a template of very many lines can be split.
+    often = settled(often, "often").hint("merge")
     return keyed.join(often, key).where("text_a <> first_a or text_b <> first_b").select("doc_id", *TEXT, "line").distinct()
 
 
@@ -102,7 +102,7 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     lost = recurring_lines(docs, doc_id, text, **how).groupBy("doc_id", *TEXT).agg(F.collect_set("line").alias("gone"))
     # The join shuffles at every size; which side is small depends on the corpus.
-    lost = held(lost).hint("merge").select(F.col("doc_id").alias("own_id"), *TEXT, "gone")
+    lost = materialise(lost, "gone").hint("merge").select(F.col("doc_id").alias("own_id"), *TEXT, "gone")
     rows, at = numbered(docs), place(docs, text)
     keyed = rows.select("*", *two("row", F.col(f"c{at}")))
     joined = keyed.join(lost, (F.col("row_a") == F.col("text_a")) & (F.col("row_b") == F.col("text_b")) & F.col(f"c{place(docs, doc_id)}").eqNullSafe(F.col("own_id")), "left")

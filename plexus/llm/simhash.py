@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from plexus.llm.rows import identity, numbered, pick, place
 from plexus.plans.components import connected_components
-from plexus.plans.scratch import bounded, held, lean, materialise, small_batches
+from plexus.plans.scratch import bounded, held, lean, materialise, settled, small_batches
 
 GOLAY = 0b110001110101  # fixed value: a generator polynomial of the (23, 12) code
 RADIUS = 3
@@ -232,7 +232,7 @@ def keep_first(docs: DataFrame, shingle: int = 3, threshold: int = 2) -> DataFra
     its own. Columns may have any names.
     """
     found = grouped(docs, "doc_id", "text", shingle, threshold)
-    away = held(found.where("ka <> first.ka or kb <> first.kb").select("ka", "kb").distinct())
+    away = settled(found.where("ka <> first.ka or kb <> first.kb").select("ka", "kb").distinct(), "copies")
     rows = numbered(docs)
     ka, kb = identity(F.col(f"c{place(docs, 'doc_id')}"), F.col(f"c{place(docs, 'text')}"))
     return rows.select("*", ka.alias("ka"), kb.alias("kb")).join(bounded(away), ["ka", "kb"], "left_anti").select(rows.columns).toDF(*docs.columns)
