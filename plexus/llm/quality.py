@@ -104,8 +104,8 @@ def shard_of(middle, shards: int):
 
 def train(texts: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray]:
     """The shards' rows (shard, kind, key, value), and the probabilities of order two by (byte, byte)."""
-    c4 = held(gram_counts(texts))
-    c3 = held(c4.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.count("*").alias("c")))
+    c4 = materialise(gram_counts(texts), "grams")
+    c3 = materialise(c4.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.count("*").alias("c")), "grams3")
     c2 = c3.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.count("*").alias("c"))
     two = np.zeros((256, 256))
     for r in c2.collect():  # 65,536 rows at most
@@ -173,12 +173,13 @@ def log_probabilities(x: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndar
     return np.log(np.maximum(look(4, x, 0.0) + look(3, x >> 8, 1.0) * p, 1e-12))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 16, chunk_bytes: int = 4_000_000, groups: int | None = None) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, shards: int = 64, chunk_bytes: int = 4_000_000, groups: int | None = None) -> DataFrame:
     """Rows (doc_id, lang, mark, perplexity per byte) for every row of ``docs``; null where the text is null or empty.
 
     docs: doc_id, lang, mark (a boolean that goes along), text. trusted: texts
     in one column, all of which are counted. groups: copies of the model's
-    shards, by default one for four partitions of ``docs``.
+    shards, by default one for four partitions of ``docs``. A task gets several
+    of the shards * groups parts; the more there are, the more even are tasks.
     """
     docs = docs.select("doc_id", "lang", "mark", "text")
     id_type = docs.schema["doc_id"].dataType
