@@ -10,11 +10,11 @@ VIEWS = {
     "net_vertex": """
 SELECT c_custkey AS v_id, CAST((c_custkey*37)%1000 AS DOUBLE) AS x, CAST((c_custkey*91)%1000 AS DOUBLE) AS y, CAST((c_custkey*53)%500 AS DOUBLE) AS z FROM {customer}""",
     "net_edge": """
-SELECT o_orderkey AS e_id, o_custkey AS v0, (o_custkey*7+o_orderkey*3+1) % (SELECT count(*) FROM {customer}) AS v1 FROM {orders} WHERE o_orderkey % 10 = 0""",
+SELECT o_orderkey AS e_id, o_custkey AS v0, (o_custkey*7+o_orderkey*3+1) % (SELECT count(*) FROM {customer}) AS v1 FROM {orders}""",
     "net_inner": """
 SELECT l_orderkey AS e_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq,
        count(*) OVER (PARTITION BY l_orderkey) AS n, CAST(l_partkey%11 - 5 AS DOUBLE) AS jx, CAST(l_partkey%7 - 3 AS DOUBLE) AS jy,
-       CAST(l_suppkey%5 - 2 AS DOUBLE) AS jz, CAST(2.0 + l_quantity/10.0 AS DOUBLE) AS d FROM {lineitem} WHERE l_orderkey % 10 = 0""",
+       CAST(l_suppkey%5 - 2 AS DOUBLE) AS jz, CAST(2.0 + l_quantity/10.0 AS DOUBLE) AS d FROM {lineitem}""",
     "net_point": """
 SELECT e.e_id, CAST(0 AS BIGINT) AS seq, a.x, a.y, a.z, CAST(4.0 AS DOUBLE) AS d FROM {net_edge} e JOIN {net_vertex} a ON a.v_id=e.v0
 UNION ALL
@@ -27,28 +27,22 @@ FROM {net_edge} e JOIN {net_vertex} b ON b.v_id=e.v1 LEFT JOIN (SELECT e_id, max
 SELECT CAST(l_orderkey%64 AS INT) AS x, CAST(l_partkey%64 AS INT) AS y, CAST(l_suppkey%16 AS INT) AS z, max(CAST(l_quantity*5 AS INT)) AS v FROM {lineitem} GROUP BY 1,2,3""",
 }
 
-#: What keeps the SQL of the network queries short: a tenth of the orders. Queries without SQL leave it away.
-TENTH = (" WHERE o_orderkey % 10 = 0", " WHERE l_orderkey % 10 = 0")
-
 #: Of the volume that ``vox`` lies in.
 SIZE = (64, 64, 16)
 
 
 class Fixtures:
-    """The derived tables of one data folder; with ``whole``, the network of all orders and lineitems."""
+    """The derived tables of one data folder: the network of all orders and lineitems, and a volume."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
-        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
         self.made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.made:
             if name in VIEWS:
                 need = {k: getattr(self, k) for k in (*TABLES, *VIEWS) if "{" + k + "}" in VIEWS[name]}
-                view = VIEWS[name]
-                for cut in TENTH if self.whole else ():
-                    view = view.replace(cut, "")
-                self.made[name] = self.spark.sql(view, **need)
+                self.made[name] = self.spark.sql(VIEWS[name], **need)
             elif name in TABLES:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,25 +43,67 @@ def boundary_distance(point: DataFrame, boundary: DataFrame, block: float = 60.0
     return own.join(to, ["kx", "ky", "kz"]).groupBy("e_id", "seq").agg(F.min(dist3(xyz(), [F.col(f"q{a}") for a in "xyz"])).alias("dist"))
 
 
-def rasterise(point: DataFrame, step: float) -> DataFrame:
-    """(x, y, z): numbers of the voxels (side ``step``) whose centres are within a segment's end spheres or the tapered tube between them."""
-    s = segments(point).select(*(F.col(a) for a in "xyz"), *(F.col(f"p{a}") for a in "xyz"), (F.col("d") / 2).alias("r"), (F.col("pd") / 2).alias("pr"))
-    # Boxes around samples along the axis, not the segment's whole box: rows in proportion to length times thickness squared.
-    reach = F.greatest("r", "pr") + step
-    n = F.greatest(F.ceil(dist3(xyz(), [F.col(f"p{a}") for a in "xyz"]) / step), F.lit(1)).cast("int")
-    s = s.select("*", reach.alias("reach"), n.alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    for a in "xyz":
-        m = F.col(f"p{a}") + (F.col(a) - F.col(f"p{a}")) * F.col("i") / F.col("n")
-        s = s.withColumn(f"v{a}", F.explode(F.sequence(F.ceil((m - F.col("reach")) / step).cast("int"), F.floor((m + F.col("reach")) / step).cast("int"))))
-    at = [F.col(f"v{a}") * float(step) for a in "xyz"]
-    p, q = [F.col(f"p{a}") for a in "xyz"], xyz()
-    axis = sub3(q, p)
-    w = sub3(at, p)
-    t = dot3(w, axis) / dot3(axis, axis)
-    off = dot3(w, w) - t * t * dot3(axis, axis)
-    r = (1 - t) * F.col("pr") + t * F.col("r")
-    hit = (dot3(w, w) <= F.col("pr") * F.col("pr")) | (dot3(sub3(at, q), sub3(at, q)) <= F.col("r") * F.col("r")) | ((t >= 0) & (t <= 1) & (off <= r * r))
-    return s.where(hit).select(*(F.col(f"v{a}").alias(a) for a in "xyz")).distinct()
+def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of all whole numbers from lo to hi of each row."""
+    n = np.maximum(hi - lo + 1, 0)
+    row = np.repeat(np.arange(len(lo)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+
+
+def solid(p: np.ndarray, q: np.ndarray, rp: np.ndarray, rq: np.ndarray, step: float) -> np.ndarray:
+    """The distinct voxels (side ``step``) whose centres are in the end spheres of segments or the tapered tubes between them.
+
+    Layer by layer across the axis that a segment runs along most: there a
+    layer cuts the tube in an ellipse of at most sqrt(2) radii around the axis,
+    so candidates are in proportion to length times thickness squared. Layers
+    beyond an end are sought around the end, and as much farther as they are
+    beyond it.
+    """
+    reach = np.maximum(rp, rq)
+    main = np.abs(q - p).argmax(axis=1)
+    order = (main[:, None] + np.arange(3)) % 3
+    a, b = np.take_along_axis(p, order, 1), np.take_along_axis(q, order, 1)
+    lo, hi = np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0])
+    k, layer = ranges(np.ceil((lo - reach) / step).astype(np.int64), np.floor((hi + reach) / step).astype(np.int64))
+    on = layer * step
+    beyond = np.maximum(np.maximum(lo[k] - on, on - hi[k]), 0)
+    span = b[k, 0] - a[k, 0]
+    part = np.clip((on - a[k, 0]) / np.where(span == 0, 1, span), 0, 1) * (span != 0)
+    half = reach[k] * math.sqrt(2) + beyond + 1e-9
+    at = layer[:, None]
+    for i in (1, 2):
+        m = a[k, i] + (b[k, i] - a[k, i]) * part
+        row, n = ranges(np.ceil((m - half) / step).astype(np.int64), np.floor((m + half) / step).astype(np.int64))
+        k, part, half, at = k[row], part[row], half[row], np.column_stack((at[row], n))
+    voxel = np.empty_like(at)
+    np.put_along_axis(voxel, order[k], at, 1)
+    w, axis = voxel * step - p[k], (q - p)[k]
+    w2, l2, along = (w * w).sum(1), (axis * axis).sum(1), (w * axis).sum(1)
+    t = along / np.where(l2 > 0, l2, 1)
+    tube = (l2 > 0) & (t >= 0) & (t <= 1) & (w2 - t * t * l2 <= ((1 - t) * rp[k] + t * rq[k]) ** 2)
+    e = w - axis
+    return np.unique(voxel[(w2 <= rp[k] ** 2) | ((e * e).sum(1) <= rq[k] ** 2) | tube], axis=0)
+
+
+def rasterise(point: DataFrame, step: float, candidates: int = 1_000_000) -> DataFrame:
+    """(x, y, z): numbers of the voxels (side ``step``) whose centres are within a segment's end spheres or the tapered tube between them.
+
+    Arrow batches of segments, of about ``candidates`` voxels at a time; a
+    segment's voxels are many times its row, so they are made where it is read.
+    """
+
+    def over(batches):
+        for t in batches:
+            p, q = t[["px", "py", "pz"]].to_numpy(), t[["x", "y", "z"]].to_numpy()
+            rp, rq = t["pd"].to_numpy() / 2, t["d"].to_numpy() / 2
+            n = (np.abs(q - p).max(axis=1) / step + 2 * np.maximum(rp, rq) / step + 1) * (3 * np.maximum(rp, rq) / step + 1) ** 2
+            group = (np.cumsum(n) // candidates).astype(np.int64)
+            for g in np.unique(group):
+                own = group == g
+                v = solid(p[own], q[own], rp[own], rq[own], float(step))
+                yield pd.DataFrame(v.astype(np.int32), columns=["x", "y", "z"])
+
+    return segments(point).mapInPandas(over, "x int, y int, z int").distinct()
 
 
 def slice_crossings(point: DataFrame, axis: str, at: float) -> DataFrame:

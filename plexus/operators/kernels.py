@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexus.operators.parabolic import distance_transform as distance_transform
+from plexus.operators.parabolic import parabolic as parabolic
 from plexus.plans.scratch import bounded, materialise
 
 
+
 def decimate(point: DataFrame, fraction: float) -> DataFrame:
     """Keep a point if it is farther from the last kept one and from the end than ``fraction`` times their mean diameter; both ends stay."""
 
@@ -29,51 +32,6 @@ def decimate(point: DataFrame, fraction: float) -> DataFrame:
     return p.groupBy("e_id").applyInPandas(one, p.schema)
 
 
-def envelope(f: np.ndarray, at: np.ndarray, curvature: float) -> np.ndarray:
-    """min over q of f(q) + curvature (at - q)^2, by the lower envelope of parabolas."""
-    n = len(f)
-    hull, start = np.zeros(n, dtype=int), np.empty(n + 1)
-    k, start[0], start[1] = 0, -np.inf, np.inf
-    for q in range(1, n):
-        while True:
-            p = hull[k]
-            s = (f[q] / curvature + at[q] ** 2 - f[p] / curvature - at[p] ** 2) / (2 * (at[q] - at[p]))
-            if s > start[k] or k == 0 and s == -np.inf:
-                break
-            k -= 1
-        k += 1
-        hull[k], start[k], start[k + 1] = q, s, np.inf
-    which = hull[np.searchsorted(start[1 : k + 1], at, side="right")] if k else np.zeros(n, dtype=int)
-    return f[which] + curvature * (at - at[which]) ** 2
-
-
-def lines_along(a: str, sign: float, scale: float):
-    def line(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(a)
-        return t.assign(v=sign * envelope(sign * t["v"].to_numpy(), t[a].to_numpy(dtype=float), 1 / (2 * scale)))
-
-    return line
-
-
-def parabolic(vox: DataFrame, scale: float, dilate: bool = False) -> DataFrame:
-    """Parabolic erosion (or dilation) of dense values v: along each line of each axis in turn, curvature 1 / (2 scale)."""
-    sign = -1.0 if dilate else 1.0
-    out = vox.select("x", "y", "z", F.col("v").cast("double").alias("v"))
-    for a in "xyz":
-
-        out = out.groupBy(*(b for b in "xyz" if b != a)).applyInPandas(lines_along(a, sign, scale), "x int, y int, z int, v double")
-    return out
-
-
-def distance_transform(vox: DataFrame, size: tuple[int, int, int]) -> DataFrame:
-    """(x, y, z, dist): each voxel's Euclidean distance from the nearest unlit one (within the volume; a large number if there is none)."""
-    from plexus.operators.points import dense
-
-    far = float(sum(n * n for n in size))
-    d = dense(vox, *size).select("x", "y", "z", F.when(F.col("v") > 0, F.lit(far)).otherwise(0.0).alias("v"))
-    return parabolic(d, 0.5).select("x", "y", "z", F.sqrt("v").alias("dist"))
-
-
 def labels_2d(lit: np.ndarray) -> np.ndarray:
     """Face-connected labels of a mask, by propagation of least numbers along runs."""
     lab = np.where(lit, np.arange(1, lit.size + 1).reshape(lit.shape), 0)

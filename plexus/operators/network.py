@@ -143,6 +143,92 @@ def contract_chains(edge: DataFrame) -> DataFrame:
     return edge.select("e_id").join(found, edge["e_id"] == found["node"], "left").select("e_id", F.coalesce("label", "e_id").alias("chain"))
 
 
+def joined_vertices(edge: DataFrame) -> DataFrame:
+    """v_id of the vertices at which two edges become one: those of two links, but for loops, and for the least vertex of a ring that has no other end."""
+    inner = degree(edge).where("n_links = 2").select("v_id").join(edge.where("v0 = v1").select(F.col("v0").alias("v_id")), "v_id", "left_anti")
+    inner = materialise(inner, "inner")
+    chain = contract_chains(edge)
+    ends = edge.join(chain, "e_id").select("chain", F.explode(F.array("v0", "v1")).alias("v_id")).join(inner.withColumn("inner", F.lit(True)), "v_id", "left")
+    rings = ends.groupBy("chain").agg(F.count(F.when(F.col("inner").isNull(), 1)).alias("open"), F.min("v_id").alias("v_id")).where("open = 0").select("v_id")
+    return inner.join(rings, "v_id", "left_anti")
+
+
+def ranked_chains(edge: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(e_id, k, chain, place): each edge's place in its chain, from 0.
+
+    k is 0 if the edge is walked from v0 to v1. An edge is two darts, one each
+    way; a dart's successor leaves the vertex that it leads to, if edges join
+    there. Pointers are doubled until all point to their chain's end, so rounds
+    are few however long a chain is. Of its two ways a chain is walked the one
+    that begins at the lesser vertex, then with the lesser edge.
+    """
+    join = materialise(joined_vertices(edge), "joints")
+    dart = lambda k: edge.select((2 * F.col("e_id") + k).alias("dart"), F.col(f"v{k}").alias("tail"), F.col(f"v{1 - k}").alias("head"))
+    darts = dart(0).unionByName(dart(1))
+    leave = darts.join(join, F.col("tail") == F.col("v_id"), "left_semi").select(F.col("tail").alias("head"), F.col("dart").alias("next"))
+    step = darts.join(leave, "head", "left").where(F.col("next").isNull() | (F.floor(F.col("next") / 2) != F.floor(F.col("dart") / 2)))
+    jump = materialise(step.select("dart", F.coalesce("next", "dart").alias("to"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("rank")), "jump")
+    for _ in range(max_rounds):
+        over = jump.select(F.col("dart").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("rank2"))
+        now = materialise(jump.join(over, "to").select("dart", F.col("to2").alias("to"), (F.col("rank") + F.col("rank2")).alias("rank")), "jump")
+        same = now.agg(F.sum("rank")).first()[0] == jump.agg(F.sum("rank")).first()[0]
+        drop(jump)
+        jump = now
+        if same:
+            break
+    else:
+        raise RuntimeError("the chains did not come to an end")
+    # The last dart turned around is the first of the other way.
+    turned = (F.col("to") + 1 - 2 * (F.col("to") % 2)).alias("other")
+    first = darts.select(F.col("dart").alias("other"), F.struct("tail", "dart").alias("other_start"))
+    ends = jump.where("dart = to").select("dart", turned).join(first, "other").select(F.col("dart").alias("to"), "other_start")
+    walks = jump.join(ends, "to").withColumn("e_id", F.floor(F.col("dart") / 2))
+    both = walks.groupBy("e_id").agg(F.max(F.struct("other_start", "dart", "to", "rank")).alias("w"))
+    own = both.select("e_id", (F.col("w.dart") % 2).cast("int").alias("k"), "w.to", "w.rank")
+    name = own.groupBy("to").agg(F.min("e_id").alias("chain"), F.max("rank").alias("most"))
+    return own.join(name, "to").select("e_id", "k", "chain", (F.col("most") - F.col("rank")).alias("place"))
+
+
+def join_chains(edge: DataFrame, point: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edge, point) in which edges that meet at a vertex of two links are one, with their points in order along the way.
+
+    A chain has the least of its e_ids and the vertices of its two ends; the
+    point that two edges share is there once (that of the earlier edge). Rings
+    keep their least vertex, loops stay as they are.
+    """
+    walked = materialise(ranked_chains(edge), "walked")
+    way = walked.join(edge, "e_id").select("chain", "place", F.when(F.col("k") == 0, F.col("v0")).otherwise(F.col("v1")).alias("a"), F.when(F.col("k") == 0, F.col("v1")).otherwise(F.col("v0")).alias("b"))
+    edges = way.groupBy(F.col("chain").alias("e_id")).agg(F.min_by("a", "place").alias("v0"), F.max_by("b", "place").alias("v1"))
+    n = point.groupBy("e_id").agg(F.count("*").alias("npts"))
+    before = F.coalesce(F.sum(F.col("npts") - 1).over(Window.partitionBy("chain").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = walked.join(n, "e_id").withColumn("before", before)
+    rows = point.withColumn("i", F.row_number().over(by_edge()) - 1).join(sized, "e_id")
+    at = F.when(F.col("k") == 0, F.col("i")).otherwise(F.col("npts") - 1 - F.col("i"))
+    rows = rows.withColumn("at", at).where("at > 0 or place = 0")
+    return edges, rows.select(F.col("chain").alias("e_id"), (F.col("before") + F.col("at")).alias("seq"), "x", "y", "z", "d")
+
+
+def trace(vox: DataFrame, size: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertex, edge, point) of a skeleton: voxels of other than two neighbours are vertices, the ways between them edges.
+
+    Every pair of 26-neighbours is an edge of two points to begin with (numbered
+    by the first voxel and the offset), then edges are joined. Diameters are
+    0; vertices that no edge names are voxels without a neighbour.
+    """
+    from plexus.functions.geom import N13, offsets
+    from plexus.operators.regions import voxel_id
+
+    own = vox.select("x", "y", "z", voxel_id(size).alias("id"))
+    turn = F.expr("CASE " + " ".join(f"WHEN dx = {a} AND dy = {b} AND dz = {c} THEN {i}" for i, (a, b, c) in enumerate(N13)) + " END")
+    there = own.select("x", "y", "z", F.col("id").alias("v1"))
+    links = offsets(own, N13).select((F.col("id") * len(N13) + turn).alias("e_id"), F.col("id").alias("v0"), *((F.col(a) + F.col(f"d{a}")).alias(a) for a in "xyz")).join(there, ["x", "y", "z"]).select("e_id", "v0", "v1")
+    links = materialise(links, "links")
+    place = own.select(F.col("id").alias("v_id"), *((F.col(a) * float(s)).alias(a) for a, s in zip("xyz", spacing, strict=True)))
+    tips = links.select("e_id", F.posexplode(F.array("v0", "v1")).alias("seq", "v_id")).join(place, "v_id").select("e_id", F.col("seq").cast("long").alias("seq"), "x", "y", "z", F.lit(0.0).alias("d"))
+    edge, point = join_chains(links, tips)
+    return place, edge, point
+
+
 def join_networks(parts: DataFrame, tolerance: float = 0.051) -> DataFrame:
     """Edges (block, e_id, x0.., x1..) of several blocks without repeats: of edges whose ends match within the tolerance, either way round, the first (block, e_id) stays.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -125,46 +125,48 @@ def loose_tips(edge: DataFrame, point: DataFrame) -> DataFrame:
     return tips.join(degree(edge).where("n_links = 1").select("v_id"), "v_id", "left_semi").join(mean, "e_id").where("ux is not null")
 
 
-def axes(p0: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit vectors: from p0 to p1, one across it (and across a global axis), and one across both."""
-    x = (p1 - p0) / np.linalg.norm(p1 - p0)
-    y = np.cross(x, np.eye(3)[np.argmin(np.abs(x))])
-    y /= np.linalg.norm(y)
-    return x, y, np.cross(x, y)
+def turning(e0: np.ndarray, e1: np.ndarray, p0: np.ndarray, p1: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The sum of the squares of the three angles by which a way turns that comes along e0 to p0, goes over p to p1 and on against e1."""
+    ways = (e0, p - p0, p1 - p, -e1)
+    out = 0.0
+    for u, v in zip(ways, ways[1:], strict=False):
+        n = np.linalg.norm(u, axis=-1) * np.linalg.norm(v, axis=-1)
+        out = out + np.arccos(np.clip((u * v).sum(axis=-1) / np.maximum(n, 1e-300), -1, 1)) ** 2
+    return out
 
 
-def joint(p0: np.ndarray, p1: np.ndarray, e0: np.ndarray, e1: np.ndarray, step: float = 0.01, small: float = 1e-5, rounds: int = 20) -> np.ndarray:
-    """The point as far from p0 as from p1 at which the sum of the squares of the three turning angles is least (Newton, finite differences)."""
-    x, y, z = axes(p0, p1)
-    d = float(np.linalg.norm(p1 - p0))
+#: A joint is no longer than so many times the gap that it closes.
+STRETCH = 1.5
 
-    def at(theta, phi):
-        s, c = math.sin(theta), math.cos(phi)
-        return p0 + d / (2 * s * c) * (s * c * x + s * math.sin(phi) * y + math.cos(theta) * z)
 
-    def turn(u, v):
-        return math.acos(min(1.0, max(-1.0, float(u @ v) / float(np.linalg.norm(u) * np.linalg.norm(v)))))
+def joints(p0: np.ndarray, p1: np.ndarray, e0: np.ndarray, e1: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """For each pair the point as far from p0 as from p1 at which the way turns least.
 
-    def q(theta, phi):
-        p = at(theta, phi)
-        return turn(e0, p - p0) ** 2 + turn(p - p0, p1 - p) ** 2 + turn(p1 - p, -e1) ** 2
-
-    theta, phi = math.pi / 2, 0.0
-    for _ in range(rounds):
-        q0, qt, qp = q(theta, phi), q(theta + step, phi), q(theta, phi + step)
-        f, g = (qt - q0) / step, (qp - q0) / step
-        if abs(f) < small and abs(g) < small:
-            break
-        a, b = (qt - 2 * q0 + q(theta - step, phi)) / step**2, (qp - 2 * q0 + q(theta, phi - step)) / step**2
-        c = (q(theta + step, phi + step) - qt - qp + q0) / step**2
-        det = a * b - c * c
-        if det == 0:
-            break
-        dt, dp = (c * g - b * f) / det, (c * f - a * g) / det
-        theta, phi = theta + dt, phi + dp
-        if d / (2 * math.sin(theta) * math.cos(phi)) > 0.75 * d or (abs(dt) < small and abs(dp) < small):
-            break
-    return at(theta, phi)
+    Such points form the plane that halves the gap. The least is sought there
+    among the points of a square grid, for all pairs at once; a grid of half
+    the width then stands around each pair's best point, until its width is
+    ``tolerance`` of the gap. The first grid covers all joints that are no
+    longer than STRETCH times the gap; longer ones don't count.
+    """
+    if not len(p0):
+        return np.zeros((0, 3))
+    gap = p1 - p0
+    size = np.linalg.norm(gap, axis=1)
+    # Two directions across the gap: rows of an orthogonal basis whose first vector is the gap's.
+    basis = np.linalg.svd(gap[:, None, :])[2][:, 1:]
+    most = np.sqrt((STRETCH / 2) ** 2 - 0.25)
+    steps = np.linspace(-1, 1, 17)
+    grid = np.stack(np.meshgrid(steps, steps, indexing="ij"), axis=-1).reshape(-1, 2)
+    best, width = np.zeros((len(p0), 2)), most
+    pick = np.arange(len(p0))
+    while width > tolerance:
+        at = best[:, None, :] + width * grid
+        p = ((p0 + p1) / 2)[:, None, :] + size[:, None, None] * np.einsum("nks,nsa->nka", at, basis)
+        cost = turning(e0[:, None, :], e1[:, None, :], p0[:, None, :], p1[:, None, :], p)
+        cost = np.where((at**2).sum(axis=2) <= most**2 + 1e-12, cost, np.inf)
+        best = at[pick, cost.argmin(axis=1)]
+        width /= 2
+    return (p0 + p1) / 2 + size[:, None] * np.einsum("ns,nsa->na", best, basis)
 
 
 def join_loose_ends(edge: DataFrame, point: DataFrame, reach: float = 100.0, max_diameter: float = 14.0, least: float | None = None, max_rounds: int = 10_000) -> DataFrame:
@@ -198,14 +200,12 @@ def join_loose_ends(edge: DataFrame, point: DataFrame, reach: float = 100.0, max
         live = materialise(live, "live")
     else:
         raise RuntimeError("the joints did not come to an end")
-    chosen = pairs.limit(0).select("tip0", "tip1")
-    for w in taken:
-        chosen = chosen.unionByName(w)
+    chosen = reduce(DataFrame.unionByName, taken, pairs.limit(0).select("tip0", "tip1"))
 
     def solve(batches):
         for b in batches:
             p0, p1, e0, e1 = (b[[f"{u}{c}" for c in "xyz"]].to_numpy() for u in ("", "q", "u", "w"))
-            mid = np.array([joint(*r) for r in zip(p0, p1, e0, e1, strict=True)]).reshape(-1, 3)
+            mid = joints(p0, p1, e0, e1)
             yield pd.DataFrame({"tip0": b["tip0"], "tip1": b["tip1"], "v0": b["v_id"], "v1": b["w_id"], "score": b["score"], "x": mid[:, 0], "y": mid[:, 1], "z": mid[:, 2], "d": (b["d"] + b["qd"]) / 2})
 
     return pairs.join(chosen, ["tip0", "tip1"], "left_semi").mapInPandas(solve, "tip0 long, tip1 long, v0 long, v1 long, score double, x double, y double, z double, d double")

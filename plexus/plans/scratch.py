@@ -41,7 +41,7 @@ def _remove_all(spark: SparkSession, paths: list[str]) -> None:
 _WRITTEN: list[str] = []
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """A new folder in the shared one; it goes when the process ends."""
     if not _WRITTEN:
         atexit.register(_remove_all, spark, _WRITTEN)
@@ -59,7 +59,7 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy", rows: int
     strewn over as many files as there are partitions.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}"
+    path = f"{folder(spark)}/{name}"
     if rows is not None:
         df = df.coalesce(rows // ROWS_A_FILE + 1)
     df.write.option("compression", compression).parquet(path)
@@ -90,7 +90,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 def put_bytes(spark: SparkSession, content: bytes, name: str) -> str:
     """Write a file of the driver's to the shared folder; its path. It goes when the process ends."""
-    path = f"{_folder(spark)}/{name}"
+    path = f"{folder(spark)}/{name}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
     try:

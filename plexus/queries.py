@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexus.fixtures import SIZE, Fixtures, ctes
-from plexus.functions.geom import PI, ball, bin_nearest, cube
-from plexus.operators import chains, distances, kernels, network, points, regions, rewrites, stencils
+from plexus.functions.geom import N6, N13, N26, PI, ball, bin_nearest, cube
+from plexus.operators import chains, distances, kernels, network, parabolic, points, regions, rewrites, stencils
 from plexus.plans.scratch import materialise, put_bytes
 from plexus.sources import cmgui, tiff
+from plexus.streaming import slices
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -19,10 +21,10 @@ W, H, D = SIZE
 
 
 def query(sql: str | None = None):
-    """Register a function of the fixtures; ``sql`` follows the fixtures' common table expressions. Without SQL, networks are of whole tables."""
+    """Register a function of the fixtures; ``sql`` follows the fixtures' common table expressions."""
 
     def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir, whole=sql is None))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
         if sql:
             SQL[f.__name__] = f"{ctes()}{'' if sql.lstrip().startswith('SELECT') else ','}\n{sql.strip()}"
         return f
@@ -244,27 +246,35 @@ def vox_adjacency(f):
 # --- regions ---------------------------------------------------------------
 
 
-def some(f) -> DataFrame:
-    """Few enough voxels for the recursive SQL: a corner of the volume."""
-    return f.lit
+def reach_sql(name: str, start: str, nodes: str, table) -> str:
+    """Voxels of ``nodes`` that ways over the offsets lead to from ``start``."""
+    return f"{name}(x, y, z) AS (SELECT x, y, z FROM {start} UNION SELECT n.x, n.y, n.z FROM {name} r, ({offset_sql(table)}) o(dx, dy, dz), {nodes} n WHERE n.x = r.x + o.dx AND n.y = r.y + o.dy AND n.z = r.z + o.dz)"
 
 
-@query()
+OBJ = f"""li AS (SELECT x, y, z, (CAST(z AS BIGINT) * {H} + y) * {W} + x AS id FROM lit),
+ln AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM li a, ({offset_sql(N26)}) o(dx, dy, dz), li b WHERE b.x = a.x + o.dx AND b.y = a.y + o.dy AND b.z = a.z + o.dz),
+ob(id, label) AS (SELECT id, id FROM li UNION SELECT l.b, o.label FROM ob o JOIN ln l ON l.a = o.id WHERE l.b > o.label),
+nm AS (SELECT label, count(*) AS n_voxels FROM (SELECT id, min(label) AS label FROM ob GROUP BY id) q GROUP BY label)"""
+
+
+@query(f"{OBJ} SELECT label, n_voxels FROM nm WHERE n_voxels >= 3 ORDER BY n_voxels DESC, label LIMIT 5")
 def vox_connect(f):
     return regions.largest_objects(f.lit, SIZE, 3, 5)
 
 
-@query()
+@query(f"{OBJ} SELECT label, n_voxels FROM nm WHERE n_voxels >= 2 ORDER BY n_voxels DESC, label LIMIT 20")
 def vox_fibre_connect(f):
     return regions.largest_objects(f.lit, SIZE, 2, 20)
 
 
-@query()
+@query(f"""{BIG}, {GRID}, bk AS MATERIALIZED (SELECT * FROM grid EXCEPT SELECT CAST(x AS INT), CAST(y AS INT), CAST(z AS INT) FROM big),
+bf AS (SELECT * FROM bk WHERE x IN (0, {W-1}) OR y IN (0, {H-1}) OR z IN (0, {D-1})), {reach_sql('rb', 'bf', 'bk', N6)}
+SELECT x, y, z, 255 AS v FROM (SELECT * FROM grid EXCEPT SELECT * FROM rb) q""")
 def vox_fill_holes(f):
     return regions.fill_holes(stencils.fatten(f.lit, 3, SIZE), SIZE)
 
 
-@query()
+@query(f"sd AS (SELECT x, y, z FROM lit WHERE x + y < 20), {reach_sql('rf', 'sd', 'lit', N26)} SELECT x, y, z, 255 AS v FROM rf")
 def vox_flood(f):
     return regions.flood(f.lit, SIZE, f.lit.where("x + y < 20").select("x", "y", "z"))
 
@@ -274,9 +284,77 @@ def vox_flood2d(f):
     return kernels.fill_slices(stencils.fatten(f.lit, 3, SIZE), SIZE, 12)
 
 
-@query()
+# --- parabolic morphology ---------------------------------------------------
+
+
+def passes_sql(name: str, src: str, curvature: float, dilate: bool = False) -> str:
+    """Three passes of a parabolic erosion (or dilation) of the values v of ``src``, by the definition of each."""
+    out, best, sign = [], "max" if dilate else "min", "-" if dilate else "+"
+    for i, a in enumerate("xyz"):
+        b, c = (k for k in "xyz" if k != a)
+        out.append(f"{name}{i} AS MATERIALIZED (SELECT p.x, p.y, p.z, {best}(q.v {sign} CAST({curvature} AS DOUBLE) * (p.{a} - q.{a}) * (p.{a} - q.{a})) AS v FROM {src} p JOIN {src} q ON q.{b} = p.{b} AND q.{c} = p.{c} GROUP BY p.x, p.y, p.z)")
+        src = f"{name}{i}"
+    return ", ".join(out)
+
+
+FAR = float(W * W + H * H + D * D)
+MASK = f"{BIG}, {GRID}, mk AS (SELECT g.x, g.y, g.z, b.x IS NOT NULL AS lit FROM grid g LEFT JOIN big b ON b.x = g.x AND b.y = g.y AND b.z = g.z), mi AS MATERIALIZED (SELECT x, y, z, CASE WHEN lit THEN CAST({FAR} AS DOUBLE) ELSE 0 END AS v FROM mk)"
+
+
+def value_sql(src: str) -> str:
+    return f"{DENSE}, dv AS MATERIALIZED (SELECT x, y, z, CAST(v AS DOUBLE) AS v FROM {src})"
+
+
+@query(f"{MASK}, {passes_sql('dt', 'mi', 1.0)} SELECT x, y, z, round(sqrt(v), 4) AS dist FROM dt2")
 def vox_distance_transform(f):
-    return rounded(kernels.distance_transform(stencils.fatten(f.lit, 3, SIZE), SIZE))
+    return rounded(parabolic.distance_transform(stencils.fatten(f.lit, 3, SIZE), SIZE))
+
+
+@query(f"""{MASK}, mo AS MATERIALIZED (SELECT x, y, z, {FAR} - v AS v FROM mi), {passes_sql('din', 'mi', 1.0)}, {passes_sql('dou', 'mo', 1.0)}
+SELECT a.x, a.y, a.z, round(sqrt(a.v) - sqrt(b.v), 4) AS dist FROM din2 a JOIN dou2 b ON b.x = a.x AND b.y = a.y AND b.z = a.z""")
+def vox_signed_distance(f):
+    return rounded(parabolic.signed_distance(stencils.fatten(f.lit, 3, SIZE), SIZE))
+
+
+@query(f"{value_sql('dense')}, {passes_sql('lo', 'dv', 2.0)}, {passes_sql('op', 'lo2', 2.0, dilate=True)} SELECT x, y, z, v FROM op2")
+def vox_parabolic_open(f):
+    return parabolic.opened(points.dense(f.vox, *SIZE), 0.25)
+
+
+@query(f"{value_sql('dense')}, {passes_sql('hi', 'dv', 2.0, dilate=True)}, {passes_sql('cl', 'hi2', 2.0)} SELECT x, y, z, v FROM cl2")
+def vox_parabolic_close(f):
+    return parabolic.closed(points.dense(f.vox, *SIZE), 0.25)
+
+
+@query(f"""{value_sql('dense')}, {passes_sql('lo', 'dv', 8.0)}, {passes_sql('hi', 'dv', 8.0, dilate=True)}
+SELECT d.x, d.y, d.z, CASE WHEN h.v - d.v < d.v - l.v THEN h.v WHEN d.v - l.v < h.v - d.v THEN l.v ELSE d.v END AS v
+FROM dv d JOIN lo2 l ON l.x = d.x AND l.y = d.y AND l.z = d.z JOIN hi2 h ON h.x = d.x AND h.y = d.y AND h.z = d.z""")
+def vox_sharpen(f):
+    return parabolic.sharpened(points.dense(f.vox, *SIZE), 0.0625)
+
+
+def reached_sql(name: str, src: str, r2: int) -> str:
+    """Voxels that a voxel of ``src`` reaches within squared distances under r2."""
+    n = math.isqrt(r2 - 1)
+    return f"(SELECT DISTINCT s.x + o.dx AS x, s.y + o.dy AS y, s.z + o.dz AS z FROM {src} s, ({offset_sql([o for o in cube(n) if sum(v * v for v in o) < r2])}) o(dx, dy, dz)) {name}"
+
+
+@query(f"""{MASK}, un AS (SELECT x, y, z FROM mk WHERE NOT lit), kp AS MATERIALIZED (SELECT x, y, z FROM mk WHERE lit EXCEPT SELECT * FROM {reached_sql('e', 'un', 3)})
+SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z, 255 AS v FROM {reached_sql('k', 'kp', 3)} WHERE {BOX}""")
+def vox_binary_open(f):
+    return parabolic.binary_open(stencils.fatten(f.lit, 3, SIZE), SIZE, 1)
+
+
+@query(f"""wg AS (SELECT CAST(a.i - 4 AS INT) AS x, CAST(b.i - 4 AS INT) AS y, CAST(c.i - 4 AS INT) AS z FROM range({W + 8}) a(i), range({H + 8}) b(i), range({D + 8}) c(i)),
+gr AS MATERIALIZED (SELECT * FROM {reached_sql('g', 'lit', 6)}), un AS (SELECT * FROM wg EXCEPT SELECT * FROM gr)
+SELECT x, y, z, 255 AS v FROM (SELECT * FROM gr EXCEPT SELECT * FROM {reached_sql('u', 'un', 6)}) q WHERE {BOX}""")
+def vox_binary_close(f):
+    return parabolic.binary_close(f.lit, SIZE, 2)
+
+
+@query("SELECT z, CAST(sum(v) AS BIGINT) AS raw, count(*) AS n FROM vox WHERE v > 20 GROUP BY z")
+def vox_streamed_sums(f):
+    return slices.streamed_sums(f.spark, f.vox, 20)
 
 
 @query()
@@ -522,8 +600,40 @@ def contract_chains(f):
     return network.contract_chains(f.net_edge)
 
 
-@query(f"""{DIM}, arc AS (SELECT v0 AS a, v1 AS b, CAST(floor(length*10) AS BIGINT) AS w FROM net_edge JOIN dim ON dim.e_id = net_edge.e_id WHERE v0 <> v1 UNION ALL SELECT v1, v0, CAST(floor(length*10) AS BIGINT) FROM net_edge JOIN dim ON dim.e_id = net_edge.e_id WHERE v0 <> v1),
-ok AS (SELECT 1)
+def chain_sql(edge: str) -> str:
+    """Walks along the chains of an edge table: wk2 (first, dart, i) of each edge, on the way that begins at the lesser vertex."""
+    return f"""dg AS (SELECT v_id, count(*) AS k FROM (SELECT v0 AS v_id FROM {edge} UNION ALL SELECT v1 FROM {edge}) q GROUP BY v_id),
+lo AS (SELECT v_id FROM dg WHERE k = 2 AND v_id NOT IN (SELECT v0 FROM {edge} WHERE v0 = v1)),
+tw AS (SELECT v_id, min(e_id) AS a, max(e_id) AS b FROM (SELECT e_id, v0 AS v_id FROM {edge} UNION ALL SELECT e_id, v1 FROM {edge}) q WHERE v_id IN (SELECT v_id FROM lo) GROUP BY 1),
+cn(e_id, chain) AS (SELECT e_id, e_id FROM {edge} UNION SELECT CASE WHEN tw.a = cn.e_id THEN tw.b ELSE tw.a END, cn.chain FROM cn JOIN tw ON tw.a = cn.e_id OR tw.b = cn.e_id),
+ch AS (SELECT e_id, min(chain) AS chain FROM cn GROUP BY 1),
+ri AS (SELECT chain, min(v_id) AS v_id FROM (SELECT chain, v0 AS v_id FROM {edge} e JOIN ch ON ch.e_id = e.e_id UNION ALL SELECT chain, v1 FROM {edge} e JOIN ch ON ch.e_id = e.e_id) q GROUP BY chain HAVING count(CASE WHEN v_id IN (SELECT v_id FROM lo) THEN NULL ELSE 1 END) = 0),
+jn AS MATERIALIZED (SELECT v_id FROM lo WHERE v_id NOT IN (SELECT v_id FROM ri)),
+da AS MATERIALIZED (SELECT 2 * e_id AS dart, v0 AS tail, v1 AS head FROM {edge} UNION ALL SELECT 2 * e_id + 1, v1, v0 FROM {edge}),
+nx AS MATERIALIZED (SELECT a.dart, b.dart AS nxt FROM da a JOIN da b ON b.tail = a.head WHERE b.dart // 2 <> a.dart // 2 AND a.head IN (SELECT v_id FROM jn)),
+wk(first, tail, dart, i) AS (SELECT dart, tail, dart, 0 FROM da WHERE tail NOT IN (SELECT v_id FROM jn) UNION ALL SELECT w.first, w.tail, nx.nxt, w.i + 1 FROM wk w JOIN nx ON nx.dart = w.dart),
+wk2 AS MATERIALIZED (SELECT dart // 2 AS e_id, dart % 2 AS k, first, i FROM (SELECT *, row_number() OVER (PARTITION BY dart // 2 ORDER BY tail, first) AS r FROM wk) q WHERE r = 1),
+nm AS (SELECT first, min(e_id) AS chain FROM wk2 GROUP BY first)"""
+
+
+@query(f"""{chain_sql('net_edge')}, np AS (SELECT e_id, count(*) AS n FROM net_point GROUP BY e_id),
+sz AS (SELECT w.*, nm.chain, np.n, sum(np.n - 1) OVER (PARTITION BY w.first ORDER BY i) - (np.n - 1) AS before FROM wk2 w JOIN nm ON nm.first = w.first JOIN np ON np.e_id = w.e_id),
+pt AS (SELECT s.chain AS e_id, s.before, s.i, CASE WHEN s.k = 0 THEN p.seq ELSE s.n - 1 - p.seq END AS ix, p.x, p.y, p.z, p.d FROM net_point p JOIN sz s ON s.e_id = p.e_id)
+SELECT e_id, CAST(before + ix AS BIGINT) AS seq, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(d, 4) AS d FROM pt WHERE ix > 0 OR i = 0""")
+def chain_points(f):
+    return rounded(network.join_chains(f.net_edge, f.net_point)[1])
+
+
+@query(f"""li AS (SELECT x, y, z, (CAST(z AS BIGINT) * {H} + y) * {W} + x AS id FROM lit),
+lk AS MATERIALIZED (SELECT a.id * 13 + o.i AS e_id, a.id AS v0, b.id AS v1 FROM li a, (VALUES {", ".join(str((*o, i)) for i, o in enumerate(N13))}) o(dx, dy, dz, i), li b WHERE b.x = a.x + o.dx AND b.y = a.y + o.dy AND b.z = a.z + o.dz),
+{chain_sql('lk')}, rw AS (SELECT w.*, CASE WHEN k = 0 THEN v0 ELSE v1 END AS a, CASE WHEN k = 0 THEN v1 ELSE v0 END AS b FROM wk2 w JOIN lk ON lk.e_id = w.e_id)
+SELECT nm.chain AS e_id, arg_min(a, i) AS v0, arg_max(b, i) AS v1, count(*) + 1 AS npts FROM rw JOIN nm ON nm.first = rw.first GROUP BY nm.chain""")
+def vox_trace(f):
+    _, edge, point = network.trace(f.lit, SIZE)
+    return edge.join(point.groupBy("e_id").agg(F.count("*").alias("npts")), "e_id")
+
+
+@query(f"""{DIM}, arc AS (SELECT v0 AS a, v1 AS b, CAST(floor(length*10) AS BIGINT) AS w FROM net_edge JOIN dim ON dim.e_id = net_edge.e_id WHERE v0 <> v1 UNION ALL SELECT v1, v0, CAST(floor(length*10) AS BIGINT) FROM net_edge JOIN dim ON dim.e_id = net_edge.e_id WHERE v0 <> v1)
 SELECT count(*) AS n_arcs, CAST(sum(w) AS BIGINT) AS w FROM arc""")
 def shortest_path_arcs(f):
     w = f.net_edge.where("v0 <> v1").join(network.edge_dimensions(f.net_point).select("e_id", "length"), "e_id").select(F.floor(F.col("length") * 10).cast("long").alias("w"))
@@ -539,16 +649,21 @@ def shortest_paths(f):
 
 # --- distances, rasters, slices --------------------------------------------
 
-PROBE = "p AS (SELECT 25.0 + 50*a.i AS x, 25.0 + 50*b.i AS y, 25.0 + 50*c.i AS z FROM range(6) a(i), range(6) b(i), range(6) c(i))"
+def tissue_sql(step: float) -> str:
+    """The distances of a grid's points over the network's box from the segments whose midpoints lie in the 27 blocks around them."""
+    axis = lambda a: f"(SELECT lo + (i + 0.5) * {step} AS {a} FROM (SELECT min({a}) AS lo, unnest(range(CAST(greatest(ceil((max({a}) - min({a})) / {step} - 0.5), 0) AS BIGINT))) AS i FROM net_point) q)"
+    return f"""{SEG}, p AS MATERIALIZED (SELECT x, y, z FROM {axis('x')}, {axis('y')}, {axis('z')}),
+pn AS (SELECT p.*, floor(x/120) + dx AS cx, floor(y/120) + dy AS cy, floor(z/120) + dz AS cz FROM p, ({offset_sql(cube(1))}) o(dx, dy, dz)),
+s AS MATERIALIZED (SELECT px AS ax, py AS ay, pz AS az, x AS bx, y AS by_, z AS bz, pd/2 AS ra, d/2 AS rb, floor((x+px)/2/120) AS cx, floor((y+py)/2/120) AS cy, floor((z+pz)/2/120) AS cz FROM seg),
+q AS (SELECT p.x, p.y, p.z, ra, rb, sqrt((p.x-ax)*(p.x-ax)+(p.y-ay)*(p.y-ay)+(p.z-az)*(p.z-az)) AS lw, sqrt((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)+(bz-az)*(bz-az)) AS lv, (p.x-ax)*(bx-ax)+(p.y-ay)*(by_-ay)+(p.z-az)*(bz-az) AS dot, sqrt((p.x-bx)*(p.x-bx)+(p.y-by_)*(p.y-by_)+(p.z-bz)*(p.z-bz)) AS le
+FROM pn p JOIN s ON p.cx = s.cx AND p.cy = s.cy AND p.cz = s.cz),
+e AS (SELECT x, y, z, CASE WHEN lv = 0 OR lw = 0 THEN 0 ELSE greatest(CASE WHEN dot/lv <= 0 THEN lw - ra WHEN dot/lv >= lv THEN le - rb ELSE sqrt(greatest(lw*lw - (dot/lv)*(dot/lv), 0)) - ((1 - dot/lv/lv)*ra + dot/lv/lv*rb) END, 0) END AS dd FROM q),
+td AS (SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, min(dd) AS dist FROM e GROUP BY 1, 2, 3)"""
 
 
-@query(f"""{SEG}, {PROBE}, s AS (SELECT px AS ax, py AS ay, pz AS az, x AS bx, y AS by_, z AS bz, pd/2 AS ra, d/2 AS rb, floor((x+px)/2/120) AS cx, floor((y+py)/2/120) AS cy, floor((z+pz)/2/120) AS cz FROM seg),
-q AS (SELECT p.x, p.y, p.z, ra, rb, sqrt((p.x-ax)*(p.x-ax)+(p.y-ay)*(p.y-ay)+(p.z-az)*(p.z-az)) AS lw, sqrt((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)+(bz-az)*(bz-az)) AS lv, (p.x-ax)*(bx-ax)+(p.y-ay)*(by_-ay)+(p.z-az)*(bz-az) AS dot, sqrt((p.x-bx)*(p.x-bx)+(p.y-by_)*(p.y-by_)+(p.z-bz)*(p.z-bz)) AS le
-FROM p JOIN s ON abs(floor(p.x/120) - cx) <= 1 AND abs(floor(p.y/120) - cy) <= 1 AND abs(floor(p.z/120) - cz) <= 1),
-e AS (SELECT x, y, z, CASE WHEN lv = 0 OR lw = 0 THEN 0 ELSE greatest(CASE WHEN dot/lv <= 0 THEN lw - ra WHEN dot/lv >= lv THEN le - rb ELSE sqrt(greatest(lw*lw - (dot/lv)*(dot/lv), 0)) - ((1 - dot/lv/lv)*ra + dot/lv/lv*rb) END, 0) END AS dd FROM q)
-SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, round(min(dd), 4) AS dist FROM e GROUP BY 1, 2, 3""")
+@query(f"{tissue_sql(50.0)} SELECT round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(dist, 4) AS dist FROM td")
 def tissue_distance(f):
-    return rounded(distances.vessel_distance(distances.tissue_grid(f.spark, (0, 0, 0), (300, 300, 300), 50), f.net_point))
+    return rounded(distances.vessel_distance(distances.tissue_grid(f.spark, *distances.bounding_box(f.net_point), 50), f.net_point))
 
 
 @query()
@@ -556,21 +671,18 @@ def tissue_distance_histogram(f):
     return distances.distance_histogram(distances.vessel_distance(distances.tissue_grid(f.spark, *distances.bounding_box(f.net_point), 25), f.net_point))
 
 
-@query(f"""{SEG}, m AS (SELECT e_id, seq, (x+px)/2 AS x, (y+py)/2 AS y, (z+pz)/2 AS z FROM seg), b AS (SELECT x*15.0 AS bx, y*15.0 AS by_, z*30.0 AS bz FROM lit WHERE x % 2 = 0)
-SELECT e_id, seq, round(min(sqrt((x-bx)*(x-bx)+(y-by_)*(y-by_)+(z-bz)*(z-bz))), 4) AS dist FROM m JOIN b ON abs(floor(x/60)-floor(bx/60)) <= 1 AND abs(floor(y/60)-floor(by_/60)) <= 1 AND abs(floor(z/60)-floor(bz/60)) <= 1 GROUP BY 1, 2""")
+@query(f"""{SEG}, m AS (SELECT e_id, seq, (x+px)/2 AS x, (y+py)/2 AS y, (z+pz)/2 AS z FROM seg),
+mn AS (SELECT m.*, floor(x/60) + dx AS cx, floor(y/60) + dy AS cy, floor(z/60) + dz AS cz FROM m, ({offset_sql(cube(1))}) o(dx, dy, dz)),
+b AS (SELECT x*15.0 AS bx, y*15.0 AS by_, z*30.0 AS bz, floor(x*15.0/60) AS cx, floor(y*15.0/60) AS cy, floor(z*30.0/60) AS cz FROM lit)
+SELECT e_id, seq, round(min(sqrt((x-bx)*(x-bx)+(y-by_)*(y-by_)+(z-bz)*(z-bz))), 4) AS dist FROM mn JOIN b ON mn.cx = b.cx AND mn.cy = b.cy AND mn.cz = b.cz GROUP BY 1, 2""")
 def lymphatic_distance(f):
-    b = f.lit.where("x % 2 = 0").selectExpr("cast(x * 15 as double) AS x", "cast(y * 15 as double) AS y", "cast(z * 30 as double) AS z")
+    b = f.lit.selectExpr("cast(x * 15 as double) AS x", "cast(y * 15 as double) AS y", "cast(z * 30 as double) AS z")
     return rounded(distances.boundary_distance(f.net_point, b))
 
 
-@query(f"""{SEG}, s AS (SELECT *, greatest(d, pd)/2 AS big, (x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz) AS l2 FROM seg WHERE e_id % 50 = 0),
-a AS (SELECT *, unnest(generate_series(CAST(floor((least(x,px)-big)/2) AS BIGINT), CAST(ceil((greatest(x,px)+big)/2) AS BIGINT))) AS vx FROM s),
-b AS (SELECT *, unnest(generate_series(CAST(floor((least(y,py)-big)/2) AS BIGINT), CAST(ceil((greatest(y,py)+big)/2) AS BIGINT))) AS vy FROM a),
-c AS (SELECT *, unnest(generate_series(CAST(floor((least(z,pz)-big)/2) AS BIGINT), CAST(ceil((greatest(z,pz)+big)/2) AS BIGINT))) AS vz FROM b),
-w AS (SELECT *, (vx*2.0-px)*(vx*2.0-px)+(vy*2.0-py)*(vy*2.0-py)+(vz*2.0-pz)*(vz*2.0-pz) AS w2, (vx*2.0-x)*(vx*2.0-x)+(vy*2.0-y)*(vy*2.0-y)+(vz*2.0-z)*(vz*2.0-z) AS e2, ((vx*2.0-px)*(x-px)+(vy*2.0-py)*(y-py)+(vz*2.0-pz)*(z-pz))/l2 AS t FROM c)
-SELECT DISTINCT CAST(vx AS INT) AS x, CAST(vy AS INT) AS y, CAST(vz AS INT) AS z FROM w WHERE w2 <= pd/2*pd/2 OR e2 <= d/2*d/2 OR (t >= 0 AND t <= 1 AND w2 - t*t*l2 <= ((1-t)*pd/2+t*d/2)*((1-t)*pd/2+t*d/2))""")
+@query()
 def raster_network(f):
-    return distances.rasterise(f.net_point.where("e_id % 50 = 0"), 2.0)
+    return distances.rasterise(f.net_point, 2.0)
 
 
 @query(f"{SEG} SELECT count(*) AS n_crossings, round(coalesce(sum(3.14159*((d+pd)/2)*((d+pd)/2)/4/greatest(abs(z-pz)/sqrt((x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz)), sin(pi()/12))), 0), 3) AS area FROM seg WHERE (pz <= 250 AND 250 < z) OR (z < 250 AND 250 <= pz)")
@@ -595,13 +707,13 @@ def motility_cm(f):
 
 # --- rewrites, chains, files -----------------------------------------------
 
-PTS = "pts AS (SELECT p.* FROM net_point p JOIN (SELECT e_id, max(seq) AS last FROM net_point GROUP BY e_id) k ON k.e_id = p.e_id WHERE p.e_id % 60 = 0 OR p.seq = 0 OR p.seq = k.last)"
+PTS = "pts AS (SELECT p.* FROM net_point p JOIN (SELECT e_id, max(seq) AS last FROM net_point GROUP BY e_id) k ON k.e_id = p.e_id WHERE k.last > 4 OR p.seq = 0 OR p.seq = k.last)"
 
 
 def mostly_straight(f) -> DataFrame:
-    """The points, without the inner ones of most edges."""
+    """The points, without the inner ones of edges that have three or fewer."""
     w = f.net_point.groupBy("e_id").agg(F.max("seq").alias("last"))
-    return f.net_point.join(w, "e_id").where("e_id % 60 = 0 or seq = 0 or seq = last").drop("last")
+    return f.net_point.join(w, "e_id").where("last > 4 or seq = 0 or seq = last").drop("last")
 
 
 @query(f"""{PTS}, {ENDS}, n AS (SELECT e_id, count(*) AS npts FROM pts GROUP BY e_id),

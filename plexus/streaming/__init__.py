@@ -1,11 +1 @@
-"""The reference capabilities have no streams; voxel tables that arrive in slices are counted as a stream here."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def slice_sums(stream: DataFrame, least: int) -> DataFrame:
-    """Running sums per slice of values above ``least``; a streaming or a plain voxel table."""
-    return stream.where(F.col("v") > least).groupBy("z").agg(F.sum("v").alias("raw"), F.count("*").alias("n"))
+"""Structured Streaming over voxel slices."""

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plexus.functions.geom import ball, cube
 from plexus.operators import distances, kernels, network, points, regions, stencils
@@ -275,7 +276,7 @@ def test_sprout_and_tissue_queries_take_the_whole_network(spark):
     from plexus.fixtures import Fixtures
     from plexus.queries import QUERIES
 
-    p = Fixtures(spark, SF, whole=True).net_point
+    p = Fixtures(spark, SF).net_point
     assert QUERIES["sprout_intensity"](spark, SF).count() == p.select("e_id").distinct().count()
     lo, hi = distances.bounding_box(p)
     cells_of = [math.ceil((b - a) / 25 - 0.5) for a, b in zip(lo, hi, strict=True)]
@@ -286,7 +287,122 @@ def test_queries_without_sql_see_all_orders(spark):
     from plexus.fixtures import Fixtures
     from plexus.queries import QUERIES
 
-    f = Fixtures(spark, SF, whole=True)
+    f = Fixtures(spark, SF)
     orders, items = f.orders.count(), f.lineitem.join(f.orders, f.lineitem["l_orderkey"] == f.orders["o_orderkey"], "left_semi").count()
     assert f.net_edge.count() == orders and f.net_point.count() == 2 * orders + items
     assert QUERIES["am_smooth"](spark, SF).select("e_id").distinct().count() == orders
+
+
+def test_raster_of_oblique_tubes_by_brute_force(spark):
+    rng, rows = random.Random(8), []
+    for e in range(12):
+        a = [rng.uniform(4, 16) for _ in range(3)]
+        b = a if e == 0 else [v + rng.uniform(-9, 9) * (i != e % 3 or e > 6) for i, v in enumerate(a)]
+        rows += [(e, 0, *a, rng.uniform(0.5, 5)), (e, 1, *b, rng.uniform(0.5, 5))]
+    got = cells(distances.rasterise(spark.createDataFrame(rows, "e_id long, seq long, x double, y double, z double, d double"), 0.75))
+    n = np.arange(-20, 60) * 0.75
+    at = np.stack(np.meshgrid(n, n, n, indexing="ij"), axis=-1)
+    hit = np.zeros(at.shape[:3], dtype=bool)
+    for p, q in zip(rows[::2], rows[1::2], strict=True):
+        a, b, ra, rb = np.array(p[2:5]), np.array(q[2:5]), p[5] / 2, q[5] / 2
+        w, axis = at - a, b - a
+        hit |= ((w**2).sum(-1) <= ra**2) | (((at - b) ** 2).sum(-1) <= rb**2)
+        if axis.any():
+            t = (w @ axis) / (axis @ axis)
+            off = (w**2).sum(-1) - t * t * (axis @ axis)
+            hit |= (t >= 0) & (t <= 1) & (off <= ((1 - t) * ra + t * rb) ** 2)
+    assert got == {tuple((i - 20).tolist()) for i in np.argwhere(hit)}
+
+
+def test_chains_of_the_fixture_shapes(spark):
+    """A Y junction with a divided arm, a ring, a figure of two rings at one vertex, a theta, and a loop."""
+    edges = {1: (10, 11), 2: (12, 11), 3: (12, 13), 4: (10, 14), 5: (10, 15), 6: (20, 21), 7: (21, 22), 8: (22, 20), 9: (30, 31), 10: (31, 30), 11: (30, 32), 12: (33, 32), 13: (30, 33), 14: (40, 41), 15: (41, 40), 16: (40, 42), 17: (42, 41), 18: (50, 50)}
+    place = lambda v: (float(v), float(v * v % 7), float(v % 3))
+    points = []
+    for e, (a, b) in edges.items():
+        points += [(e, 0, *place(a), 1.0), (e, 1, float(e), -1.0, -1.0, 2.0), (e, 2, *place(b), 1.0)]
+    e = spark.createDataFrame([(k, *v) for k, v in edges.items()], "e_id long, v0 long, v1 long")
+    p = spark.createDataFrame(points, "e_id long, seq long, x double, y double, z double, d double")
+    edge, point = network.join_chains(e, p)
+    got = {r["e_id"]: (r["v0"], r["v1"]) for r in edge.collect()}
+    assert got == {1: (10, 13), 4: (10, 14), 5: (10, 15), 6: (20, 20), 9: (30, 30), 11: (30, 30), 14: (40, 41), 15: (40, 41), 16: (40, 41), 18: (50, 50)}
+    rows = {}
+    for r in sorted(point.collect(), key=lambda r: (r["e_id"], r["seq"])):
+        rows.setdefault(r["e_id"], []).append((r["x"], r["y"], r["z"]))
+    mid = lambda e: (float(e), -1.0, -1.0)
+    assert rows[1] == [place(10), mid(1), place(11), mid(2), place(12), mid(3), place(13)]
+    assert rows[6] == [place(20), mid(6), place(21), mid(7), place(22), mid(8), place(20)]
+    assert rows[15] == [place(40), mid(15), place(41)]
+    assert rows[11][0] == rows[11][-1] == place(30) and len(rows[11]) == 7
+    assert network.join_chains(e.limit(0), p.limit(0))[0].count() == 0
+
+
+def test_trace_of_a_skeleton(spark):
+    """Three arms from one voxel."""
+    lit = {(5, 5, 5), *((5 + i, 5, 5) for i in range(2, 5)), *((5 - i, 5 + i, 5) for i in range(2, 5)), *((5 - i, 5 - i, 5) for i in range(2, 5)), (6, 5, 5), (4, 6, 5), (4, 4, 5)}
+    vertex, edge, point = network.trace(vox(spark, lit), SIZE, (2.0, 2.0, 2.0))
+    assert vertex.count() == len(lit) and edge.count() == 3
+    assert sorted(r["count"] for r in point.groupBy("e_id").count().collect()) == [5, 5, 5]
+
+
+def test_parabolic_passes_by_brute_force(spark):
+    from plexus.operators import parabolic
+
+    rng, size = np.random.default_rng(4), (6, 5, 4)
+    v = rng.integers(0, 50, size).astype(float)
+    at = np.argwhere(np.ones(size))
+    t = spark.createDataFrame([(*map(int, c), float(v[tuple(c)])) for c in at], "x int, y int, z int, v double")
+    back = lambda df, c="v": np.array([r[c] for r in sorted(df.collect(), key=lambda r: (r["x"], r["y"], r["z"]))]).reshape(size)
+    d2 = lambda s: (((at[:, None, :] - at[None, :, :]) * np.array(s)) ** 2).sum(-1)
+    low = lambda a, k, s=(1, 1, 1): (a.reshape(-1)[None, :] + k * d2(s)).min(1).reshape(size)
+    assert back(parabolic.parabolic(t, 0.1)) == pytest.approx(low(v, 5))
+    assert back(parabolic.parabolic(t, 0.1, dilate=True, spacing=(1, 2, 3))) == pytest.approx(-low(-v, 5, (1, 2, 3)))
+    assert back(parabolic.opened(t, 0.1)) == pytest.approx(-low(-low(v, 5), 5)) and back(parabolic.closed(t, 0.1)) == pytest.approx(low(-low(-v, 5), 5))
+    up, down = -low(-v, 5) - v, v - low(v, 5)
+    assert back(parabolic.sharpened(t, 0.1)) == pytest.approx(np.where(up < down, v + up, np.where(down < up, v - down, v)))
+    lit = v > 20
+    dist = np.sqrt(np.where(d2((1, 1, 2)).reshape(*size, -1) * 0 + lit.reshape(-1)[None, None, None, :] != lit[..., None], d2((1, 1, 2)).reshape(*size, -1), 1e9).min(-1))
+    assert back(parabolic.signed_distance(t.where("v > 20"), size, (1, 1, 2)), "dist") == pytest.approx(np.where(lit, dist, -dist))
+    near = d2((1, 1, 1)).reshape(*size, -1)
+    reached = lambda mask: (np.where(mask.reshape(-1)[None, None, None, :], near, 99) < 6).any(-1)
+    assert cells(parabolic.binary(t.where("v > 40"), size, 2, True)) == {tuple(c.tolist()) for c in np.argwhere(reached(v > 40))}
+    assert cells(parabolic.binary(t.where("v > 3"), size, 2, False)) == {tuple(c.tolist()) for c in np.argwhere(~reached(v <= 3))}
+
+
+def test_lines_in_bundles_are_the_same(spark):
+    from plexus.operators import parabolic
+
+    t = vox(spark, {(x, y, z) for x in range(9) for y in range(9) for z in range(5) if (x * 7 + y * 3 + z) % 5}).withColumn("v", ((F.col("x") * 31 + F.col("y") * 17) % 23).cast("double"))
+    a, b = (sorted(tuple(r) for r in parabolic.pass_along(t, "x", {"v": 0.5}, n).collect()) for n in (2, 1000))
+    assert a == b
+
+
+def test_joints_turn_least():
+    """No other point of the halving plane, near or far, turns less; a straight way goes through the middle."""
+    from plexus.operators import rewrites
+
+    rng = np.random.default_rng(9)
+    p0, p1 = rng.uniform(-5, 5, (20, 3)), rng.uniform(-5, 5, (20, 3))
+    gap = p1 - p0
+    e0, e1 = gap + rng.normal(0, 2, (20, 3)), -gap + rng.normal(0, 2, (20, 3))
+    e0[0], e1[0] = gap[0], -gap[0]
+    p = rewrites.joints(p0, p1, e0, e1)
+    assert p[0] == pytest.approx((p0[0] + p1[0]) / 2, abs=1e-6)
+    assert np.linalg.norm(p - p0, axis=1) == pytest.approx(np.linalg.norm(p - p1, axis=1))
+    best = rewrites.turning(e0, e1, p0, p1, p)
+    for _ in range(300):
+        q = rng.normal(0, 1, (20, 3)) * np.linalg.norm(gap, axis=1)[:, None] * rng.choice([1e-3, 0.05, 0.4])
+        q = p + q - (q * gap).sum(1, keepdims=True) / (gap**2).sum(1, keepdims=True) * gap
+        ok = np.linalg.norm(q - p0, axis=1) <= rewrites.STRETCH / 2 * np.linalg.norm(gap, axis=1)
+        assert (rewrites.turning(e0, e1, p0, p1, q)[ok] >= best[ok] - 1e-7).all()
+
+
+def test_streamed_sums_equal_plain_ones(spark):
+    from plexus.streaming import slices
+
+    t = vox(spark, {(x, y, z) for x in range(5) for y in range(5) for z in range(4)}).withColumn("v", F.col("x") * 10).repartition(5)
+    assert cells_of_sums(slices.streamed_sums(spark, t, 15)) == cells_of_sums(slices.slice_sums(t, 15))
+
+
+def cells_of_sums(df):
+    return sorted((r["z"], r["raw"], r["n"]) for r in df.collect())
