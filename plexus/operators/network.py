@@ -329,22 +329,24 @@ def heal(edge: DataFrame, vertex: DataFrame, max_len: float) -> DataFrame:
 
 
 def shortest_paths(edge: DataFrame, sizes: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(v_id, distance, parent): least sums of floor(10 * length) from any root, divided by 10; of equal ways the least parent.
+    """(v_id, distance, parent): least sums of floor(10 * length) from any root, divided by 10; of equal ways that of the fewest arcs, then of the least parent.
+
+    An arc may have no length, so arcs are counted too: else parents could lead around in a ring.
 
     Only the vertices that the last round improved send on (a frontier);
     every round is a partial aggregate and a join with the arcs.
     """
     w = edge.where("v0 <> v1").join(sizes.select("e_id", "length"), "e_id").select("v0", "v1", F.floor(F.col("length") * 10).cast("long").alias("w"))
     arcs = materialise(w.select(F.col("v0").alias("a"), F.col("v1").alias("b"), "w").unionByName(w.select(F.col("v1").alias("a"), F.col("v0").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")), "arcs")
-    known = materialise(roots.select("v_id", F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("fresh")), "known")
+    known = materialise(roots.select("v_id", F.lit(0).cast("long").alias("dist"), F.lit(0).cast("long").alias("arcs"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("fresh")), "known")
     for _ in range(max_rounds):
-        sent = known.where("fresh").join(arcs, F.col("v_id") == F.col("a")).select(F.col("b").alias("v_id"), (F.col("dist") + F.col("w")).alias("dist"), F.col("a").alias("parent"))
-        best = sent.groupBy("v_id").agg(F.min(F.struct("dist", "parent")).alias("n"))
-        old = known.select("v_id", F.struct("dist", "parent").alias("o"))
+        sent = known.where("fresh").join(arcs, F.col("v_id") == F.col("a")).select(F.col("b").alias("v_id"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("arcs") + 1).alias("arcs"), F.col("a").alias("parent"))
+        best = sent.groupBy("v_id").agg(F.min(F.struct("dist", "arcs", "parent")).alias("n"))
+        old = known.select("v_id", F.struct("dist", "arcs", "parent").alias("o"))
         both = old.join(best, "v_id", "full")
-        better = F.col("o").isNull() | (F.col("n.dist") < F.col("o.dist")) | ((F.col("n.dist") == F.col("o.dist")) & F.col("o.parent").isNotNull() & (F.col("n.parent") < F.col("o.parent")))
+        better = F.col("o").isNull() | (F.col("n") < F.col("o"))
         fresh = F.coalesce(F.col("n").isNotNull() & better, F.lit(False))
-        now = materialise(both.select("v_id", F.when(fresh, F.col("n")).otherwise(F.col("o")).alias("s"), fresh.alias("fresh")).select("v_id", "s.dist", "s.parent", "fresh"), "known")
+        now = materialise(both.select("v_id", F.when(fresh, F.col("n")).otherwise(F.col("o")).alias("s"), fresh.alias("fresh")).select("v_id", "s.dist", "s.arcs", "s.parent", "fresh"), "known")
         drop(known)
         known = now
         if known.where("fresh").isEmpty():

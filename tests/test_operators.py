@@ -406,3 +406,12 @@ def test_streamed_sums_equal_plain_ones(spark):
 
 def cells_of_sums(df):
     return sorted((r["z"], r["raw"], r["n"]) for r in df.collect())
+
+
+def test_shortest_paths_over_arcs_without_length(spark):
+    """A ring of arcs without length behind a long one: parents lead to the root, by the fewest arcs."""
+    e = spark.createDataFrame([(1, 0, 5), (2, 5, 3), (3, 3, 4), (4, 4, 5), (5, 3, 2)], "e_id long, v0 long, v1 long")
+    size = spark.createDataFrame([(1, 2.0), (2, 0.0), (3, 0.0), (4, 0.0), (5, 0.05)], "e_id long, length double")
+    paths = network.shortest_paths(e, size, spark.createDataFrame([(0,)], "v_id long"))
+    assert {r["v_id"]: (r["distance"], r["parent"]) for r in paths.collect()} == {0: (0.0, None), 5: (2.0, 0), 3: (2.0, 5), 4: (2.0, 5), 2: (2.0, 3)}
+    assert {r["v_id"]: r["n_steps"] for r in network.branch_counts(paths).collect()} == {0: 0, 5: 1, 3: 2, 4: 2, 2: 3}
