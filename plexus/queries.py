@@ -666,7 +666,7 @@ def tissue_distance(f):
     return rounded(distances.vessel_distance(distances.tissue_grid(f.spark, *distances.bounding_box(f.net_point), 50), f.net_point))
 
 
-@query()
+@query(f"{tissue_sql(25.0)} SELECT CAST(least(floor(dist / 0.5) + 1, 500) AS BIGINT) AS bin, count(*) AS n FROM td WHERE dist > 0 GROUP BY 1")
 def tissue_distance_histogram(f):
     return distances.distance_histogram(distances.vessel_distance(distances.tissue_grid(f.spark, *distances.bounding_box(f.net_point), 25), f.net_point))
 
