@@ -64,7 +64,10 @@ def reduce_edges(edge: DataFrame, vertex: DataFrame, point: DataFrame, limit: fl
     from before. Loops stay.
 
     In each round those candidates are settled that are the first within two
-    links of either end, which gives what the one-by-one order gives.
+    links of either end, which gives what the one-by-one order gives. A
+    contraction gives its vertex no fewer links than it had and changes no
+    other's, so an edge with an end of over three links, or whose second end
+    has no other, is never contracted and stops being a candidate at once.
     """
     from plexus.operators.network import edge_dimensions
 
@@ -72,7 +75,13 @@ def reduce_edges(edge: DataFrame, vertex: DataFrame, point: DataFrame, limit: fl
     size = edge_dimensions(point).select("e_id", (F.col("length") / F.col("mean_diam")).alias("ratio"))
     now = edge.join(tip, "e_id").join(size, "e_id").select("e_id", "v0", "v1", "d0", "d1", ((F.col("ratio") <= limit) & (F.col("v0") != F.col("v1"))).alias("open"))
     e, v = materialise(now, "edges"), materialise(vertex.select("v_id", "x", "y", "z"), "vertices")
+    before = e
     for _ in range(max_rounds):
+        links = e.select(F.explode(F.array("v0", "v1")).alias("v")).groupBy("v").agg(F.count("*").alias("k"))
+        for i in "01":
+            e = e.join(links.select(F.col("v").alias(f"v{i}"), F.col("k").alias(f"k{i}")), f"v{i}")
+        e = materialise(e.select("e_id", "v0", "v1", "d0", "d1", (F.col("open") & (F.col("k0") <= 3) & (F.col("k1") <= 3) & (F.col("k1") != 1)).alias("open")), "open")
+        drop(before)
         if e.where("open").isEmpty():
             break
         both = e.select("e_id", F.col("v0").alias("v"), F.col("v1").alias("w"), "open").unionByName(e.select("e_id", F.col("v1").alias("v"), F.col("v0").alias("w"), "open"))
@@ -98,7 +107,7 @@ def reduce_edges(edge: DataFrame, vertex: DataFrame, point: DataFrame, limit: fl
         e2, v2 = materialise(out, "edges"), materialise(near, "vertices")
         for old in (e, v, ready, go):
             drop(old)
-        e, v = e2, v2
+        e, v, before = e2, v2, e2
     else:
         raise RuntimeError("the contractions did not come to an end")
     tips = e
