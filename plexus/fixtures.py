@@ -27,22 +27,30 @@ FROM {net_edge} e JOIN {net_vertex} b ON b.v_id=e.v1 LEFT JOIN (SELECT e_id, max
 SELECT CAST(l_orderkey%64 AS INT) AS x, CAST(l_partkey%64 AS INT) AS y, CAST(l_suppkey%16 AS INT) AS z, max(CAST(l_quantity*5 AS INT)) AS v FROM {lineitem} GROUP BY 1,2,3""",
 }
 
+#: A network of all orders with as many vertices as edges: loose ends, chains, and trees that hang on rings.
+SPARSE = VIEWS | {
+    "net_vertex": """
+SELECT o_orderkey AS v_id, CAST((o_orderkey*37)%1000 AS DOUBLE) AS x, CAST((o_orderkey*91)%997 AS DOUBLE) AS y, CAST((o_orderkey*53)%499 AS DOUBLE) AS z FROM {orders}""",
+    "net_edge": """
+SELECT a.o_orderkey AS e_id, a.o_orderkey AS v0, b.o_orderkey AS v1 FROM {orders} a JOIN {orders} b ON b.o_orderkey = (a.o_orderkey * a.o_orderkey + a.o_custkey) % (SELECT count(*) FROM {orders})""",
+}
+
 #: Of the volume that ``vox`` lies in.
 SIZE = (64, 64, 16)
 
 
 class Fixtures:
-    """The derived tables of one data folder: the network of all orders and lineitems, and a volume."""
+    """The derived tables of one data folder: the network of all orders and lineitems (dense or sparse), and a volume."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, sparse: bool = False):
+        self.spark, self.sf_dir, self.views = spark, sf_dir, SPARSE if sparse else VIEWS
         self.made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.made:
             if name in VIEWS:
-                need = {k: getattr(self, k) for k in (*TABLES, *VIEWS) if "{" + k + "}" in VIEWS[name]}
-                self.made[name] = self.spark.sql(VIEWS[name], **need)
+                need = {k: getattr(self, k) for k in (*TABLES, *VIEWS) if "{" + k + "}" in self.views[name]}
+                self.made[name] = self.spark.sql(self.views[name], **need)
             elif name in TABLES:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
@@ -55,8 +63,8 @@ class Fixtures:
         return self.vox.where("v >= 230").selectExpr("x", "y", "z", "255 AS v")
 
 
-def ctes() -> str:
+def ctes(sparse: bool = False) -> str:
     """The views as the beginning of a WITH RECURSIVE query."""
     names = {k: k for k in (*TABLES, *VIEWS)}
     lit = "lit AS (SELECT x, y, z, 255 AS v FROM vox WHERE v >= 230)"
-    return "WITH RECURSIVE " + ",\n".join([*(f"{k} AS ({v.format(**names).strip()})" for k, v in VIEWS.items()), lit])
+    return "WITH RECURSIVE " + ",\n".join([*(f"{k} AS ({v.format(**names).strip()})" for k, v in (SPARSE if sparse else VIEWS).items()), lit])

@@ -18,15 +18,18 @@ from plexus.streaming import slices
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 W, H, D = SIZE
+#: Queries about loose ends and chains, which the dense network lacks, are registered over the sparse one too.
+ON_SPARSE = {"dead_ends", "unconnected_edges", "prune_one_cycle", "heal_dead_ends", "contract_chains", "chain_points", "join_loose_ends", "reduce_edges"}
 
 
 def query(sql: str | None = None):
     """Register a function of the fixtures; ``sql`` follows the fixtures' common table expressions."""
 
     def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = f"{ctes()}{'' if sql.lstrip().startswith('SELECT') else ','}\n{sql.strip()}"
+        for name, thin in ((f.__name__, False), *([(f"sparse_{f.__name__}", True)] if f.__name__ in ON_SPARSE else [])):
+            QUERIES[name] = lambda spark, sf_dir, thin=thin: f(Fixtures(spark, sf_dir, thin))
+            if sql:
+                SQL[name] = f"{ctes(thin)}{'' if sql.lstrip().startswith('SELECT') else ','}\n{sql.strip()}"
         return f
 
     return put
