@@ -106,6 +106,23 @@ def rasterise(point: DataFrame, step: float, candidates: int = 1_000_000) -> Dat
     return segments(point).mapInPandas(over, "x int, y int, z int").distinct()
 
 
+def rasterise_spheres(point: DataFrame, voxel: tuple[float, float, float], margin: float = 0.0) -> DataFrame:
+    """(x, y, z, v): voxels less than a point's radius and the margin away from the point's own voxel, none below 0.
+
+    A point makes the rows of its own box; they are few, as vessels are thin,
+    and repeats go before the shuffle.
+    """
+    p = point.select(*(F.col(a).alias(f"p{a}") for a in "xyz"), (F.col("d") / 2 + float(margin)).alias("r"))
+    out = p.select("r", *((F.col(f"p{a}") / float(s)).cast("int").alias(f"i{a}") for a, s in zip("xyz", voxel, strict=True))).distinct()
+    d2 = F.lit(0.0)
+    for a, s in zip("xyz", voxel, strict=True):
+        n = (F.col("r") / float(s) + 1).cast("int")
+        out = out.where(F.col(f"i{a}") + n >= 0).withColumn(a, F.explode(F.sequence(F.greatest(F.col(f"i{a}") - n, F.lit(0)), F.col(f"i{a}") + n)))
+        away = (F.col(a) - F.col(f"i{a}")) * float(s)
+        d2 = d2 + away * away
+    return out.where(d2 < F.col("r") * F.col("r")).select("x", "y", "z", F.lit(255).alias("v")).distinct()
+
+
 def slice_crossings(point: DataFrame, axis: str, at: float) -> DataFrame:
     """(n_crossings, area): segments that cross a plane, half-open towards their second end, and the ellipses' areas."""
     p, q = F.col(f"p{axis}"), F.col(axis)

@@ -98,9 +98,14 @@ def loose_ends(edge: DataFrame) -> DataFrame:
     return edge.join(a, "v0").join(b, "v1")
 
 
-def prune(edge: DataFrame, point: DataFrame, ratio: float, limit: float, cycles: int = 1) -> DataFrame:
-    """Drop edges with a loose end whose length is at most ``limit``, or at most ``ratio`` times the mean diameter; ``cycles`` times."""
-    size = materialise(edge_dimensions(point).select("e_id", "length", "mean_diam"), "sizes")
+def prune(edge: DataFrame, point: DataFrame, ratio: float, limit: float, cycles: int = 1, least_diam: float = 0.0) -> DataFrame:
+    """Drop edges with a loose end whose length is at most ``limit``, or at most ``ratio`` times the mean diameter; ``cycles`` times.
+
+    Edges whose equivalent diameter is less than ``least_diam`` go before all that.
+    """
+    size = materialise(edge_dimensions(point).select("e_id", "length", "mean_diam", "equiv_diam"), "sizes")
+    if least_diam > 0:
+        edge = materialise(edge.join(size.where(F.col("equiv_diam") < least_diam).select("e_id"), "e_id", "left_anti"), "thick")
     for _ in range(cycles):
         loose = loose_ends(edge).where("free0 or free1").join(size, "e_id")
         gone = loose.where((F.col("length") <= limit) | (F.col("length") <= ratio * F.col("mean_diam"))).select("e_id")
@@ -312,6 +317,71 @@ def nearest_unconnected(edge: DataFrame, vertex: DataFrame, size: float) -> Data
     return near.select("v_id", F.col("m.w_id").alias("nearest"), F.col("m.d2").alias("d2"))
 
 
+def jump_points(edge: DataFrame, point: DataFrame, size: float) -> DataFrame:
+    """(e_id, seq, to_edge, to_seq, dist): of each edge's inner points the one nearest to a point of an edge that no vertex joins to it.
+
+    Only points of the same grid cell are compared. Inner points that lie on
+    such a point (distance 0) don't count; of equal ones the first stays, and
+    leads to the least (e_id, seq). Edges without such a point aren't there.
+    """
+    last = point.groupBy("e_id").agg(F.max("seq").alias("last"))
+    rows = point.join(edge, "e_id").select("e_id", "seq", "v0", "v1", "x", "y", "z", *(cell(F.col(a), size).alias(f"c{a}") for a in "xyz"))
+    inner = rows.join(last, "e_id").where("seq > 0 and seq < last").drop("last")
+    other = rows.select(F.col("e_id").alias("to_edge"), F.col("seq").alias("to_seq"), F.col("v0").alias("w0"), F.col("v1").alias("w1"), *(F.col(a).alias(f"q{a}") for a in "xyz"), "cx", "cy", "cz")
+    apart = "e_id <> to_edge and v0 <> w0 and v0 <> w1 and v1 <> w0 and v1 <> w1"
+    d2 = dot3(sub3(xyz(), [F.col(f"q{a}") for a in "xyz"]), sub3(xyz(), [F.col(f"q{a}") for a in "xyz"]))
+    near = inner.join(other, ["cx", "cy", "cz"]).where(apart).groupBy("e_id", "seq").agg(F.min(F.struct(d2.alias("d2"), "to_edge", "to_seq")).alias("m"))
+    best = near.where("m.d2 > 0").groupBy("e_id").agg(F.min(F.struct(F.col("m.d2").alias("d2"), "seq", F.col("m.to_edge").alias("to_edge"), F.col("m.to_seq").alias("to_seq"))).alias("b"))
+    return best.select("e_id", "b.seq", "b.to_edge", "b.to_seq", F.sqrt("b.d2").alias("dist"))
+
+
+def dense_ids(df: DataFrame, key: str, name: str, block: int = 100_000) -> DataFrame:
+    """``df`` with a column ``name``: 0, 1, 2, ... by the whole-number column ``key``, which has no repeats.
+
+    Ranks are counted within blocks of keys and added to what the blocks before
+    hold, so no task sorts more than ``block`` rows; the window over all is one
+    over the blocks' counts.
+    """
+    part = F.floor(F.col(key) / block)
+    counts = df.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    ranked = df.withColumn("__part", part).withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1)
+    return ranked.join(before, "__part").withColumn(name, F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__before")
+
+
+def squeeze(edge: DataFrame, vertex: DataFrame, point: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertex, edge, point) with ids from 0: edges by e_id without loops, vertices in the order in which edges (v0, then v1) name them; the rest goes."""
+    kept = dense_ids(edge.where("v0 <> v1"), "e_id", "e")
+    seen = kept.select((2 * F.col("e")).alias("first"), F.col("v0").alias("v_id")).unionByName(kept.select((2 * F.col("e") + 1).alias("first"), F.col("v1").alias("v_id")))
+    ids = materialise(dense_ids(seen.groupBy("v_id").agg(F.min("first").alias("first")), "first", "v").select("v_id", "v"), "ids")
+    ends = kept.join(ids.select(F.col("v_id").alias("v0"), F.col("v").alias("a")), "v0").join(ids.select(F.col("v_id").alias("v1"), F.col("v").alias("b")), "v1")
+    edges = ends.select(F.col("e").alias("e_id"), F.col("a").alias("v0"), F.col("b").alias("v1"))
+    vertices = vertex.join(ids, "v_id").select(F.col("v").alias("v_id"), "x", "y", "z")
+    points = point.join(kept.select("e_id", "e"), "e_id").select(F.col("e").alias("e_id"), "seq", "x", "y", "z", "d")
+    return vertices, edges, points
+
+
+def check_network(edge: DataFrame, vertex: DataFrame, point: DataFrame) -> DataFrame:
+    """(n_edges, n_loops, n_moved, n_repeats): edges, those that begin and end at one vertex, those whose first or last point isn't at its vertex, and those beyond the first between two vertices."""
+    last = point.groupBy("e_id").agg(F.min_by(F.struct("x", "y", "z"), "seq").alias("p"), F.max_by(F.struct("x", "y", "z"), "seq").alias("q"))
+    ends = endpoints(edge, vertex).join(last, "e_id", "left")
+    at = lambda s, i: F.struct(*(F.col(f"{a}{i}").alias(a) for a in "xyz")).eqNullSafe(F.col(s))
+    once = F.struct(F.least("v0", "v1"), F.greatest("v0", "v1"))
+    one = ends.select("e_id", (F.col("v0") == F.col("v1")).alias("loop"), (~(at("p", 0) & at("q", 1))).alias("moved"), once.alias("pair"))
+    pairs = one.groupBy("pair").agg(F.count("*").alias("n"), F.count(F.when(F.col("loop"), 1)).alias("loops"), F.count(F.when(F.col("moved"), 1)).alias("moved"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return pairs.agg(zero("n").alias("n_edges"), zero("loops").alias("n_loops"), zero("moved").alias("n_moved"), zero(F.col("n") - 1).alias("n_repeats"))
+
+
+def sprout_network(edge: DataFrame, vertex: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertex, edge) of the edges with a loose end, each with two vertices of its own (2 e_id and 2 e_id + 1); ``keep`` (e_id) restricts them."""
+    loose = loose_ends(edge).where("free0 or free1")
+    loose = loose if keep is None else loose.join(keep.select("e_id"), "e_id", "left_semi")
+    edges = loose.select("e_id", (2 * F.col("e_id")).alias("v0"), (2 * F.col("e_id") + 1).alias("v1"))
+    ends = loose.select("e_id", F.posexplode(F.array("v0", "v1")).alias("k", "v_id")).join(vertex, "v_id")
+    return ends.select((2 * F.col("e_id") + F.col("k")).alias("v_id"), "x", "y", "z"), edges
+
+
 def heal(edge: DataFrame, vertex: DataFrame, max_len: float) -> DataFrame:
     """(v_id, target, score): each dead end's vertex of the best (0.5 + cos) / distance within max_len, its own edge's ends excluded."""
     f = endpoints(edge, vertex)
@@ -356,9 +426,30 @@ def shortest_paths(edge: DataFrame, sizes: DataFrame, roots: DataFrame, max_roun
     return known.select("v_id", (F.col("dist") / 10).alias("distance"), "parent")
 
 
-def branch_counts(paths: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(v_id, n_steps): the number of steps to the root, by doubling of the parent pointers."""
-    jump = materialise(paths.select("v_id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("n")), "jump")
+def even_vertices(edge: DataFrame, sizes: DataFrame, ratio_limit: float) -> DataFrame:
+    """v_id of the vertices whose edges' mean diameters are alike: the largest is less than ``ratio_limit`` times the least."""
+    d = edge.join(sizes.select("e_id", "mean_diam"), "e_id").select(F.explode(F.array("v0", "v1")).alias("v_id"), "mean_diam")
+    return d.groupBy("v_id").agg((F.max("mean_diam") / F.min("mean_diam")).alias("ratio")).where(F.col("ratio") < ratio_limit).select("v_id")
+
+
+def branch_histogram(counts: DataFrame, most: int = 99) -> DataFrame:
+    """(n_steps, n) of all vertices; the last bin takes all beyond."""
+    return counts.groupBy(F.least("n_steps", F.lit(most)).cast("long").alias("n_steps")).agg(F.count("*").alias("n"))
+
+
+def edges_of_paths(edge: DataFrame, counts: DataFrame, paths: DataFrame) -> DataFrame:
+    """(e_id, n_steps, distance): the lesser of an edge's two ends; null if no way leads there."""
+    both = paths.select("v_id", "distance").join(counts, "v_id")
+    ends = edge.select("e_id", F.explode(F.array("v0", "v1")).alias("v_id")).join(both, "v_id", "left")
+    return ends.groupBy("e_id").agg(F.min("n_steps").alias("n_steps"), F.min("distance").alias("distance"))
+
+
+def branch_counts(paths: DataFrame, counted: DataFrame | None = None, max_rounds: int = 40) -> DataFrame:
+    """(v_id, n_steps): the number of steps to the root, by doubling of the parent pointers; only steps from the vertices ``counted`` (v_id), if given."""
+    own = paths.select("v_id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("n"))
+    if counted is not None:
+        own = own.join(counted.select("v_id", F.lit(True).alias("ok")), "v_id", "left").select("v_id", "up", F.when(F.col("ok"), F.col("n")).otherwise(0).cast("long").alias("n"))
+    jump = materialise(own, "jump")
     for _ in range(max_rounds):
         if jump.where("up is not null").isEmpty():
             return jump.select("v_id", F.col("n").alias("n_steps"))

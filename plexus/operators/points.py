@@ -80,6 +80,11 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select(*KEY, (F.col("v") - F.coalesce("w", F.lit(0))).cast("int").alias("v")).where("v > 0")
 
 
+def subtract_value(vox: DataFrame, value: int) -> DataFrame:
+    """Difference from one number, down to 0."""
+    return with_value(vox, F.greatest(F.col("v") - int(value), F.lit(0)))
+
+
 def mask(vox: DataFrame, by: DataFrame) -> DataFrame:
     return vox.join(by.where("v <> 0").select(*KEY), KEY, "left_semi")
 

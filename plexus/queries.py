@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plexus.fixtures import SIZE, Fixtures, ctes
 from plexus.functions.geom import N6, N13, N26, PI, ball, bin_nearest, cube
-from plexus.operators import chains, distances, kernels, network, parabolic, points, regions, rewrites, stencils
+from plexus.operators import chains, distances, histology, kernels, network, parabolic, points, regions, rewrites, stencils
 from plexus.plans.scratch import materialise, put_bytes
 from plexus.sources import cmgui, tiff
 from plexus.streaming import slices
@@ -19,7 +19,7 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 W, H, D = SIZE
 #: Queries about loose ends and chains, which the dense network lacks, are registered over the sparse one too.
-ON_SPARSE = {"dead_ends", "unconnected_edges", "prune_one_cycle", "heal_dead_ends", "contract_chains", "chain_points", "join_loose_ends", "reduce_edges"}
+ON_SPARSE = {"dead_ends", "unconnected_edges", "prune_one_cycle", "heal_dead_ends", "contract_chains", "chain_points", "join_loose_ends", "reduce_edges", "sprout_network", "prune_least_diam"}
 
 
 def query(sql: str | None = None):
@@ -138,6 +138,11 @@ def vox_subtract(f):
     return points.subtract(f.vox, background(f))
 
 
+@query("SELECT x, y, z, v - 100 AS v FROM vox WHERE v > 100")
+def vox_subtract_value(f):
+    return points.subtract_value(f.vox, 100)
+
+
 @query("SELECT v.x, v.y, v.z, v.v FROM vox v JOIN lit l ON v.x = l.x AND v.y = l.y AND v.z = l.z")
 def vox_mask(f):
     return points.mask(f.vox, f.lit)
@@ -411,6 +416,16 @@ def len_histogram(f):
     return rounded(network.histogram(network.edge_dimensions(f.net_point), bin_nearest(F.col("length"), 25)))
 
 
+@query(f"{DIM}, lm AS (SELECT * FROM dim WHERE length >= 300), {hist_sql('lm', 'floor(length / 25 + 0.5)')}")
+def len_histogram_by_length(f):
+    return rounded(network.histogram(network.edge_dimensions(f.net_point).where("length >= 300"), bin_nearest(F.col("length"), 25)))
+
+
+@query(f"{DIM}, lm AS (SELECT * FROM dim WHERE length / equiv_diam >= 100), {hist_sql('lm', 'floor(length / 25 + 0.5)')}")
+def len_histogram_by_ratio(f):
+    return rounded(network.histogram(network.edge_dimensions(f.net_point).where("length / equiv_diam >= 100"), bin_nearest(F.col("length"), 25)))
+
+
 @query(f"{DIM} SELECT count(*) AS n_edges, round(sum(length), 2) AS length, round(avg(length), 4) AS mean_length, round(avg(equiv_diam), 4) AS mean_diam, round(sum(equiv_diam * length) / sum(length), 4) AS weighted_diam, round(sum(length * {PI} * equiv_diam * equiv_diam / 4), 2) AS volume FROM dim WHERE length > 0")
 def network_summary(f):
     d = network.edge_dimensions(f.net_point).where("length > 0")
@@ -526,6 +541,44 @@ def prune_one_cycle(f):
     return network.prune(f.net_edge, f.net_point, 50, 300)
 
 
+@query(f"""{DIM}, tk AS (SELECT e.*, length, mean_diam FROM net_edge e JOIN dim ON dim.e_id = e.e_id WHERE equiv_diam IS NULL OR equiv_diam >= 4.2),
+dt AS (SELECT v_id, count(*) AS n_links FROM (SELECT v0 AS v_id FROM tk UNION ALL SELECT v1 FROM tk) q GROUP BY v_id)
+SELECT e_id, v0, v1 FROM tk JOIN dt a ON a.v_id = v0 JOIN dt b ON b.v_id = v1 WHERE NOT ((a.n_links = 1 OR b.n_links = 1) AND (length <= 300 OR length <= 50 * mean_diam))""")
+def prune_least_diam(f):
+    return network.prune(f.net_edge, f.net_point, 50, 300, least_diam=4.2)
+
+
+FIRSTS = """kp AS (SELECT e_id, v0, v1, row_number() OVER (ORDER BY e_id) - 1 AS e FROM net_edge WHERE v0 <> v1),
+ft AS (SELECT v_id, row_number() OVER (ORDER BY min(k)) - 1 AS v FROM (SELECT 2*e AS k, v0 AS v_id FROM kp UNION ALL SELECT 2*e+1, v1 FROM kp) q GROUP BY v_id)"""
+
+
+@query(f"{FIRSTS} SELECT e AS e_id, a.v AS v0, b.v AS v1, p.seq, round(p.x, 4) AS x FROM kp JOIN ft a ON a.v_id = v0 JOIN ft b ON b.v_id = v1 JOIN net_point p ON p.e_id = kp.e_id")
+def squeeze(f):
+    _, edge, point = network.squeeze(f.net_edge, f.net_vertex, f.net_point)
+    return rounded(edge.join(point.select("e_id", "seq", "x"), "e_id"))
+
+
+@query("""mv AS (SELECT e.e_id FROM net_edge e JOIN net_vertex a ON a.v_id = v0 JOIN net_vertex b ON b.v_id = v1 JOIN (SELECT e_id, max(seq) AS m FROM net_point GROUP BY e_id) k ON k.e_id = e.e_id
+JOIN net_point p ON p.e_id = e.e_id AND p.seq = 0 JOIN net_point q ON q.e_id = e.e_id AND q.seq = k.m WHERE p.x <> a.x OR p.y <> a.y OR p.z <> a.z OR q.x <> b.x OR q.y <> b.y OR q.z <> b.z)
+SELECT count(*) AS n_edges, count(CASE WHEN v0 = v1 THEN 1 END) AS n_loops, (SELECT count(*) FROM mv) AS n_moved, count(*) - count(DISTINCT (least(v0, v1), greatest(v0, v1))) AS n_repeats FROM net_edge""")
+def check_network(f):
+    return network.check_network(f.net_edge, f.net_vertex, f.net_point)
+
+
+@query(f"{DEG} SELECT 2 * e.e_id + k AS v_id, v.x, v.y, v.z FROM net_edge e JOIN deg a ON a.v_id = v0 JOIN deg b ON b.v_id = v1, (VALUES (0), (1)) t(k) JOIN net_vertex v ON v.v_id = CASE k WHEN 0 THEN e.v0 ELSE e.v1 END WHERE a.n_links = 1 OR b.n_links = 1")
+def sprout_network(f):
+    return network.sprout_network(f.net_edge, f.net_vertex)[0]
+
+
+@query("""pc AS (SELECT p.e_id, p.seq, p.x, p.y, p.z, e.v0, e.v1, floor(p.x/25) AS cx, floor(p.y/25) AS cy, floor(p.z/25) AS cz, max(p.seq) OVER (PARTITION BY p.e_id) AS m FROM net_point p JOIN net_edge e ON e.e_id = p.e_id),
+jp AS (SELECT a.e_id, a.seq, b.e_id AS to_edge, b.seq AS to_seq, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM pc a JOIN pc b ON a.cx = b.cx AND a.cy = b.cy AND a.cz = b.cz
+WHERE a.seq > 0 AND a.seq < a.m AND a.e_id <> b.e_id AND a.v0 <> b.v0 AND a.v0 <> b.v1 AND a.v1 <> b.v0 AND a.v1 <> b.v1),
+jn AS (SELECT *, row_number() OVER (PARTITION BY e_id, seq ORDER BY d2, to_edge, to_seq) AS k FROM jp), jb AS (SELECT *, row_number() OVER (PARTITION BY e_id ORDER BY d2, seq) AS k2 FROM jn WHERE k = 1 AND d2 > 0)
+SELECT e_id, seq, to_edge, to_seq, round(sqrt(d2), 4) AS dist FROM jb WHERE k2 = 1""")
+def jump_points(f):
+    return rounded(network.jump_points(f.net_edge, f.net_point, 25))
+
+
 @query("SELECT min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max FROM net_vertex")
 def bounding_box(f):
     return network.bounding_box(f.net_vertex)
@@ -650,6 +703,14 @@ def shortest_paths(f):
     return paths.join(network.branch_counts(paths), "v_id")
 
 
+@query()
+def branch_histogram(f):
+    size = materialise(network.edge_dimensions(f.net_point).select("e_id", "length", "mean_diam"), "sizes")
+    root = network.degree(f.net_edge).agg(F.max_by("v_id", F.struct("n_links", -F.col("v_id"))).alias("v_id"))
+    paths = materialise(network.shortest_paths(f.net_edge, size, root), "paths")
+    return network.branch_histogram(network.branch_counts(paths, network.even_vertices(f.net_edge, size, 1.5)))
+
+
 # --- distances, rasters, slices --------------------------------------------
 
 def tissue_sql(step: float) -> str:
@@ -693,6 +754,70 @@ def slice_crossings(f):
     return rounded(distances.slice_crossings(f.net_point, "z", 250.0), 3)
 
 
+#: The grid of the tissue in histology queries: voxels, and their sides.
+TISSUE, SIDES = tuple(4 * n for n in SIZE), (4.0, 4.0, 8.0)
+BLOCK = ((20, 200), (40, 240), (8, 48))
+TISSUE_SQL = "ti AS (SELECT 4 * x AS x, 4 * y AS y, 4 * z AS z FROM vox WHERE v >= 100)"
+
+
+def tissue(f) -> DataFrame:
+    return f.vox.where("v >= 100").selectExpr("4 * x AS x", "4 * y AS y", "4 * z AS z")
+
+
+def slices_sql(axis: str, block=None) -> str:
+    """h<axis> (slice, n_vessels, n_vessel_pixels, n_tissue_pixels, tissue_area) by the definition of a section."""
+    k, (a, b) = "xyz".index(axis), histology.ACROSS[axis]
+    i, j = "xyz".index(a), "xyz".index(b)
+    lo, hi = block[k] if block else (1, TISSUE[k])
+    (xlo, xhi), (ylo, yhi) = ((block[i], block[j]) if block else ((0, TISSUE[i]), (0, TISSUE[j])))
+    near = f"WHERE trunc(x0/{SIDES[i]}) BETWEEN {xlo} AND {xhi} AND trunc(y0/{SIDES[j]}) BETWEEN {ylo} AND {yhi}" if block else ""
+    within = " AND ".join(f"{c} BETWEEN {p-1} AND {q-1}" for c, (p, q) in zip("xyz", block, strict=True)) if block else "true"
+    away = lambda s: f"sqrt((ix*{SIDES[i]}-(x0{s}f*ux))*(ix*{SIDES[i]}-(x0{s}f*ux)) + (iy*{SIDES[j]}-(y0{s}f*uy))*(iy*{SIDES[j]}-(y0{s}f*uy)))"
+    box = lambda n, m, side, p, q: f"unnest(range(CAST(greatest(trunc(({n}0 - (CASE WHEN fl = 0 THEN d/2 + 1 ELSE a*abs(u{n}) + b*abs(u{m}) END))/{side}), {p}) AS BIGINT), CAST(least(trunc(({n}0 + (CASE WHEN fl = 0 THEN d/2 + 1 ELSE a*abs(u{n}) + b*abs(u{m}) END))/{side}), {q}) AS BIGINT))) AS i{n}"
+    t = axis
+    return f"""c{t} AS (SELECT k AS slice, p{a} AS px, p{b} AS py, p{t} AS pz, {a} AS qx, {b} AS qy, {t} AS qz, (d+pd)/2 AS d FROM seg, range({lo}, {hi}+1) r(k) WHERE (p{t} <= k*{SIDES[k]} AND k*{SIDES[k]} < {t}) OR ({t} < k*{SIDES[k]} AND k*{SIDES[k]} <= p{t})),
+o{t} AS (SELECT * FROM (SELECT *, px + (slice*{SIDES[k]}-pz)/(qz-pz)*(qx-px) AS x0, py + (slice*{SIDES[k]}-pz)/(qz-pz)*(qy-py) AS y0 FROM c{t}) q {near}),
+g{t} AS (SELECT *, CASE WHEN fl = 0 THEN 0 ELSE (qx-px)/fl END AS ux, CASE WHEN fl = 0 THEN 0 ELSE (qy-py)/fl END AS uy, sqrt(greatest(a*a-b*b, 0)) AS f FROM (SELECT *, sqrt((qx-px)*(qx-px)+(qy-py)*(qy-py)) AS fl, d/2/greatest(abs(qz-pz)/sqrt((qx-px)*(qx-px)+(qy-py)*(qy-py)+(qz-pz)*(qz-pz)), {histology.LEAST_SINE!r}e0) AS a, d/2 AS b FROM o{t}) q),
+i{t} AS (SELECT *, {box('y', 'x', SIDES[j], max(0, ylo), min(TISSUE[j], yhi))} FROM (SELECT *, {box('x', 'y', SIDES[i], max(0, xlo), min(TISSUE[i], xhi))} FROM g{t}) q),
+e{t} AS (SELECT slice, count(*) AS n FROM i{t} WHERE CASE WHEN fl = 0 THEN sqrt((ix*{SIDES[i]}-x0)*(ix*{SIDES[i]}-x0) + (iy*{SIDES[j]}-y0)*(iy*{SIDES[j]}-y0)) <= d/2 ELSE {away('+')} + {away('-')} <= 2*a END GROUP BY slice),
+h{t} AS (SELECT r.k AS slice, coalesce(v.n, 0) AS n_vessels, coalesce(e.n, 0) AS n_vessel_pixels, coalesce(w.n, 0) AS n_tissue_pixels, coalesce(w.n, 0) * {SIDES[i] * SIDES[j]} AS tissue_area FROM range({lo}, {hi}+1) r(k)
+LEFT JOIN (SELECT slice, count(*) AS n FROM o{t} GROUP BY slice) v ON v.slice = r.k LEFT JOIN e{t} e ON e.slice = r.k LEFT JOIN (SELECT {t}+1 AS slice, count(*) AS n FROM ti WHERE {within} GROUP BY 1) w ON w.slice = r.k)"""
+
+
+@query(f"{SEG}, {TISSUE_SQL}, {', '.join(slices_sql(a) for a in 'xyz')} " + " UNION ALL ".join(f"SELECT '{a}' AS axis, slice, n_vessels, n_vessel_pixels, n_tissue_pixels, CAST(tissue_area AS DOUBLE) AS tissue_area FROM h{a}" for a in "xyz"))
+def slice_histology(f):
+    return histology.slice_histology(f.net_point, tissue(f), TISSUE, SIDES)
+
+
+@query(f"{SEG}, {TISSUE_SQL}, {', '.join(slices_sql(a, BLOCK) for a in 'xyz')} " + " UNION ALL ".join(f"SELECT '{a}' AS axis, " + ", ".join(f"CAST(floor(sum({c}) / count(*) + 0.5) AS BIGINT) AS {c}" for c in ("n_vessels", "n_vessel_pixels", "n_tissue_pixels")) + f", round(CAST(sum(tissue_area) AS DOUBLE) / count(*), 4) AS tissue_area FROM h{a}" for a in "xyz"))
+def volume_histology(f):
+    return rounded(histology.volume_histology(f.net_point, tissue(f), TISSUE, SIDES, block=BLOCK))
+
+
+def density_sql(diam: str = "true") -> str:
+    box = lambda p: " AND ".join(f"{p}{a} >= {lo*s} AND {p}{a} < {hi*s}" for a, (lo, hi), s in zip("xyz", BLOCK, SIDES, strict=True))
+    within = " AND ".join(f"{a} BETWEEN {lo-1} AND {hi-1}" for a, (lo, hi) in zip("xyz", BLOCK, strict=True))
+    return f"""{SEG}, {TISSUE_SQL}, tv AS (SELECT count(*) AS n FROM ti WHERE {within})
+SELECT (SELECT count(*) FROM net_vertex WHERE {box('')}) AS n_branch, (SELECT round(coalesce(sum(sqrt((x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz))), 0), 2) FROM seg WHERE {box('')} AND {box('p')} AND {diam}) AS length, n AS tissue_voxels, CAST(n * {math.prod(SIDES)} AS DOUBLE) AS tissue_volume FROM tv"""
+
+
+@query(density_sql("d BETWEEN 3 AND 6 AND pd BETWEEN 3 AND 6"))
+def block_density(f):
+    return rounded(histology.block_density(f.net_vertex, f.net_point, tissue(f), SIDES, BLOCK, (3, 6)), 2)
+
+
+@query(density_sql())
+def block_branching(f):
+    return rounded(histology.block_density(f.net_vertex, f.net_point, tissue(f), SIDES, BLOCK), 2)
+
+
+@query("""sp AS (SELECT DISTINCT CAST(trunc(x/4.0) AS INT) AS i, CAST(trunc(y/4.0) AS INT) AS j, CAST(trunc(z/4.0) AS INT) AS k, d/2 + 1.0 AS r FROM net_point),
+so AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz FROM range(-2, 3) a(i), range(-2, 3) b(i), range(-2, 3) c(i))
+SELECT DISTINCT CAST(i + dx AS INT) AS x, CAST(j + dy AS INT) AS y, CAST(k + dz AS INT) AS z, 255 AS v FROM sp, so WHERE (dx*dx + dy*dy + dz*dz) * 16.0 < r*r AND i + dx >= 0 AND j + dy >= 0 AND k + dz >= 0""")
+def raster_spheres(f):
+    return distances.rasterise_spheres(f.net_point, (4.0, 4.0, 4.0), 1.0)
+
+
 @query()
 def sprout_intensity(f):
     return rounded(distances.shell_intensity(f.net_point.selectExpr("e_id", "seq", "x", "y", "z / 32 AS z", "d"), f.vox))
