@@ -234,6 +234,39 @@ def trace(vox: DataFrame, size: tuple[int, int, int], spacing: tuple[float, floa
     return place, edge, point
 
 
+def superfluous(edge: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """e_id of short ends and loops that one sweep takes away.
+
+    A short end leads from a vertex of one link to one of three or more and is
+    shorter than ``least``. A vertex loses short ends (those of the least loose
+    vertices first) only as long as more than two links are left, as a way
+    through it has no end there; and one loop, that of the least e_id, if it has
+    three links or more.
+    """
+    n = degree(edge)
+    a, b = (n.select(F.col("v_id").alias(v), F.col("n_links").alias(f"n{i}")) for i, v in enumerate(("v0", "v1")))
+    both = edge.join(a, "v0").join(b, "v1")
+    tip = F.when(F.col("n0") == 1, F.col("v0")).otherwise(F.col("v1"))
+    foot = F.when(F.col("n0") == 1, F.col("v1")).otherwise(F.col("v0"))
+    ends = both.where("(n0 = 1 and n1 > 2) or (n1 = 1 and n0 > 2)").join(sizes.select("e_id", "length"), "e_id").where(F.col("length") < least)
+    ranked = ends.select("e_id", foot.alias("foot"), F.greatest("n0", "n1").alias("links"), F.row_number().over(Window.partitionBy(foot).orderBy(tip, "e_id")).alias("k"))
+    loops = both.where("v0 = v1 and n0 > 2").groupBy("v0").agg(F.min("e_id").alias("e_id")).select("e_id")
+    return ranked.where("k <= links - 2").select("e_id").unionByName(loops)
+
+
+def strip(edge: DataFrame, point: DataFrame, least: float, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(edge, point) without short ends and loops, in ``rounds`` sweeps at most; after each the edges that meet at a vertex of two links are one."""
+    edge, point = join_chains(edge, point)
+    for _ in range(rounds):
+        edge, point = materialise(edge, "stripped"), materialise(point, "points")
+        gone = materialise(superfluous(edge, edge_dimensions(point), least), "superfluous")
+        if gone.isEmpty():
+            break
+        edge, point = (t.join(gone, "e_id", "left_anti") for t in (edge, point))
+        edge, point = join_chains(edge, point)
+    return edge, point
+
+
 def join_networks(parts: DataFrame, tolerance: float = 0.051) -> DataFrame:
     """Edges (block, e_id, x0.., x1..) of several blocks without repeats: of edges whose ends match within the tolerance, either way round, the first (block, e_id) stays.
 

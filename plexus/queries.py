@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plexus.fixtures import SIZE, Fixtures, ctes
 from plexus.functions.geom import N6, N13, N26, PI, ball, bin_nearest, cube
-from plexus.operators import chains, distances, histology, kernels, network, parabolic, points, regions, rewrites, stencils
+from plexus.operators import chains, diameters, distances, histology, kernels, network, parabolic, points, regions, rewrites, stencils
 from plexus.plans.scratch import materialise, put_bytes
 from plexus.sources import cmgui, tiff
 from plexus.streaming import slices
@@ -19,7 +19,7 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 W, H, D = SIZE
 #: Queries about loose ends and chains, which the dense network lacks, are registered over the sparse one too.
-ON_SPARSE = {"dead_ends", "unconnected_edges", "prune_one_cycle", "heal_dead_ends", "contract_chains", "chain_points", "join_loose_ends", "reduce_edges", "sprout_network", "prune_least_diam"}
+ON_SPARSE = {"dead_ends", "unconnected_edges", "prune_one_cycle", "heal_dead_ends", "contract_chains", "chain_points", "join_loose_ends", "reduce_edges", "sprout_network", "prune_least_diam", "superfluous_edges"}
 
 
 def query(sql: str | None = None):
@@ -689,6 +689,19 @@ def vox_trace(f):
     return edge.join(point.groupBy("e_id").agg(F.count("*").alias("npts")), "e_id")
 
 
+@query(f"""{DIM}, {DEG}, bo AS (SELECT e.*, length, a.n_links AS n0, b.n_links AS n1 FROM net_edge e JOIN dim ON dim.e_id = e.e_id JOIN deg a ON a.v_id = v0 JOIN deg b ON b.v_id = v1),
+se AS (SELECT e_id, greatest(n0, n1) AS links, row_number() OVER (PARTITION BY CASE WHEN n0 = 1 THEN v1 ELSE v0 END ORDER BY CASE WHEN n0 = 1 THEN v0 ELSE v1 END, e_id) AS k FROM bo WHERE length < 600 AND ((n0 = 1 AND n1 > 2) OR (n1 = 1 AND n0 > 2)))
+SELECT e_id FROM se WHERE k <= links - 2 UNION ALL SELECT min(e_id) FROM bo WHERE v0 = v1 AND n0 > 2 GROUP BY v0""")
+def superfluous_edges(f):
+    return network.superfluous(f.net_edge, network.edge_dimensions(f.net_point), 600)
+
+
+@query()
+def vox_strip(f):
+    _, edge, point = network.trace(f.lit, SIZE)
+    return network.strip(edge, point, 3.0)[0]
+
+
 @query(f"""{DIM}, arc AS (SELECT v0 AS a, v1 AS b, CAST(floor(length*10) AS BIGINT) AS w FROM net_edge JOIN dim ON dim.e_id = net_edge.e_id WHERE v0 <> v1 UNION ALL SELECT v1, v0, CAST(floor(length*10) AS BIGINT) FROM net_edge JOIN dim ON dim.e_id = net_edge.e_id WHERE v0 <> v1)
 SELECT count(*) AS n_arcs, CAST(sum(w) AS BIGINT) AS w FROM arc""")
 def shortest_path_arcs(f):
@@ -828,6 +841,29 @@ def am_smooth(f):
     return rounded(kernels.decimate(f.net_point, 2.0))
 
 
+#: Points of which some inner ones have no diameter.
+GAPS = "SELECT e_id, seq, x, y, z, CASE WHEN seq > 0 AND d <> 4 AND (e_id + seq) % 3 = 0 THEN 0 ELSE d END AS d FROM net_point"
+
+
+@query(f"""gp AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY e_id) AS n FROM ({GAPS}) q WINDOW w AS (PARTITION BY e_id ORDER BY seq)),
+tp AS (SELECT e_id, arg_min(x, i) AS ax, arg_min(y, i) AS ay, arg_min(z, i) AS az, arg_max(x, i) AS bx, arg_max(y, i) AS by_, arg_max(z, i) AS bz FROM gp GROUP BY e_id),
+s1 AS (SELECT gp.* EXCLUDE (d), CASE WHEN i > 0 AND i < n-1 AND (sqrt((x-ax)*(x-ax)+(y-ay)*(y-ay)+(z-az)*(z-az)) < 0.3*d OR sqrt((x-bx)*(x-bx)+(y-by_)*(y-by_)+(z-bz)*(z-bz)) < 0.3*d) THEN 0 ELSE d END AS d FROM gp JOIN tp ON tp.e_id = gp.e_id),
+gd AS (SELECT e_id, arg_min(d, i) AS d0, arg_max(d, i) AS d1, min(i) AS i0, max(i) AS i1 FROM s1 WHERE i > 0 AND i < n-1 AND d > 0 GROUP BY e_id),
+s2 AS (SELECT s1.* EXCLUDE (d), d0, d1, CASE WHEN i > 0 AND i < n-1 AND i < i0 THEN d0 WHEN i > 0 AND i < n-1 AND i > i1 THEN d1 ELSE d END AS d FROM s1 LEFT JOIN gd ON gd.e_id = s1.e_id),
+vd AS (SELECT v_id, max(d) AS vd FROM (SELECT v0 AS v_id, greatest(d, coalesce(d0, 0)) AS d FROM s2 JOIN net_edge e ON e.e_id = s2.e_id WHERE i = 0 UNION ALL SELECT v1, greatest(d, coalesce(d1, 0)) FROM s2 JOIN net_edge e ON e.e_id = s2.e_id WHERE i = n-1) q GROUP BY 1),
+s3 AS (SELECT s2.* EXCLUDE (d), v0, v1, a.vd AS e0, b.vd AS e1, CASE i WHEN 0 THEN a.vd WHEN n-1 THEN b.vd ELSE d END AS d FROM s2 JOIN net_edge e ON e.e_id = s2.e_id JOIN vd a ON a.v_id = v0 JOIN vd b ON b.v_id = v1),
+zz AS (SELECT *, min(CASE WHEN d = 0 THEN i END) OVER (PARTITION BY e_id) - 1 AS z0, max(CASE WHEN d = 0 THEN i END) OVER (PARTITION BY e_id) + 1 AS z1 FROM s3),
+s4 AS (SELECT zz.* EXCLUDE (d), CASE WHEN zz.i > zz.z0 AND zz.i < zz.z1 THEN a.d + (b.d - a.d) * (zz.i - zz.z0) / (zz.z1 - zz.z0) ELSE zz.d END AS d FROM zz LEFT JOIN zz a ON a.e_id = zz.e_id AND a.i = zz.z0 LEFT JOIN zz b ON b.e_id = zz.e_id AND b.i = zz.z1),
+sg AS (SELECT *, sqrt((x-lag(x) OVER w)*(x-lag(x) OVER w)+(y-lag(y) OVER w)*(y-lag(y) OVER w)+(z-lag(z) OVER w)*(z-lag(z) OVER w)) AS st, lag(d) OVER w AS pd FROM s4 WINDOW w AS (PARTITION BY e_id ORDER BY i)),
+un AS (SELECT e_id, sum(st) AS ls, sum(st*(pd*pd+d*d)/2) AS vs, max(CASE WHEN i = 1 THEN st END) AS l0, max(CASE WHEN i = n-1 THEN st END) AS l1 FROM sg GROUP BY e_id),
+s5 AS (SELECT s4.* EXCLUDE (d), CASE WHEN i > 0 AND i < n-1 AND n >= 4 AND ls - l0/2 - l1/2 > 0 THEN sqrt(greatest((vs - e0*e0*l0/2 - e1*e1*l1/2) / (ls - l0/2 - l1/2), 0)) ELSE d END AS d FROM s4 JOIN un ON un.e_id = s4.e_id),
+mt AS (SELECT v_id, CASE WHEN max(d) > 1.2 * min(d) THEN max(d) ELSE avg(m) END AS vd FROM (SELECT v0 AS v_id, CASE WHEN n > 2 THEN d END AS d, CASE WHEN n > 2 THEN d ELSE (e0+e1)/2 END AS m FROM s5 WHERE i = CASE WHEN n > 2 THEN 1 ELSE 0 END UNION ALL SELECT v1, CASE WHEN n > 2 THEN d END, CASE WHEN n > 2 THEN d ELSE (e0+e1)/2 END FROM s5 WHERE i = CASE WHEN n > 2 THEN n-2 ELSE n-1 END) q GROUP BY 1)
+SELECT e_id, seq, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(CASE i WHEN 0 THEN a.vd WHEN n-1 THEN b.vd ELSE d END, 4) AS d FROM s5 JOIN mt a ON a.v_id = v0 JOIN mt b ON b.v_id = v1""")
+def fix_diameters(f):
+    gaps = f.net_point.selectExpr("e_id", "seq", "x", "y", "z", "CASE WHEN seq > 0 AND d <> 4 AND (e_id + seq) % 3 = 0 THEN 0 ELSE d END AS d")
+    return rounded(diameters.fix_diameters(f.net_edge, gaps, max_ratio=1.2))
+
+
 @query()
 def motility_cm(f):
     return rounded(kernels.motility(f.net_edge, f.net_vertex, network.edge_dimensions(f.net_point), 200, 13.0, 0.2, [5.0 * k for k in range(1, 25)]))
