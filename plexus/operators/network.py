@@ -301,10 +301,16 @@ def vessel_density(edge: DataFrame, vertex: DataFrame, sizes: DataFrame, lo, hi,
 
 
 def sites(edge: DataFrame, vertex: DataFrame, sizes: DataFrame, site: DataFrame) -> DataFrame:
-    """Per site (site, x0, y0, z0, r): edges with an end strictly inside the sphere, per cubic millimetre."""
+    """Per site (site, x0, y0, z0, r): edges with an end strictly inside the sphere, per cubic millimetre.
+
+    Sites and ends meet on grid cells as large as the largest radius.
+    """
+    size = site.agg(F.max("r")).first()[0] or 1.0
+    around = near_cells(site.select("*", *(cell(F.col(f"{a}0"), size).alias(f"c{a}") for a in "xyz"))).drop("cx", "cy", "cz")
     ends = edge.select("e_id", F.explode(F.array("v0", "v1")).alias("v_id")).join(vertex, "v_id").join(sizes.select("e_id", "length", "volume"), "e_id")
     d2 = sum(((F.col(a) - F.col(f"{a}0")) * (F.col(a) - F.col(f"{a}0")) for a in "xyz"), F.lit(0.0))
-    hit = ends.join(F.broadcast(site), d2 < F.col("r") * F.col("r"))  # a handful of named sites
+    ends = ends.select("*", *(cell(F.col(a), size).alias(f"k{a}") for a in "xyz"))
+    hit = ends.join(around, ["kx", "ky", "kz"]).where(d2 < F.col("r") * F.col("r"))
     per_edge = hit.groupBy("site", "r", "e_id").agg(F.first("length").alias("length"), F.first("volume").alias("volume"))
     f = F.lit(1e9) / (4.0 / 3.0 * PI * F.pow("r", F.lit(3.0)))
     return per_edge.groupBy("site", "r").agg(F.count("*").alias("n"), F.sum("length").alias("len"), F.sum("volume").alias("vol")).select("site", (F.col("n") * f).alias("vess_per_mm3"), (F.col("len") * f).alias("len_per_mm3"), (F.col("vol") * f / 1e9).alias("vol_fraction"))
@@ -384,7 +390,7 @@ def dense_ids(df: DataFrame, key: str, name: str, block: int = 100_000) -> DataF
 
 def squeeze(edge: DataFrame, vertex: DataFrame, point: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertex, edge, point) with ids from 0: edges by e_id without loops, vertices in the order in which edges (v0, then v1) name them; the rest goes."""
-    kept = dense_ids(edge.where("v0 <> v1"), "e_id", "e")
+    kept = materialise(dense_ids(edge.where("v0 <> v1"), "e_id", "e"), "kept")
     seen = kept.select((2 * F.col("e")).alias("first"), F.col("v0").alias("v_id")).unionByName(kept.select((2 * F.col("e") + 1).alias("first"), F.col("v1").alias("v_id")))
     ids = materialise(dense_ids(seen.groupBy("v_id").agg(F.min("first").alias("first")), "first", "v").select("v_id", "v"), "ids")
     ends = kept.join(ids.select(F.col("v_id").alias("v0"), F.col("v").alias("a")), "v0").join(ids.select(F.col("v_id").alias("v1"), F.col("v").alias("b")), "v1")

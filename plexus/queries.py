@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from plexus.fixtures import SIZE, Fixtures, ctes
 from plexus.functions.geom import N6, N13, N26, PI, ball, bin_nearest, cube
 from plexus.operators import chains, diameters, distances, histology, kernels, network, parabolic, points, regions, rewrites, stencils
-from plexus.plans.scratch import materialise, put_bytes
-from plexus.sources import cmgui, tiff
+from plexus.plans.scratch import folder, materialise, put_bytes
+from plexus.sources import cmgui, files, lists, tiff
 from plexus.streaming import slices
 
 QUERIES: dict[str, Callable] = {}
@@ -933,6 +933,22 @@ def vox_tiff_recompress(f):
     return tiff.read_tiff(f.spark, again).drop("file")
 
 
+@query(f"{BIG}, er AS ({ER}) SELECT x * 15.0e0 AS x, y * 15.0e0 AS y, z * 30.0e0 AS z FROM (SELECT * FROM big EXCEPT SELECT * FROM er) q")
+def boundary_list(f):
+    path = folder(f.spark) + "/boundary"
+    lists.write_boundary(stencils.boundary(stencils.fatten(f.lit, 3, SIZE), SIZE).withColumn("v", F.lit(255)), path)
+    return lists.read_boundary(f.spark, path, (15.0, 15.0, 30.0))
+
+
+@query(f"{FIRSTS}, lp AS (SELECT e_id, max(seq) AS m FROM net_point GROUP BY e_id) SELECT e AS e_id, CASE p.seq WHEN 0 THEN 0 ELSE 1 END AS seq, p.x, p.y, p.z, greatest(p.d, 4.5) AS d FROM kp JOIN net_point p ON p.e_id = kp.e_id JOIN lp ON lp.e_id = p.e_id WHERE p.seq = 0 OR p.seq = m")
+def network_text(f):
+    path = folder(f.spark) + "/network"
+    vertex, edge, point = network.squeeze(f.net_edge, f.net_vertex, f.net_point)
+    vertex, edge, point = (materialise(t, "part") for t in (vertex, edge, files.with_diameter(files.ends_only(point), least=4.5)))
+    files.write_network(vertex, edge, point, path)
+    return files.read_networks(f.spark, path + "/part-*")[2].drop("file")
+
+
 @query()
 def cmgui_elements(f):
     return cmgui.cmgui_lines(f.net_point)[1]

@@ -10,6 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexus.operators.network import dense_ids
+
+
+def with_diameter(point: DataFrame, least: float | None = None, fixed: float | None = None) -> DataFrame:
+    """The points with diameters of at least ``least``, or all of the ``fixed`` one."""
+    d = F.lit(float(fixed)) if fixed is not None else F.col("d") if least is None else F.greatest("d", F.lit(float(least)))
+    return point.withColumn("d", d)
+
+
+def ends_only(point: DataFrame) -> DataFrame:
+    """The first and the last point of each edge, numbered 0 and 1."""
+    tips = F.array(*(F.struct(F.lit(k).cast("long").alias("seq"), *(F.col(f"t{k}.{c}").alias(c) for c in "xyzd")) for k in (0, 1)))
+    both = point.groupBy("e_id").agg(*(f(F.struct(*"xyzd"), "seq").alias(f"t{k}") for k, f in enumerate((F.min_by, F.max_by))))
+    return both.select("e_id", F.explode(tips).alias("t")).select("e_id", "t.*")
+
 
 def read_networks(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spatial-graph text files: vertex (file, v_id, x, y, z), edge (file, e_id, v0, v1), point (file, e_id, seq, x, y, z, d)."""
@@ -51,11 +66,8 @@ NAMES = {k: [c.split()[0] for c in v.split(", ")] for k, v in SCHEMAS.items()}
 
 def network_lines(vertex: DataFrame, edge: DataFrame, point: DataFrame, origin: tuple = (0.0, 0.0, 0.0)) -> DataFrame:
     """(line, value): the text of one network, coordinates to one decimal and diameters to two, shifted by ``origin``; vertices and edges are numbered anew."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("v_id")
-    v = vertex.withColumn("i", F.row_number().over(w) - 1)
-    e = edge.withColumn("j", F.row_number().over(Window.orderBy("e_id")) - 1)
+    v = dense_ids(vertex, "v_id", "i")
+    e = dense_ids(edge, "e_id", "j")
     n = point.groupBy("e_id").agg(F.count("*").alias("n"))
     coords = F.concat_ws(" ", *(F.format_string("%6.1f", F.col(a) - float(o)) for a, o in zip("xyz", origin, strict=True)))
     ends = e.join(v.select(F.col("v_id").alias("v0"), F.col("i").alias("a")), "v0").join(v.select(F.col("v_id").alias("v1"), F.col("i").alias("b")), "v1")
