@@ -1,5 +1,6 @@
 """Shapes with closed-form answers, properties, and brute force for what SQL can't say."""
 
+import itertools
 import math
 import random
 
@@ -189,6 +190,14 @@ def test_motility_grows_with_time(spark):
     assert got[0]["d2"] == pytest.approx(100, rel=0.1) and got[1]["d2"] == pytest.approx(400, rel=0.1)
 
 
+def test_mean_diameter_on_the_limit_is_in_whatever_the_order(spark):
+    ways = list(itertools.permutations([4.0, 4.3, 5.3, 6.0, 6.4, 4.0]))
+    rows = [(e, i, d) for e, ds in enumerate(ways) for i, d in enumerate(ds)]
+    over = [(len(ways), i, d) for i, d in enumerate([5.0, 5.0, 5.000001])]
+    point = spark.createDataFrame(rows + over, "e_id long, seq int, d double").coalesce(1)
+    assert {r["e_id"] for r in network.select_diameter(point, 3, 5).collect()} == set(range(len(ways)))
+
+
 def test_network_text_round_trip(spark, tmp_path):
     vertex = spark.createDataFrame([(7, 0.0, 0.0, 0.0), (9, 20.0, 0.0, 0.0)], "v_id long, x double, y double, z double")
     edge = spark.createDataFrame([(1, 7, 9)], "e_id long, v0 long, v1 long")
