@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -198,6 +199,30 @@ def test_mean_diameter_on_the_limit_is_in_whatever_the_order(spark):
     assert {r["e_id"] for r in network.select_diameter(point, 3, 5).collect()} == set(range(len(ways)))
 
 
+def test_dead_ends_heal_without_looking_at_all_in_reach(spark):
+    """20,000 loose edges, of which all ends are in reach of each other: 40,000 times 40,000 pairs, were all looked at."""
+    rng = np.random.default_rng(4)
+    p = np.round(rng.normal(0, 100, (40_000, 3)), 1)
+    p[100:140] = p[60:100]  # places of several vertices
+    p[140:180] = p[60:100]
+    p[-1] = (2e3, 2e3, 2e3)
+    vertex = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "v_id long, x double, y double, z double")
+    edge = spark.createDataFrame([(i, 2 * i, 2 * i + 1) for i in range(20_000)], "e_id long, v0 long, v1 long")
+    began = time.time()
+    got = {r["v_id"]: (r["target"], r["score"]) for r in network.heal(edge, vertex, 4e3).collect()}
+    assert time.time() - began < 120
+    for v in [*range(60, 180), *rng.integers(0, 40_000, 100), 39_998, 39_999]:
+        way, g = p - p[v], p[v] - p[v ^ 1]
+        d = np.linalg.norm(way, axis=1)
+        ok = (d > 0) & (np.arange(len(p)) != v ^ 1)
+        score = np.where(ok, (0.5 + way @ g / np.maximum(d, 1e-300) / np.linalg.norm(g)) / np.maximum(d, 1e-300), -1)
+        if score.max() <= 0:
+            assert v not in got
+        else:
+            assert got[v][1] == pytest.approx(score.max(), rel=1e-9) and score[got[v][0]] == pytest.approx(score.max(), rel=1e-9)
+            assert got[v][0] == min(np.flatnonzero((p == p[got[v][0]]).all(axis=1) & ok))
+
+
 def test_network_text_round_trip(spark, tmp_path):
     vertex = spark.createDataFrame([(7, 0.0, 0.0, 0.0), (9, 20.0, 0.0, 0.0)], "v_id long, x double, y double, z double")
     edge = spark.createDataFrame([(1, 7, 9)], "e_id long, v0 long, v1 long")
