@@ -2,7 +2,9 @@
 
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 
 from plexus.operators import distances, histology, network
@@ -125,6 +127,26 @@ def test_jump_points_never_lead_to_a_joined_edge(spark):
     assert rows(network.jump_points(edge, point, 10), "e_id") == [(1, 1, 3, 1, 3.0), (2, 1, 3, 1, 2.0), (3, 1, 2, 1, 2.0)]
 
 
+def test_jump_points_without_all_pairs_of_a_cell(spark):
+    """30,000 points in one cell: 10,000 inner ones, which met all others."""
+    rng = np.random.default_rng(6)
+    n = 10_000
+    p = np.round(rng.normal(50, 4, (n, 3, 3)), 2).clip(0, 99)
+    point = spark.createDataFrame([(e, s, *map(float, p[e, s]), 1.0) for e in range(n) for s in range(3)], POINT)
+    edge = spark.createDataFrame([(e, e, (e + 1) % n) for e in range(n)], EDGE)
+    began = time.time()
+    got = {r["e_id"]: tuple(r) for r in network.jump_points(edge, point, 100).collect()}
+    assert time.time() - began < 60
+    flat, own = p.reshape(-1, 3), np.repeat(np.arange(n), 3)
+    for e in range(0, n, 40):
+        d2 = ((flat - p[e, 1]) ** 2).sum(axis=1)
+        d2[np.isin(own, [e, (e + 1) % n, (e - 1) % n])] = np.inf
+        if d2.min() == 0:
+            assert e not in got
+        else:
+            assert got[e][4] == pytest.approx(math.sqrt(d2.min())) and d2[3 * got[e][2] + got[e][3]] == pytest.approx(d2.min())
+
+
 @pytest.mark.parametrize("margin", [0.0, 1.5])
 def test_spheres_by_brute_force(spark, margin):
     data = [(1, 0, 3.2, 8.9, 4.0, 5.0), (1, 1, -0.5, 2.0, 11.0, 8.0), (2, 0, 3.2, 8.9, 4.0, 5.0)]
