@@ -7,10 +7,11 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexus.operators.network import dense_ids
+from plexus.plans.scratch import bounded, materialise, small_batches
 
 
 def with_diameter(point: DataFrame, least: float | None = None, fixed: float | None = None) -> DataFrame:
@@ -27,33 +28,172 @@ def ends_only(point: DataFrame) -> DataFrame:
 
 
 def read_networks(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Spatial-graph text files: vertex (file, v_id, x, y, z), edge (file, e_id, v0, v1), point (file, e_id, seq, x, y, z, d)."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-
-    def sections(text: str) -> dict[int, np.ndarray]:
-        return {int(k): np.array(body.split(), dtype=float) for k, body in re.findall(r"^@(\d)\s*\n((?:[^@A-Za-z]*[0-9.eE+\-\s])*)", text, flags=re.M)}
-
-    def parse(kind):
-        def over(batches):
-            for b in batches:
-                for name, text in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True):
-                    s = sections(text)
-                    if kind == "vertex":
-                        c = s[1].reshape(-1, 3)
-                        cols = [np.arange(len(c)), *c.T]
-                    elif kind == "edge":
-                        c = s[2].reshape(-1, 2).astype(int)
-                        cols = [np.arange(len(c)), *c.T]
-                    else:
-                        n = s[3].astype(int)
-                        p = s[4].reshape(-1, 3)
-                        cols = [np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), *p.T, s[5]]
-                    arrays = [pa.array(np.ascontiguousarray(c)) for c in cols]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(arrays[0]), type=pa.string()), *arrays], names=NAMES[kind])
-
-        return over
-
-    return tuple(files.mapInArrow(parse(k), SCHEMAS[k]) for k in ("vertex", "edge", "point"))
+    """Spatial-graph text files: vertex (file, v_id, x, y, z), edge (file, e_id, v0, v1), point (file, e_id, seq, x, y, z, d).
+
+    Files are read in splits, so one may be of any size. Their numbers are written
+    to the shared folder at once; a table whose sections a file lacks, or has cut
+    short, raises a ValueError when it runs.
+    """
+    small_batches(spark, 2_000)
+    chunk, files = _numbers(spark, path)
+    w = Window.partitionBy("file").orderBy("block", "seg")
+    mark = F.last(F.when(F.col("section").isNotNull(), F.struct("section", "block", "seg")), ignorenulls=True).over(w)
+    segs = chunk.groupBy("file", "block", "seg").agg(F.max("section").alias("section"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    segs = segs.withColumn("mark", mark).withColumn("latest", F.max("mark").over(Window.partitionBy("file", "mark.section")))
+    segs = segs.where("mark = latest").withColumn("section", F.col("mark.section")).where("section in (1, 2, 3, 4, 5)")
+    own = Window.partitionBy("file", "section").orderBy("block", "seg")
+    segs = materialise(segs.select("file", "block", "seg", "section", "n", "total", (F.sum("n").over(own) - F.col("n")).alias("g0"), (F.sum("total").over(own) - F.col("total")).alias("p0")), "segments")
+    of = lambda k, c="n": F.sum(F.when(F.col("section") == k, F.col(c)))
+    sums = segs.groupBy("file").agg(*(of(k).alias(f"n{k}") for k in range(1, 6)), of(3, "total").alias("p"))
+    right = {"vertex": "n1 % 3 = 0", "edge": "n2 % 2 = 0", "point": "n4 = 3 * p and n5 = p"}
+    good = sums.agg(*(F.count(F.when(F.expr(c), 1)).alias(k) for k, c in right.items())).first()
+    placed = chunk.drop("section", "n", "total").join(bounded(segs.drop("n", "total")), ["file", "block", "seg"])
+    placed = placed.select("file", "section", (F.col("g0") + F.col("i")).alias("g"), (F.col("p0") + F.col("c")).cast("long").alias("p"), "values")
+
+    def table(kind):
+        if good[kind] < files:
+            return spark.range(1).mapInArrow(_lacking(kind, files - good[kind], path), SCHEMAS[kind])
+        parts = placed.where(F.col("section").isin(*SECTIONS[kind])).mapInArrow(_dealt, "file string, bucket long, section int, first long, at long, values array<double>")
+        return parts.groupBy("file", "bucket").applyInArrow(_built(kind), SCHEMAS[kind])
+
+    return tuple(table(k) for k in SCHEMAS)
+
+
+def _numbers(spark, path: str) -> tuple[DataFrame, int]:
+    """The numbers of text files, and how many files there are.
+
+    (file, block, seg, section, i, n, c, total, values): a split of a file, which
+    of its segments (a new one begins with each section), the section if it begins
+    in this split, the place in the segment of the first of ``n`` values and the
+    sum of whole parts before it and of it.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def over(batches):
+        here = None
+        for b in batches:
+            for key, some in _runs(b):
+                rows = []
+                if key != here:  # the lines of a split follow each other
+                    here, seg, section, i, c = key, 0, None if key[1] else 0, 0, 0.0
+                    rows.append((*key, seg, section, 0, 0, 0.0, 0.0, []))
+                for begins, found in _cut(some):
+                    if begins is not None:
+                        seg, section, i, c = seg + 1, begins, 0, 0.0
+                        rows.append((*key, seg, section, 0, 0, 0.0, 0.0, []))
+                    for k in range(0, len(found) if section in (None, 1, 2, 3, 4, 5) else 0, CHUNK):
+                        v = found[k : k + CHUNK]
+                        rows.append((*key, seg, section, i, len(v), c, float(np.trunc(v).sum()), v))
+                        i, c = i + len(v), c + rows[-1][-2]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NUMBERS)
+
+    schema = "file string, block long, seg int, section int, i long, n long, c double, total double, values array<double>"
+    return materialise(lines.mapInArrow(over, schema), "numbers"), len(lines.inputFiles())
+
+
+#: Numbers in a row between the text and the tables; rows of a table that are put together at once.
+CHUNK, BUCKET = 2_000, 10_000
+NUMBERS = ["file", "block", "seg", "section", "i", "n", "c", "total", "values"]
+KINDS = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+SECTIONS = {"vertex": (1,), "edge": (2,), "point": (3, 4, 5)}
+WIDTHS = {1: 3, 2: 2, 4: 3, 5: 1}
+
+
+def _runs(batch):
+    """((file, block), lines) for each split that a batch has lines of."""
+    name, block, value = (batch.column(k) for k in range(3))
+    ends = [0, batch.num_rows]
+    if batch.num_rows and (name[0], block[0]) != (name[-1], block[-1]):
+        keys = list(zip(name.to_pylist(), block.to_pylist(), strict=True))
+        ends = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+    for a, b in zip(ends, ends[1:]):
+        if b > a:
+            yield (name[a].as_py(), block[a].as_py()), value.slice(a, b - a).to_pylist()
+
+
+def _cut(lines: list[str]) -> list[tuple]:
+    """(section, numbers): first what goes on (None), then each section that begins; 0 begins where something else than a number stands."""
+    try:
+        return [(None, np.array(" ".join(lines).split(), dtype=float))]
+    except ValueError:
+        pass
+    out = [(None, [])]
+    for line in lines:
+        begins = re.fullmatch(r"@(\d)\s*", line)
+        if begins:
+            out.append((int(begins[1]), []))
+            continue
+        try:
+            for t in line.split():
+                out[-1][1].append(float(t))
+        except ValueError:
+            if out[-1][0] != 0:
+                out.append((0, []))
+    return [(k, np.array(v, dtype=float)) for k, v in out]
+
+
+def _lacking(kind: str, n: int, path: str):
+    def over(_):
+        raise ValueError(f"{n} of the files {path} lack sections of the {kind} table, or numbers in them")
+        yield
+
+    return over
+
+
+def _dealt(batches):
+    """Chunks cut where the buckets of their table's rows end. Of point counts, a bucket gets those of all edges with points in it."""
+    for b in batches:
+        rows = []
+        for name, k, g, p, v in zip(*(b.column(i) for i in range(5)), strict=True):
+            name, k, g, p, v = name.as_py(), k.as_py(), g.as_py(), p.as_py(), v.values.to_numpy()
+            if not len(v):
+                continue
+            if k == 3:
+                n = v.astype(np.int64)
+                if n.min() < 0:
+                    raise ValueError(f"{name} has an edge of {n.min()} points")
+                ends = p + np.cumsum(n)
+                starts = ends - n
+                for bucket in range(p // BUCKET, -(-int(ends[-1]) // BUCKET)):
+                    i, j = np.searchsorted(ends, bucket * BUCKET, "right"), np.searchsorted(starts, (bucket + 1) * BUCKET)
+                    if j > i:
+                        rows.append((name, bucket, k, g + int(i), int(starts[i]), v[i:j]))
+            else:
+                span, at = BUCKET * WIDTHS[k], g
+                while at < g + len(v):
+                    to = min((at // span + 1) * span, g + len(v))
+                    rows.append((name, at // span, k, at, 0, v[at - g : to - g]))
+                    at = to
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), DEALT, strict=True)], names=["file", "bucket", "section", "first", "at", "values"])
+
+
+DEALT = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+
+
+def _built(kind: str):
+    """The rows of a bucket of a table, from its parts in any order."""
+
+    def build(t: pa.Table) -> pa.Table:
+        bucket, parts = t.column("bucket")[0].as_py(), {k: [] for k in SECTIONS[kind]}
+        for k, first, at, v in sorted(zip(*(t.column(c).to_pylist() for c in ("section", "first", "at")), (v.values.to_numpy() for v in t.column("values")), strict=True), key=lambda r: r[:2]):
+            parts[k].append((first, at, v))
+        flat = {k: np.concatenate([v for *_, v in p]) for k, p in parts.items() if p}
+        if kind != "point":
+            c = flat[SECTIONS[kind][0]].reshape(-1, 3 if kind == "vertex" else 2)
+            cols = [bucket * BUCKET + np.arange(len(c)), *(c if kind == "vertex" else c.astype(np.int64)).T]
+        else:
+            n = flat[3].astype(np.int64)
+            e = np.concatenate([first + np.arange(len(v)) for first, _, v in parts[3]])
+            start = np.concatenate([at + np.cumsum(v.astype(np.int64)) - v.astype(np.int64) for _, at, v in parts[3]])
+            a, z = np.maximum(start, bucket * BUCKET), np.minimum(start + n, (bucket + 1) * BUCKET)
+            here = np.maximum(z - a, 0)
+            cols = [np.repeat(e, here), np.arange(here.sum()) - np.repeat(np.cumsum(here) - here - (a - start), here), *flat[4].reshape(-1, 3).T, flat[5]]
+        arrays = [pa.array(np.ascontiguousarray(c)) for c in cols]
+        return pa.Table.from_arrays([pa.array([t.column("file")[0].as_py()] * len(arrays[0]), type=pa.string()), *arrays], names=NAMES[kind])
+
+    return build
 
 
 SCHEMAS = {

@@ -251,6 +251,46 @@ def test_network_text_round_trip(spark, tmp_path):
     assert sorted(tuple(r)[1:] for r in p.collect()) == [(0, i, 10.0 * i, 0.0, 0.0, 10.0) for i in range(3)]
 
 
+def test_networks_are_read_in_splits(spark, tmp_path):
+    rng, want, conf = np.random.default_rng(6), {"vertex": [], "edge": [], "point": []}, {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1", "spark.sql.adaptive.enabled": "false"}
+    for name, ne, long in (("a.am", 4_000, 25_000), ("b.am", 3, 2)):
+        n = rng.integers(0, 4, ne)  # edges without points too
+        n[ne // 2] = long
+        vertex, edge, xyz, d = rng.integers(0, 99, (2 * ne, 3)) / 2, rng.integers(0, 2 * ne, (ne, 2)), rng.integers(0, 999, (n.sum(), 3)) / 10, rng.integers(1, 99, n.sum()) / 4
+        numbers = xyz.ravel().tolist()
+        lines = [" ".join(map(str, numbers[i : i + 7])) for i in range(0, len(numbers), 7)]  # lines that don't end where points do
+        parts = ["# of 3 parts\n1 2 3\ndefine VERTEX 9", "VERTEX { float[3] C } @1", "@3", *map(str, n), "@7", "1 2 3", "@1", *(" ".join(map(str, v)) for v in vertex), "end 4 5 6", "7 8", "", "@5\r", *(f"{v:6.2f}\t" for v in d), "@4", *lines, "@2", "9 9", "@2 ", *(f"{a} {b}" for a, b in edge), ""]
+        (tmp_path / name).write_text("\n".join(parts))
+        e = np.repeat(np.arange(ne), n)
+        seq = np.concatenate([np.arange(k) for k in n])
+        want["vertex"] += [(name, i, *v) for i, v in enumerate(vertex.tolist())]
+        want["edge"] += [(name, i, *v) for i, v in enumerate(edge.tolist())]
+        want["point"] += [(name, *r) for r in zip(e.tolist(), seq.tolist(), *xyz.T.tolist(), d.tolist(), strict=True)]
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = dict(zip(want, files.read_networks(spark, str(tmp_path / "*.am")), strict=True))
+        for kind, t in got.items():
+            assert sorted((r[0].rsplit("/", 1)[1], *r[1:]) for r in t.collect()) == sorted(want[kind])
+        big = got["point"].where(F.col("file").endswith("a.am")).select(F.spark_partition_id().alias("k"))
+        assert big.distinct().count() > 1  # no task has the whole of a file
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_networks_cut_short_are_errors(spark, tmp_path):
+    (tmp_path / "n.am").write_text("define EDGE 1\n@1\n0 0 0\n1 1 1\n@2\n0 1\n@3\n2\n@4\n0 0 0\n1 1 1\n@5\n3\n")
+    vertex, edge, point = files.read_networks(spark, str(tmp_path / "n.am"))
+    assert vertex.count() == 2 and [tuple(r)[1:] for r in edge.collect()] == [(0, 0, 1)]
+    with pytest.raises(Exception, match="point table"):
+        point.collect()
+    (tmp_path / "o.am").write_text("")
+    with pytest.raises(Exception, match="vertex table"):
+        files.read_networks(spark, str(tmp_path / "*.am"))[0].collect()
+
+
 def test_bits_round_trip(spark, tmp_path, blob):
     (tmp_path / "v.bin").write_bytes(files.pack_bits(vox(spark, blob), SIZE))
     assert cells(files.read_bits(spark, str(tmp_path / "v.bin"))) == blob
